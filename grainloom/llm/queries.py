@@ -5,7 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .backoff_lm import lm_scores
+from .debruijn import remove_repeats
+from .html_extract import extract_main_text
+from .langid import held_out, identify, learn_profiles
+from .mixing import mix_sources
+from .packing import pack
 from .simhash import near_duplicates
 
 
@@ -13,13 +20,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), n_buckets=16, token_budget=65_536)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
+    profiles = learn_profiles(docs.where("NOT held_out"), "text", "lang")
+    return identify(docs.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)),
+o AS (SELECT win, min(doc_id) AS owner FROM p GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT p.doc_id, unnest(range(i, i + 13)) AS pos FROM p JOIN o USING (win) WHERE owner < p.doc_id),
+each AS (SELECT doc_id, pos, words[pos] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM c)::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM c)) / n AS lam FROM c),
+cdf AS (SELECT source, sum(CASE WHEN k = 0 THEN exp(-lam) ELSE exp(-lam + k * ln(lam) - lgamma(k + 1)) END) OVER (PARTITION BY source ORDER BY k) AS p
+        FROM r, (SELECT unnest(range(0, 200))::DOUBLE AS k)),
+d AS (SELECT *, (('0x' || substr(md5('17:' || doc_id || ':1'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(cdf.p)::INTEGER AS copies FROM d JOIN cdf ON cdf.source = d.source AND cdf.p < d.u GROUP BY ALL),
+x AS (SELECT *, unnest(range(1, copies + 1))::INTEGER AS mix_copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, mix_copy, ('0x' || substr(md5('17:order:' || doc_id || ':' || mix_copy), 1, 15))::BIGINT AS mix_key FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_debruijn": OP7_SQL, "op8_mixing": OP8_SQL}
