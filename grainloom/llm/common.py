@@ -108,21 +108,40 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
         state = tuple(seen)
 
 
-#: Bits of a membership filter: 4 MB at most, whatever the data; a full filter only lets more rows through.
+#: Bits of a membership filter: 4 MB, whatever the data. A full filter only lets more rows through.
 FILTER_BITS = 1 << 25
 
 
-def filter_position(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+def membership(keys: DataFrame, at: Column) -> DataFrame:
+    """(filter_bucket, filter_bits): which positions (0 to FILTER_BITS - 1) occur; at most FILTER_BITS / 32768 rows of 4 KB.
 
+    A filter only saves shuffles: what passes is joined exactly afterwards.
+    """
+    rows = keys.select((at + 1).alias("at"))  # bucket b holds 32768 * (b - 1) + 1 to 32768 * b
+    return rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("filter_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("filter_bits"))
 
-def membership(keys: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of at most FILTER_BITS bits with the hashes of a long column; other values pass it rarely, its own always.
 
-    It only saves shuffles: what passes is joined exactly afterwards.
-    """
-    rows = keys.select((filter_position(F.col(col)) + 1).alias("at"))  # bucket b holds 32768 * (b - 1) + 1 to 32768 * b.groupBy(F.expr("bitmap_bucket_number(at)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
+def filter_array(rows: DataFrame) -> np.ndarray:
+    """A membership filter as bytes, for use in Python tasks."""
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b, bits in rows:
-        out[(b - 1) * 4096 : b * 4096] |= np.frombuffer(bytes(bits), np.uint8)
+    for b, bits in rows.collect():
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(bits), np.uint8)
     return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the low bits of 64-bit keys are in the filter."""
+    at = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def low_bits(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def maybe_in(df: DataFrame, at: Column, rows: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the filter has the row's position. rows has a fixed size and is broadcast."""
+    bucket, bit = F.shiftright(at, 15) + 1, at.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.expr("substring(filter_bits, cast(filter_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumn("filter_bit", bit).join(F.broadcast(rows), bucket == F.col("filter_bucket"), "left")
+    return found.withColumn(name, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(filter_bit % 8 as int))")) != 0, F.lit(False))).drop("filter_bit", "filter_bucket", "filter_bits")
