@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, filter_array, low_bits, maybe_in, membership, mix, passes
+from .common import Scratch, components, filter_array, low_bits, maybe_in, membership, mix, parts, passes
 
 #: Characters of a shingle; bands, and rows of a band. Lines at similarity 0.8 share no band with probability 0.4 %.
 SHINGLE, BANDS, ROWS = 6, 14, 5
@@ -33,12 +33,6 @@ def shingle_set(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
 
 
-def similarity(a: str, b: str) -> float:
-    x, y = shingle_set(a), shingle_set(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
-
-
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) keys; the MinHash signature of a line's character shingles, hashed by band."""
     if not lines:
@@ -96,24 +90,20 @@ def distinct_lines(texts: pa.Array) -> dict[str, int]:
 
 
 def banded(docs: DataFrame, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
-    """(key, line, size) of every band of every distinct line of a batch; with bits, of the bands that pass them, with the
-    number of the line's distinct shingles."""
+    """(key, line) of every band of every distinct line of a batch; with bits, of the bands that pass them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = distinct_lines(b.column(0))
             keys = band_keys(list(found)).ravel()
             line = np.repeat(np.fromiter(found.values(), np.uint64, len(found)), BANDS)
-            size = np.zeros(len(keys), np.int64)
             if bits is not None:
                 ok = passes(bits, keys)
-                sizes = [len(shingle_set(t)) if any_ else 0 for t, any_ in zip(found, ok.reshape(-1, BANDS).any(axis=1).tolist())]
-                keys, line, size = keys[ok], line[ok], np.repeat(np.array(sizes, np.int64), BANDS)[ok]
+                keys, line = keys[ok], line[ok]
             for i in range(0, len(keys), 1 << 17):
-                cols = [pa.array(x[i : i + (1 << 17)].view(np.int64)) for x in (keys, line, size)]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "line", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)].view(np.int64)) for x in (keys, line)], names=["key", "line"])
 
-    return docs.select(text_col).mapInArrow(run, "key long, line long, size long")
+    return docs.select(text_col).mapInArrow(run, "key long, line long")
 
 
 def lines_where(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,47 +142,112 @@ def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets have a Jaccard similarity of the threshold or more."""
+#: Lines of a band that are compared as one block; of a larger band, every pair of blocks is compared.
+BLOCK = 512
+#: Bits of the shingle bitmaps that bound a pair's similarity from above.
+BITMAP = 2048
+
+
+def linked(texts: list[str], roots: list[int], blocks: list[int] | None, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of positions that join lines of different roots at the threshold or more; enough to connect all that can be.
+
+    With blocks, only pairs of different blocks count. A pair whose ends are connected already is not looked at.
+    """
+    sets = [shingle_set(t) for t in texts]
+    parent = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    def joins(i: int, j: int) -> bool:
+        if find(roots[i]) == find(roots[j]):
+            return False
+        both = len(sets[i] & sets[j])
+        if both < threshold * (len(sets[i]) + len(sets[j]) - both):
+            return False
+        parent[find(roots[i])] = find(roots[j])
+        return True
+
+    n = len(texts)
+    if n == 2:
+        return [(0, 1)] if (blocks is None or blocks[0] != blocks[1]) and joins(0, 1) else []
+    size = np.array([len(x) for x in sets])
+    bits = np.zeros((n, BITMAP), np.uint8)
+    for row, x in zip(bits, sets):
+        row[np.fromiter(map(hash, x), np.int64, len(x)) % BITMAP] = 1
+    words = np.packbits(bits, axis=1).view(np.uint64)
+    spare = size - np.bitwise_count(words).sum(1)  # shingles that share a bit with another one
+    out = []
+    label = np.array(blocks) if blocks is not None else None
+    for i in range(1, n):
+        most = np.bitwise_count(words[:i] & words[i]).sum(1) + np.minimum(spare[:i], spare[i])
+        most = np.minimum(most, np.minimum(size[:i], size[i]))
+        able = most >= threshold * (size[:i] + size[i] - most)
+        if label is not None:
+            able &= label[:i] != label[i]
+        at = np.flatnonzero(able)
+        for j in at[np.argsort(-most[at], kind="stable")].tolist():
+            if joins(i, j):
+                out.append((i, j))
+    return out
+
+
+def link_bands(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between the roots of lines that share a band and are alike; enough to connect all such lines.
+
+    members: (key, line, root). A band's lines come together in blocks of bounded size.
+    """
+    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    placed = members.join(counts.select("key", "n"), "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    cells = placed.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "line", "root", "block")
+    rows = cells.join(texts, "line").repartition(parts(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
+            if len({r[3] for r in rows}) < 2:
+                return []
+            rows = [r for r in rows if r[5] is not None]
+            found = linked([r[5] for r in rows], [r[3] for r in rows], [r[4] for r in rows] if cell[1] != cell[2] else None, threshold)
+            return [(rows[i][3], rows[j][3]) for i, j in found]
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for b in batches:
-            ok = [similarity(x.as_py(), y.as_py()) >= threshold for x, y in zip(b.column(2), b.column(3))]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            found = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:3] != cell:
+                    found += links(held)
+                    cell, held = row[:3], []
+                held.append(row)
+            yield batch(found)
+        yield batch(links(held))
 
-    one = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("line").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("key", "i", "j", "root", "block", "text").mapInArrow(run, "a long, b long")
 
 
 def similar_lines(docs: DataFrame, text_col: str, threshold: float, scratch: Scratch) -> DataFrame:
     """(line, root) of every line that is near another one; root is the smallest key of its component.
 
-    Two lines are candidates if they share a band. First every line is held against one other of its bands, that which
-    most of them name as their smallest; then every candidate pair whose lines are still apart is verified. So a large
-    group of alike lines costs about one comparison a line, and no pair that shares a band stays open.
+    Two lines are candidates if they share a band. A quarter of the bands connects most of what is alike; then all
+    bands whose lines lie in several components are gone through, so that no pair that shares a band stays open.
     """
     ends = banded(docs, text_col).groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
-    shared = scratch.keep(ends.select("key", "low"))
+    shared = scratch.keep(ends.select("key"))
     bits = filter_array(membership(shared, low_bits(F.col("key"))))
     # equal lines of other batches come again
     members = scratch.keep(banded(docs, text_col, bits).join(shared, "key").distinct())
     texts = scratch.keep(line_texts(docs, text_col, members.select("line").distinct()))
-
-    named = members.where("line != low").groupBy("line", "low").agg(F.count(F.lit(1)).alias("n"))
-    best = named.groupBy("line").agg(F.max_by("low", F.struct("n", "low")).alias("b"))
-    links = scratch.keep(verified(best.select(F.col("line").alias("a"), "b"), texts, threshold))
+    some = members.where(F.col("key").bitwiseAND(F.lit(3)) == 0).withColumn("root", F.col("line"))
+    links = scratch.keep(link_bands(some, texts, threshold))
     roots = components(links, "a", "b", scratch)
-
-    apart = members.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", "size", F.coalesce("root", "line").alias("root"))
-    apart = scratch.keep(apart)
-    mixed = apart.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
-    open_ = apart.join(mixed, "key", "left_semi")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("line", "size", "root")]) for n in "ab")
-    # sets of very different sizes can't be that similar
-    near = (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-9)
-    pairs = x.join(y.hint("merge"), (x.key == y.key) & (F.col("line_a") < F.col("line_b")) & (F.col("root_a") != F.col("root_b")) & near)
-    more = scratch.keep(verified(pairs.select(F.col("line_a").alias("a"), F.col("line_b").alias("b")).distinct(), texts, threshold))
+    rooted = scratch.keep(members.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", F.coalesce("root", "line").alias("root")))
+    more = scratch.keep(link_bands(rooted, texts, threshold))
     return components(links.union(more), "a", "b", scratch).withColumnRenamed("node", "line")
 
 
@@ -224,8 +279,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     table = F.map_from_arrays(gone, gone)
     kept = F.filter(lines, lambda _, i: ~F.map_contains_key(table, i))
     short = F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n")).alias(text_col)
-    parts = [short if c == text_col else x for c, x in zip(docs.columns, own)]
-    return whole.unionByName(joined.select(*parts, count.alias("n_lines"), F.size(gone).cast("long").alias("n_removed")))
+    out = [short if c == text_col else x for c, x in zip(docs.columns, own)]
+    return whole.unionByName(joined.select(*out, count.alias("n_lines"), F.size(gone).cast("long").alias("n_removed")))
 
 
 def removals(docs: DataFrame, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
