@@ -19,11 +19,26 @@ from .langid import held_out
 #: No word holds a space.
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
 ADD = 0.1
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 REQUEST = "shard int, block int, word binary, seen binary, fan binary, arc binary, arc_seen binary"
 REPLY = "block int, shard int, seen binary, kinds binary, arc_seen binary, n long, v long, once long, twice long"
 
 
+def _sent(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of keys; the lower ones have dealt them to a shard, which holds some hundred thousand keys."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _received(sent: bytes) -> np.ndarray:
+    out = np.zeros((len(sent) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(sent, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _shard(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys & np.uint64(0xFFFFF)) % np.uint64(n)
+
+
 def _hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -51,10 +66,10 @@ class Block:
         pair_seen = np.bincount(self.pair_at[trained], minlength=len(pair))
         pair_hist = self.hist[where]
         # a word lives in one shard with the arcs that leave it; the arcs of very frequent words are spread over all
-        home = (word >> np.uint64(20)) % np.uint64(shards)
+        home = _shard(word, shards)
         spread = np.isin(word, hot)[pair_hist]
         shard = home[pair_hist]
-        shard[spread] = (pair[spread] >> np.uint64(20)) % np.uint64(shards)
+        shard[spread] = _shard(pair[spread], shards)
         n = np.uint64(len(word))
         at_home = home * n + np.arange(len(word), dtype=np.uint64)
         of_pair = shard * n + pair_hist.astype(np.uint64)
@@ -74,8 +89,8 @@ class Block:
         rows = [(s, a, b, c, d) for s, (a, b, c, d) in enumerate(zip(self.word_cut, self.word_cut[1:], self.pair_cut, self.pair_cut[1:]))]
         return pa.table({
             "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-            "word": binary([word[a:b].tobytes() for _, a, b, _, _ in rows]), "seen": binary([seen[a:b].astype("<i8").tobytes() for _, a, b, _, _ in rows]), "fan": binary([fan[a:b].tobytes() for _, a, b, _, _ in rows]),
-            "arc": binary([arc[c:d].tobytes() for _, _, _, c, d in rows]), "arc_seen": binary([arc_seen[c:d].tobytes() for _, _, _, c, d in rows]),
+            "word": binary([_sent(word[a:b]) for _, a, b, _, _ in rows]), "seen": binary([seen[a:b].astype("<i8").tobytes() for _, a, b, _, _ in rows]), "fan": binary([fan[a:b].tobytes() for _, a, b, _, _ in rows]),
+            "arc": binary([_sent(arc[c:d]) for _, _, _, c, d in rows]), "arc_seen": binary([arc_seen[c:d].tobytes() for _, _, _, c, d in rows]),
         })
 
     def scores(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -114,10 +129,10 @@ def answer(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
 
     def joined(name: str, kind: str) -> tuple[np.ndarray, list[int]]:
-        own = [np.frombuffer(r[name], kind) for r in rows]
+        own = [np.frombuffer(r[name], kind) if kind else _received(r[name]) for r in rows]
         return np.concatenate(own), np.cumsum([len(x) for x in own]).tolist()
 
-    (word, word_ends), (seen, _), (fan, _), (arc, arc_ends), (arc_seen, _) = (joined(*x) for x in (("word", "<u8"), ("seen", "<i8"), ("fan", "<u4"), ("arc", "<u8"), ("arc_seen", "<u4")))
+    (word, word_ends), (seen, _), (fan, _), (arc, arc_ends), (arc_seen, _) = (joined(*x) for x in (("word", ""), ("seen", "<i8"), ("fan", "<u4"), ("arc", ""), ("arc_seen", "<u4")))
     words, at = np.unique(word, return_inverse=True)
     count = np.bincount(at, seen, len(words)).astype(np.int64)
     arcs, first, arc_at = np.unique(arc, return_index=True, return_inverse=True)
