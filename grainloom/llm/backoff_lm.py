@@ -35,8 +35,8 @@ def _received(sent: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _shard(keys: np.ndarray, n: int) -> np.ndarray:
-    return (keys & np.uint64(0xFFFFF)) % np.uint64(n)
+def _shard(keys: np.ndarray, n) -> np.ndarray:
+    return (keys & np.uint64(0xFFFFF)) % np.asarray(n, np.uint64)
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -46,7 +46,7 @@ def _hash(words: list[bytes]) -> np.ndarray:
 class Block:
     """The distinct words and word pairs of a block of texts, and where they lie in the texts."""
 
-    def __init__(self, docs: pa.Table, shards: int, hot: np.ndarray):
+    def __init__(self, docs: pa.Table, shards: int, hot: dict[int, int]):
         seqs, train = [], []
         for text, held in zip(docs.column("text"), docs.column("held_out")):
             words = (text.as_py() or "").encode().lower().split()
@@ -65,15 +65,16 @@ class Block:
         pair, where, self.pair_at = np.unique(mix(word[self.hist] * np.uint64(0x9E3779B97F4A7C15) + word[self.cur]), return_index=True, return_inverse=True)
         pair_seen = np.bincount(self.pair_at[trained], minlength=len(pair))
         pair_hist = self.hist[where]
-        # a word lives in one shard with the arcs that leave it; the arcs of very frequent words are spread over all
+        # a word lives in one shard with the arcs that leave it; the arcs of a very frequent one are dealt over some
+        # shards from there on, and each of these is asked for its part
         home = _shard(word, shards)
-        spread = np.isin(word, hot)[pair_hist]
-        shard = home[pair_hist]
-        shard[spread] = _shard(pair[spread], shards)
+        reach = np.array([min(shards, hot.get(w, 1)) for w in word.tolist()], np.uint64)
+        shard = (home[pair_hist] + _shard(pair, reach[pair_hist])) % np.uint64(shards)
         n = np.uint64(len(word))
-        at_home = home * n + np.arange(len(word), dtype=np.uint64)
+        index = np.repeat(np.arange(len(word), dtype=np.uint64), reach.astype(np.int64))
+        step = np.arange(len(index), dtype=np.uint64) - np.repeat(np.cumsum(reach) - reach, reach.astype(np.int64))
+        places = np.sort((home[index.astype(np.int64)] + step) % np.uint64(shards) * n + index)
         of_pair = shard * n + pair_hist.astype(np.uint64)
-        places = np.unique(np.concatenate([at_home, of_pair]))
         self.place_word = (places % n).astype(np.int64)
         place_shard = (places // n).astype(np.int64)
         own = home[self.place_word].astype(np.int64) == place_shard
@@ -152,17 +153,19 @@ def answer(table: pa.Table) -> pa.Table:
     })
 
 
-def hot_words(docs: DataFrame, text_col: str, rows: int, shards: int, sample: int = 4000) -> np.ndarray:
-    """Words with over a quarter of a shard's share in a sample of some thousand rows, at most 4 * shards.
+def hot_words(docs: DataFrame, text_col: str, rows: int, shards: int, sample: int = 4000) -> dict[int, int]:
+    """Words with over a quarter of a shard's share of a sample of some thousand rows (4 * shards at most), and over how
+    many shards their arcs are dealt, so that each part is about that size.
 
-    They only tell which words' arcs are spread over the shards; the results are the same for any choice.
+    They only balance the shards; the results are the same for any choice.
     """
     some = docs.select(F.col(text_col).cast("string").alias("t")).sample(min(1.0, sample / max(1, rows)), 5)
     words = some.select(F.explode(F.split(F.translate(F.lower("t"), "\t\n\r\x0b\x0c", "     "), " ")).alias("w")).where("w != ''")
     counts = words.groupBy("w").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    found = [r["w"] for r in counts.where(F.col("count") > total / (4.0 * shards)).limit(4 * shards).collect()]
-    return np.concatenate([_hash([w.encode() for w in found]), np.array([START], np.uint64)])
+    total, texts = counts.agg(F.sum("count")).first()[0] or 1, some.count()
+    found = counts.where(F.col("count") > total / (4.0 * shards)).limit(4 * shards).collect()
+    parts = {w: -(-4 * shards * c // total) for w, c in zip(_hash([r["w"].encode() for r in found]).tolist(), (r["count"] for r in found))}
+    return parts | {START: max(1, -(-4 * shards * texts // total))}
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (10, 0)) -> DataFrame:
