@@ -14,7 +14,7 @@ def parts(d: Column) -> dict[str, Column]:
 
 def season_flags(d: Column) -> dict[str, Column]:
     m = F.month(d)
-    return {"is_planting": m.isin(9, 10, 11).cast("int"), "is_flowering": m.isin(1, 2).cast("int"), "is_harvest": m.isin(3, 4, 5).cast("int")}
+    return {"is_planting_season": m.isin(9, 10, 11).cast("int"), "is_flowering_season": m.isin(1, 2).cast("int"), "is_harvest_season": m.isin(3, 4, 5).cast("int")}
 
 
 def days_to_next_harvest(d: Column) -> Column:

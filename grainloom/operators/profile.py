@@ -168,11 +168,15 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def ohlcv_rules() -> dict[str, Column]:
+    """What is wrong with a row: no date, high below low, a price that is not positive."""
+    return {"no_date": F.col("date").isNull(), "high_below_low": F.col("high") < F.col("low"), "not_positive": F.least("open", "high", "low", "close") <= 0}
+
+
 def ohlcv_violations(df: DataFrame) -> dict[str, int]:
-    """Counts of rows without a date, with high below low, and with a price that is not positive."""
+    """Rows that break each rule."""
     require_columns(df, ["date", "open", "high", "low", "close"])
-    bad = {"no_date": F.col("date").isNull(), "high_below_low": F.col("high") < F.col("low"), "not_positive": F.least("open", "high", "low", "close") <= 0}
-    return df.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in bad.items()]).first().asDict()
+    return df.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in ohlcv_rules().items()]).first().asDict()
 
 
 def validate_ohlcv(df: DataFrame) -> DataFrame:

@@ -64,9 +64,9 @@ def supply_block(df: DataFrame, year_key: Column) -> DataFrame:
 
 
 def level_block(df: DataFrame, value: str, pct: tuple[int, ...] = (), diffs: tuple[int, ...] = (), unit: str = "m") -> DataFrame:
-    """A slow level with changes over its own rows, before alignment."""
+    """A slow level with relative and absolute changes over its own rows, before alignment."""
     w, c = ordered("series"), F.col(value)
-    return df.withColumns({f"{value}_chg_{n}{unit}": pct_change(c, n, w) for n in pct} | {f"{value}_diff_{n}{unit}": diff_n(c, n, w) for n in diffs})
+    return df.withColumns({f"{value}_chg_{n}{unit}": pct_change(c, n, w) for n in pct} | {f"{value}_chg_{n}{unit}": diff_n(c, n, w) for n in diffs})
 
 
 def volatility_index_block(df: DataFrame) -> DataFrame:

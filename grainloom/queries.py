@@ -170,8 +170,8 @@ DAYS = "d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)"
 TUESDAYS = "days AS (SELECT unnest(generate_series(DATE '1994-11-01', DATE '2002-12-31', INTERVAL 1 DAY))::DATE AS x), t AS (SELECT x FROM days WHERE isodow(x) = 2 AND day(x) BETWEEN 8 AND 14)"
 
 
-@query("c1_c3_season", f"""WITH {DAYS} SELECT date, month(date)::INTEGER AS month, quarter(date)::INTEGER AS quarter, weekofyear(date)::INTEGER AS week_of_year, (month(date) IN (9,10,11))::INTEGER AS is_planting, (month(date) IN (1,2))::INTEGER AS is_flowering,
- (month(date) IN (3,4,5))::INTEGER AS is_harvest, (CASE WHEN date <= make_date(year(date), 3, 1) THEN make_date(year(date), 3, 1) ELSE make_date(year(date) + 1, 3, 1) END - date)::INTEGER AS days_to_next_harvest FROM d""")
+@query("c1_c3_season", f"""WITH {DAYS} SELECT date, month(date)::INTEGER AS month, quarter(date)::INTEGER AS quarter, weekofyear(date)::INTEGER AS week_of_year, (month(date) IN (9,10,11))::INTEGER AS is_planting_season, (month(date) IN (1,2))::INTEGER AS is_flowering_season,
+ (month(date) IN (3,4,5))::INTEGER AS is_harvest_season, (CASE WHEN date <= make_date(year(date), 3, 1) THEN make_date(year(date), 3, 1) ELSE make_date(year(date) + 1, 3, 1) END - date)::INTEGER AS days_to_next_harvest FROM d""")
 def c1(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct().withColumns(cal.season_features(F.col("date")))
 
@@ -505,10 +505,10 @@ def b7(spark, d):
     return align.align_asof(per_series(one, px), px.select("series", "date"), ["series"])
 
 
-@query("b13_level_changes", f"WITH {MONTHLY} SELECT date, round(total, 2) AS total, round(total / lag(total, 3) OVER w - 1, 6) AS total_chg_3m, round(total - lag(total) OVER w, 2) AS total_diff_1m FROM rel WINDOW w AS (ORDER BY date)")
+@query("b13_level_changes", f"WITH {MONTHLY} SELECT date, round(total, 2) AS total, round(total / lag(total, 3) OVER w - 1, 6) AS total_chg_3m, round(total - lag(total) OVER w, 2) AS total_chg_1m FROM rel WINDOW w AS (ORDER BY date)")
 def b13(spark, d):
     x = features.level_block(monthly(spark, d).drop("orders").withColumn("series", F.lit("x")), "total", (3,), (1,))
-    return rounded(x, ["date"], {"total": 2, "total_chg_3m": 6, "total_diff_1m": 2})
+    return rounded(x, ["date"], {"total": 2, "total_chg_3m": 6, "total_chg_1m": 2})
 
 
 @query("b14_volatility_index", f"WITH {FX} SELECT date, round(x / 5000, 4) AS vix_close, round(lag(x / 5000) OVER w, 4) AS vix_lag_1, round((x / 5000) / lag(x / 5000, 7) OVER w - 1, 6) AS vix_return_7d, (x / 5000 > 25)::INTEGER AS vix_regime FROM fx WINDOW w AS (ORDER BY date)")
@@ -752,6 +752,94 @@ def d6(spark, d):
     return x.select("c_custkey", "action", r("reward_usd", 2).alias("reward_usd"), "feasible", r("span_usd", 2).alias("span_usd"))
 
 
+# ---- further operators
+
+
+@query("p3_feature_set", f"WITH {PX}, l AS (SELECT series, date, c, {', '.join(f'lag(c, {n}) OVER w AS l{n}' for n in (1, 3, 7, 14))}, lead(c, 7) OVER w AS f FROM px WINDOW w AS {PART})) SELECT series, date, round(c / l1 - 1, 6) AS return_1d, round(c / l14 - 1, 6) AS return_14d, (f / c - 1 > 0)::INTEGER AS target_updown_t7 FROM l WHERE l14 IS NOT NULL AND f IS NOT NULL")
+def p3(spark, d):
+    import warnings
+
+    from .plans import versions
+
+    x = features.label_block(features.price_block(price(spark, d)))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        chosen = features.complete_cases(features.select_features(x, versions.columns("v1_stationary"), "target_updown_t7"), "target_updown_t7")
+    return rounded(chosen, ["series", "date", "target_updown_t7"], {"return_1d": 6, "return_14d": 6})
+
+
+@query("f17_attribute_classes", "SELECT p_type, contains(lower(p_type), 'o') AND NOT contains(lower(p_type), 'oil') AS flag, count(*) AS n FROM part GROUP BY 1, 2")
+def f17(spark, d):
+    name = F.concat(F.lower("p_type"), F.lit(" production"))
+    return table(spark, d, "part").groupBy("p_type", (clean.is_production(name) & F.lower("p_type").contains("o")).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f18_json", """SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' AS document FROM customer""")
+def f18(spark, d):
+    return table(spark, d, "customer").select("c_custkey", clean.as_json("c_custkey", "c_mktsegment").alias("document"))
+
+
+@query("f20_half_even", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity / 2, 0) AS half FROM lineitem")
+def f20(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", clean.half_even(F.col("l_quantity") / 2, 0).alias("half"))
+
+
+@query("q1_violations", f"WITH {OHLC} SELECT count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (least(open, high, low, close) <= 0) AS not_positive FROM o")
+def q1(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.lit(1.0).alias("open"), (F.min("l_extendedprice") - 40000).alias("close"))
+    return g.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in profile.ohlcv_rules().items() if n != "no_date"])
+
+
+@query("a4_news_summary", "SELECT source AS category, count(*) AS n, round(avg(n_chars), 4) AS mean_score FROM documents GROUP BY 1")
+def a4(spark, d):
+    x = table(spark, d, "documents").select(F.col("source").alias("category"), F.col("n_chars").cast("double").alias("final_score"))
+    return news.news_summary(x).withColumn("mean_score", r("mean_score", 4))
+
+
+@query("l3_strongest_news", "SELECT doc_id, (n_chars - 3000)::DOUBLE AS final_score FROM documents ORDER BY abs(n_chars - 3000) DESC, doc_id LIMIT 5")
+def l3n(spark, d):
+    x = table(spark, d, "documents").select("doc_id", (F.col("n_chars") - 3000).cast("double").alias("final_score"))
+    return news.strongest(x, 5, "doc_id")
+
+
+@query("a5_horizon_mean", f"WITH {PRED} SELECT date, round(avg(p50), 3) AS p50, round(avg(p10), 3) AS p10, round(avg(p90), 3) AS p90, round(avg(actual), 3) AS actual FROM pred GROUP BY 1")
+def a5(spark, d):
+    return rounded(bands.horizon_mean(predictions(spark, d), ["date"]), ["date"], {c: 3 for c in ("p50", "p10", "p90", "actual")})
+
+
+@query("r2_return_to_price", f"WITH {PX} SELECT series, date, round(c * (1 - 0.05::DOUBLE), 4) AS p10, round(c * (1 + 0.01::DOUBLE), 4) AS p50, round(c * (1 + 0.07::DOUBLE), 4) AS p90 FROM px")
+def r2(spark, d):
+    x = price(spark, d).select("series", "date", F.col("price_close").alias("level"), F.lit(-0.05).alias("p10"), F.lit(0.01).alias("p50"), F.lit(0.07).alias("p90"))
+    return rounded(bands.return_to_price(x), ["series", "date"], {"p10": 4, "p50": 4, "p90": 4})
+
+
+@query("r12_better_version", f"WITH {PRED}, b AS (SELECT series, avg(actual - p50) AS a, avg(actual - p10) AS b FROM pred GROUP BY 1) SELECT series, CASE WHEN abs(a) <= abs(b) THEN 'v3' ELSE 'v4' END AS version FROM b")
+def r12(spark, d):
+    p = predictions(spark, d)
+    every = F.lit(True)
+    a = bands.bias(p, every, ["series"]).withColumn("version", F.lit("v3"))
+    b = bands.bias(p.withColumn("p50", F.col("p10")), every, ["series"]).withColumn("version", F.lit("v4"))
+    return bands.better_version(a.unionByName(b), ["series"])
+
+
+@query("r15_sorted_quantiles", f"WITH {PRED} SELECT series, date, round(least(p10, p50, p90), 3) AS lo, round(greatest(p10, p50, p90), 3) AS hi FROM pred")
+def r15(spark, d):
+    swapped = predictions(spark, d).withColumns({"p10": F.col("p90"), "p90": F.col("p10")})
+    return rounded(bands.sorted_quantiles(swapped), ["series", "date"], {"lo": 3, "hi": 3})
+
+
+@query("r16_bias_fallback", f"WITH {PRED} SELECT series, round(coalesce(avg(actual - p50) FILTER (time_idx > 1000000), avg(actual - p50) FILTER (time_idx BETWEEN 200 AND 599)), 3) AS bias FROM pred GROUP BY 1")
+def r16(spark, d):
+    return bands.bias_with_fallback(predictions(spark, d), [F.col("time_idx") > 1_000_000, cal_rows()], ["series"]).select("series", r("bias", 3).alias("bias"))
+
+
+@query("j7_compare_versions", f"WITH {PRED} SELECT a.series, a.date, round(a.p50, 3) AS p50_a, round(b.p10, 3) AS p50_b, round(a.actual, 3) AS actual FROM pred a JOIN pred b ON a.series = b.series AND a.date = b.date WHERE b.time_idx % 2 = 0")
+def j7(spark, d):
+    p = predictions(spark, d)
+    b = p.where("time_idx % 2 = 0").withColumn("p50", F.col("p10"))
+    return rounded(bands.compare_versions(p, b, ["series", "date"]), ["series", "date"], {"p50_a": 3, "p50_b": 3, "actual": 3})
+
+
 # ---- streaming
 
 
