@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,15 +63,15 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, *
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), block.alias("block"), *keep).repartition(n, "block"), n
 
 
-def split_by(keys: np.ndarray, n: int, *values: np.ndarray):
-    """(shard, keys, values...) of each shard that has keys; sorted distinct keys stay sorted inside a shard."""
-    shard = (keys >> np.uint64(33)) % np.uint64(n)
-    order = np.argsort(shard, kind="stable")
-    counts = np.bincount(shard.astype(np.int64), minlength=n)
-    ends = np.cumsum(counts)
-    for s in np.flatnonzero(counts):
-        i = order[ends[s] - counts[s] : ends[s]]
-        yield int(s), keys[i], *(v[i] for v in values)
+def pieces(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of a text column, so that what a task derives from them stays small."""
+    size = pc.cumulative_sum(pc.add(pc.fill_null(pc.binary_length(batch.column(column)), 0), 64).cast(pa.int64())).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right"))
+        end = max(end, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def mix(h: np.ndarray) -> np.ndarray:

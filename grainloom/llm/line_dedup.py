@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, filter_array, low_bits, maybe_in, membership, mix, parts, passes
+from .common import Scratch, components, filter_array, low_bits, maybe_in, membership, mix, parts, passes, pieces
 
 #: Characters of a shingle; bands, and rows of a band. Lines at similarity 0.8 share no band with probability 0.4 %.
 SHINGLE, BANDS, ROWS = 6, 14, 5
@@ -29,8 +29,45 @@ def line_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def shingle_set(text: str) -> set[str]:
-    return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+def rolled(code: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of SHINGLE code points."""
+    h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
+    for j in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + len(h)]
+    return mix(h)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each text, as sorted 64-bit hashes; a shorter text is its own shingle."""
+    out: list[np.ndarray] = []
+    padded = [t.ljust(SHINGLE, "\0") for t in texts]
+    at = 0
+    while at < len(padded):
+        end, size = at, 0
+        while end < len(padded) and (end == at or size + len(padded[end]) <= CHUNK):
+            size += len(padded[end])
+            end += 1
+        h = rolled(code_points("".join(padded[at:end])))
+        start = 0
+        for t in padded[at:end]:
+            own = np.sort(h[start : start + len(t) - SHINGLE + 1])
+            start += len(t)
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        at = end
+    return out
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    c = np.concatenate([a, b])
+    c.sort()
+    return int(np.count_nonzero(c[1:] == c[:-1]))
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -42,12 +79,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
     size = 0
 
     def flush() -> None:
-        code = np.frombuffer("".join(t for _, t in todo).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         lengths = np.array([len(t) for _, t in todo])
-        h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
-        for j in range(SHINGLE):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + len(h)]
-        h = (mix(h) >> np.uint64(32)).astype(np.uint32)
+        h = (rolled(code_points("".join(t for _, t in todo))) >> np.uint64(32)).astype(np.uint32)
         # of the shingles that run into the next line, none counts
         ends = np.cumsum(lengths)
         bad = (ends[:-1, None] - np.arange(1, SHINGLE)).ravel()
@@ -79,22 +112,33 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return keys
 
 
-def distinct_lines(texts: pa.Array) -> dict[str, int]:
+#: Lines that a task remembers as seen; a line that comes again later is only a repeated row.
+SEEN = 100_000
+
+
+def distinct_lines(texts: pa.Array, seen: set[int]) -> dict[str, int]:
+    """Lines that are not blank, once each, with their keys."""
     found: dict[str, int] = {}
+    if len(seen) > SEEN:
+        seen.clear()
     for t in texts:
         for line in (t.as_py() or "").split("\n"):
             line = normalised(line)
             if line and line not in found:
-                found[line] = line_key(line)
+                key = line_key(line)
+                if key not in seen:
+                    found[line] = key
+    seen.update(found.values())
     return found
 
 
 def banded(docs: DataFrame, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
-    """(key, line) of every band of every distinct line of a batch; with bits, of the bands that pass them."""
+    """(key, line) of every band of the distinct lines that a task sees; with bits, of the bands that pass them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = distinct_lines(b.column(0))
+        seen: set[int] = set()
+        for b in (p for whole in batches for p in pieces(whole, 0)):
+            found = distinct_lines(b.column(0), seen)
             keys = band_keys(list(found)).ravel()
             line = np.repeat(np.fromiter(found.values(), np.uint64, len(found)), BANDS)
             if bits is not None:
@@ -103,14 +147,31 @@ def banded(docs: DataFrame, text_col: str, bits: np.ndarray | None = None) -> Da
             for i in range(0, len(keys), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)].view(np.int64)) for x in (keys, line)], names=["key", "line"])
 
-    return docs.select(text_col).mapInArrow(run, "key long, line long")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, line long")
+
+
+def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(line, text) of the wanted lines, once each; only lines that pass a filter of their keys are shuffled."""
+    bits = filter_array(membership(wanted, low_bits(F.col("line"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in (p for whole in batches for p in pieces(whole, 0)):
+            found = distinct_lines(b.column(0), seen)
+            keys = np.fromiter(found.values(), np.uint64, len(found))
+            ok = passes(bits, keys)
+            text = [t for t, x in zip(found, ok.tolist()) if x]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(text, pa.string())], names=["line", "text"])
+
+    texts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "line long, text string")
+    return texts.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
 
 
 def lines_where(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(line, id, line_no) of every line that is not blank, of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, 1)):
             line, doc, no = [], [], []
             for d, t in enumerate(b.column(1)):
                 for i, x in enumerate((t.as_py() or "").split("\n")):
@@ -123,23 +184,7 @@ def lines_where(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, b.column(0).take(pa.array(doc, pa.int64())), pa.array(no, pa.int32())], names=["line", "id", "line_no"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"line long, id {kind}, line_no int")
-
-
-def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the wanted lines, once each."""
-    bits = filter_array(membership(wanted, low_bits(F.col("line"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = distinct_lines(b.column(0))
-            keys = np.fromiter(found.values(), np.uint64, len(found))
-            ok = passes(bits, keys)
-            text = [t for t, x in zip(found, ok.tolist()) if x]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(text, pa.string())], names=["line", "text"])
-
-    texts = docs.select(text_col).mapInArrow(run, "line long, text string")
-    return texts.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).where(F.col(id_col).isNotNull()).mapInArrow(run, f"line long, id {kind}, line_no int")
 
 
 #: Lines of a band that are compared as one block; of a larger band, every pair of blocks is compared.
@@ -148,12 +193,11 @@ BLOCK = 512
 BITMAP = 2048
 
 
-def linked(texts: list[str], roots: list[int], blocks: list[int] | None, threshold: float) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], roots: list[int], blocks: list[int] | None, threshold: float) -> list[tuple[int, int]]:
     """Pairs of positions that join lines of different roots at the threshold or more; enough to connect all that can be.
 
     With blocks, only pairs of different blocks count. A pair whose ends are connected already is not looked at.
     """
-    sets = [shingle_set(t) for t in texts]
     parent = {r: r for r in roots}
 
     def find(r: int) -> int:
@@ -164,19 +208,19 @@ def linked(texts: list[str], roots: list[int], blocks: list[int] | None, thresho
     def joins(i: int, j: int) -> bool:
         if find(roots[i]) == find(roots[j]):
             return False
-        both = len(sets[i] & sets[j])
+        both = shared(sets[i], sets[j])
         if both < threshold * (len(sets[i]) + len(sets[j]) - both):
             return False
         parent[find(roots[i])] = find(roots[j])
         return True
 
-    n = len(texts)
+    n = len(sets)
     if n == 2:
         return [(0, 1)] if (blocks is None or blocks[0] != blocks[1]) and joins(0, 1) else []
     size = np.array([len(x) for x in sets])
     bits = np.zeros((n, BITMAP), np.uint8)
     for row, x in zip(bits, sets):
-        row[np.fromiter(map(hash, x), np.int64, len(x)) % BITMAP] = 1
+        row[(x % np.uint64(BITMAP)).astype(np.int64)] = 1
     words = np.packbits(bits, axis=1).view(np.uint64)
     spare = size - np.bitwise_count(words).sum(1)  # shingles that share a bit with another one
     out = []
@@ -199,8 +243,11 @@ def link_bands(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
     members: (key, line, root). A band's lines come together in blocks of bounded size.
     """
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
-    placed = members.join(counts.select("key", "n"), "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("n")).cast("int"))
+    lines = [F.count(F.lit(1)).alias("c"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor(F.xxhash64("line")).alias("x")]
+    bands = members.groupBy("key").agg(*lines, F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    # of bands with the same lines, one is enough
+    counts = bands.groupBy("c", "low", "high", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("n"))
+    placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     cells = placed.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "line", "root", "block")
     rows = cells.join(texts, "line").repartition(parts(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -211,7 +258,6 @@ def link_bands(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
             if len({r[3] for r in rows}) < 2:
                 return []
-            rows = [r for r in rows if r[5] is not None]
             found = linked([r[5] for r in rows], [r[3] for r in rows], [r[4] for r in rows] if cell[1] != cell[2] else None, threshold)
             return [(rows[i][3], rows[j][3]) for i, j in found]
 
@@ -220,7 +266,7 @@ def link_bands(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
         for b in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            for row in zip(*(c.to_pylist() for c in b.columns[:5]), shingle_sets(b.column(5).to_pylist())):
                 if row[:3] != cell:
                     found += links(held)
                     cell, held = row[:3], []
@@ -238,10 +284,10 @@ def similar_lines(docs: DataFrame, text_col: str, threshold: float, scratch: Scr
     bands whose lines lie in several components are gone through, so that no pair that shares a band stays open.
     """
     ends = banded(docs, text_col).groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
-    shared = scratch.keep(ends.select("key"))
-    bits = filter_array(membership(shared, low_bits(F.col("key"))))
-    # equal lines of other batches come again
-    members = scratch.keep(banded(docs, text_col, bits).join(shared, "key").distinct())
+    several = scratch.keep(ends.select("key"))
+    bits = filter_array(membership(several, low_bits(F.col("key"))))
+    # equal lines of other tasks come again
+    members = scratch.keep(banded(docs, text_col, bits).join(several, "key").distinct())
     texts = scratch.keep(line_texts(docs, text_col, members.select("line").distinct()))
     some = members.where(F.col("key").bitwiseAND(F.lit(3)) == 0).withColumn("root", F.col("line"))
     links = scratch.keep(link_bands(some, texts, threshold))

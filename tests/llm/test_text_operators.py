@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from grainloom.llm.backoff_lm import lm_scores
 from grainloom.llm.debruijn import remove_repeats
 from grainloom.llm.langid import held_out, identify, learn_profiles
-from grainloom.llm.line_dedup import dedup_lines, normalised, shingle_set
+from grainloom.llm.line_dedup import dedup_lines, normalised
 from grainloom.llm.mixing import mix_sources
 from grainloom.llm.packing import best_bounds, pack
 from grainloom.llm.simhash import fingerprint, near_duplicates, ring_chain, ring_keys
@@ -107,10 +107,14 @@ def test_simhash_odd_tables(spark):
 # ---- line dedup
 
 
+def shingles(line, k=6):
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
 def brute_lines(texts, ids, threshold=0.8):
     occ = [(i, k, normalised(x)) for i, t in zip(ids, texts) if i is not None for k, x in enumerate((t or "").split("\n")) if normalised(x)]
     lines = sorted({x for *_, x in occ})
-    sets = [shingle_set(x) for x in lines]
+    sets = [shingles(x) for x in lines]
     roots = union_find(len(lines), [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])])
     root = dict(zip(lines, roots))
     first = {}
