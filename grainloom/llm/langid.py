@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 GAP = 32
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def letters(text: str | None) -> np.ndarray:
@@ -107,10 +107,10 @@ def learn_profiles(labelled: DataFrame, text_col: str, lang_col: str, size: int
                 lang = lang.as_py()
                 held.setdefault(lang, []).append(grams(text.as_py()))
                 sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1][0])
-                if sizes[lang] > 1 << 20:
+                if sizes[lang] > 1 << 18:
                     held[lang] = [merged(*map(list, zip(*held[lang])))]
                     sizes[lang] = len(held[lang][0][0])
-                    if sizes[lang] > 1 << 19:
+                    if sizes[lang] > 1 << 17:
                         yield out(lang)
                         sizes[lang] = 0
         for lang in list(held):
