@@ -14,7 +14,7 @@ from .vectors import matrix, usable
 
 #: The index is fitted on so many vectors at most (the ones whose ids hash lowest), fewer if they are long; all are indexed.
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 4_000_000
-#: Codes of one list, and queries of one list, that a task compares at a time.
+#: Codes of a group of lists, and queries, that a task compares at a time.
 LIST_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -82,7 +82,7 @@ class Index:
 
 
 def search(
-    vectors: DataFrame, queries: Column, k: int = 10, lists: int | None = None, target: float = 0.97, parts: int | None = None, rerank: int = 200, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, queries: Column, k: int = 10, lists: int | None = None, target: float = 0.97, parts: int | None = None, rerank: int = 150, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """The k nearest neighbours of each query vector by Euclidean distance: query_id, rank int, vec_id, score double.
 
@@ -122,33 +122,49 @@ def search(
 
     coded = scratch.keep(rows.mapInArrow(encode, "vec_id long, list int, code binary"))
     asked = scratch.keep(rows.where(queries).mapInArrow(probes, "query_id long, q array<double>, list int"))
-    # both sides of a large list are cut into blocks of bounded size, and every pair of blocks is compared once
-    cut = coded.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("rb"))
-    ask = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
-    cells = F.broadcast(cut.join(ask, "list"))  # a row for each list, 4096 at most
-    left = coded.join(cells, "list").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rb")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-    right = asked.join(cells, "list").withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
+    # lists form groups of bounded size, a large list one of its own in several blocks; queries come in blocks too, and
+    # every group block meets every query block that probes it once
+    sizes = coded.groupBy("list").count().collect()  # a row for each list, 4096 at most
+    groups: list[tuple[int, int, int]] = []
+    group, room = -1, 0
+    for at, n in sorted((r["list"], r["count"]) for r in sizes):
+        if n > room:
+            group, room = group + 1, LIST_BLOCK
+        room -= n
+        groups.append((at, group, max(1, -(-n // LIST_BLOCK))))
+    lefts, rights = (F.broadcast(spark.createDataFrame(groups, "list int, g int, rb int")) for _ in range(2))
+    qb = max(1, -(-rows.where(queries).count() // QUERY_BLOCK))
+    left = coded.join(lefts, "list").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rb")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    right = asked.join(rights, "list").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
 
     def compare(codes: pa.Table, wanted: pa.Table) -> pa.Table:
-        ids = codes.column("vec_id").to_numpy()
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(ids) and wanted.num_rows:
+        if codes.num_rows and wanted.num_rows:
+            ids, lists_ = codes.column("vec_id").to_numpy(), codes.column("list").to_numpy()
+            order = np.lexsort((ids, lists_))
+            ids, lists_ = ids[order], lists_[order]
             raw = codes.column("code").to_pylist()
-            table = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            order = ids.argsort(kind="stable")
-            ids, table = ids[order], table[order]
-            at = codes.column("list")[0].as_py()
-            for q, v in zip(wanted.column("query_id").to_pylist(), matrix(wanted.column("q"), dim)):
-                d = index.distances(v, at, table)
-                d[ids == q] = np.inf
-                best = d.argsort(kind="stable")[:rerank]  # ids ascend, so ties go to the smaller
-                best = best[np.isfinite(d[best])]
-                out.append((np.full(len(best), q), ids[best], d[best]))
+            table = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)[order]
+            asking, probed, v = wanted.column("query_id").to_numpy(), wanted.column("list").to_numpy(), matrix(wanted.column("q"), dim)
+            turn = np.lexsort((probed, asking))
+            for own in np.split(turn, np.flatnonzero(np.diff(asking[turn])) + 1):
+                q, near, who = int(asking[own[0]]), [], []
+                for i in own.tolist():
+                    a, z = np.searchsorted(lists_, probed[i]), np.searchsorted(lists_, probed[i], side="right")
+                    if a < z:
+                        near.append(index.distances(v[i], int(probed[i]), table[a:z]))
+                        who.append(ids[a:z])
+                if near:
+                    d, who_ = np.concatenate(near), np.concatenate(who)
+                    d[who_ == q] = np.inf
+                    best = np.lexsort((who_, d))[:rerank]
+                    best = best[np.isfinite(d[best])]
+                    out.append((np.full(len(best), q), who_[best], d[best]))
         q, i, d = (np.concatenate(x) if x else np.zeros(0) for x in (zip(*out) if out else ((), (), ())))
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(i.astype(np.int64)), "near": pa.array(d.astype(np.float64))})
 
-    key = ["list", "r", "b"]
-    found = left.select(*key, "vec_id", "code").groupBy(*key).cogroup(right.select(*key, "query_id", "q").groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, near double")
+    key = ["g", "r", "b"]
+    found = left.select(*key, "vec_id", "list", "code").groupBy(*key).cogroup(right.select(*key, "query_id", "q", "list").groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, near double")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))).where(F.col("n") <= rerank).select("query_id", "vec_id")
     exact = best.join(rows, "vec_id").join(rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     apart = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
