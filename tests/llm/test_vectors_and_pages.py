@@ -122,3 +122,10 @@ def test_equal_articles_of_a_host_stay(spark):
     page = "<body><nav>x</nav><article><h1>A</h1><p>Same text</p></article></body>"
     df = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(12)], "page_id long, url string, html string")
     assert {r["text"] for r in extract_main_text(df).collect()} == {"A\nSame text"}
+
+
+def test_search_reranks_200(spark, rows):
+    x = np.random.default_rng(6).normal(0, 1, (1500, 24)).astype(np.float32)  # a single coarse code: true neighbours lie deep in its order
+    asked, df = F.col("vec_id") % 100 == 0, vectors(spark, x, odd=False)
+    deep = rows(search(df, asked, lists=1, parts=1, rerank=200))
+    assert rows(search(df, asked, lists=1, parts=1)) == deep != rows(search(df, asked, lists=1, parts=1, rerank=150))
