@@ -13,8 +13,8 @@ from grainloom.llm.common import Scratch
 from grainloom.llm.langid import UNKNOWN, held_out, identify, learn_profiles
 from grainloom.llm.line_dedup import dedup_lines
 from grainloom.llm.mixing import mix_sources
+from grainloom.llm.near_copies import near_copies as copies
 from grainloom.llm.packing import pack
-from grainloom.llm.simhash import near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; texts without words are one group, as their fingerprints agree."""
-    others = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+    """Keeps the document with the smallest id of each group of near copies: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    others = copies(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 

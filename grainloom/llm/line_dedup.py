@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,10 +238,10 @@ def linked(sets: list[np.ndarray], roots: list[int], blocks: list[int] | None, t
     return out
 
 
-def link_bands(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def link_bands(members: DataFrame, texts: DataFrame, threshold: float, sets: Callable[[list[str]], Iterable[np.ndarray]] = shingle_sets) -> DataFrame:
     """(a, b): links between the roots of lines that share a band and are alike; enough to connect all such lines.
 
-    members: (key, line, root). A band's lines come together in blocks of bounded size.
+    members: (key, line, root). A band's lines come together in blocks of bounded size. sets: shingles of texts.
     """
     lines = [F.count(F.lit(1)).alias("c"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor(F.xxhash64("line")).alias("x")]
     bands = members.groupBy("key").agg(*lines, F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
@@ -266,7 +266,7 @@ def link_bands(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 
         for b in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in b.columns[:5]), shingle_sets(b.column(5).to_pylist())):
+            for row in zip(*(c.to_pylist() for c in b.columns[:5]), sets(b.column(5).to_pylist())):
                 if row[:3] != cell:
                     found += links(held)
                     cell, held = row[:3], []
