@@ -593,6 +593,13 @@ def n6(spark, d):
     return out.select("doc_id", "category", r("sentiment_score").alias("sentiment_score"), "impact_score", "certainty_factor", "weight", r("final_score").alias("final_score"))
 
 
+@query("n6_score_news_all", ORACLES["n6_score_news"].replace(TITLE, "lower(text)"))
+def n6_all(spark, d):
+    x = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("title"))
+    out = news.score_news(x, region="th", **NEWS_WORDS)
+    return out.select("doc_id", "category", r("sentiment_score").alias("sentiment_score"), "impact_score", "certainty_factor", "weight", r("final_score").alias("final_score"))
+
+
 # ---- classification
 
 LABELLED = "x AS (SELECT l.doc_id, quality, n_chars, (n_chars > 1500)::INTEGER AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)"
