@@ -644,14 +644,14 @@ def m4(spark, d):
     import datetime
 
     train, test = learn.time_split(training(spark, d), datetime.date(2000, 1, 1))
-    models = learn.fit_all([learn.boosted_trees(MODEL, "target_updown_t7", maxIter=10)], train)
+    models = learn.fit_all([learn.boosted_trees(MODEL, "target_updown_t7")], train)
     return learn.probability(models, test, MODEL).select("series", "date", r("probability_up", 4).alias("probability_up"))
 
 
 @query("m9_what_if")
 def m9(spark, d):
     x = training(spark, d)
-    models = learn.fit_all(learn.ensemble(MODEL, "target_updown_t7", {"maxIter": 5})[2:], x)
+    models = learn.fit_all(learn.ensemble(MODEL, "target_updown_t7"), x)
     late = align.latest_asof(x, "series")
     return learn.what_if(late, MODEL, lambda v: learn.probability(models, v, MODEL), ["series"])
 
@@ -659,7 +659,7 @@ def m9(spark, d):
 @query("m10_contributions")
 def m10(spark, d):
     x = training(spark, d)
-    models = learn.fit_all(learn.ensemble(MODEL, "target_updown_t7", {"maxIter": 5})[2:], x)
+    models = learn.fit_all(learn.ensemble(MODEL, "target_updown_t7"), x)
     return learn.importance(learn.contributions(x, MODEL, lambda v: learn.probability(models, v, MODEL), ["series", "date"]))
 
 
