@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,14 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, else (tests) a new temporary one."""
+    """The folder that driver and executors share: the session's checkpoint folder. Only a local master, whose executors
+    share one machine, may do without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="grainloom-"))
     return sc.getCheckpointDir()
 
 
@@ -30,20 +35,27 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.kept = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
+        self.kept[id(out)] = (out, path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Removes a kept table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes kept tables that nothing reads any more."""
+        for df in tables:
+            _, path = self.kept.pop(id(df))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Removes all kept tables but these, which a result still reads."""
+        stay = {id(df) for df in tables}
+        self.drop(*[df for df, _ in self.kept.values() if id(df) not in stay])
 
 
 def parts(spark: SparkSession) -> int:
@@ -110,40 +122,62 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
         state = tuple(seen)
 
 
-#: Bits of a membership filter: 4 MB, whatever the data. A full filter only lets more rows through.
-FILTER_BITS = 1 << 25
+#: Bits of a membership filter: 16 for each key, but 4 MB at least and 32 MB at most. A full filter only lets more rows
+#: through to the exact join behind it.
+LEAST_BITS, MOST_BITS = 1 << 25, 1 << 28
 
 
-def membership(keys: DataFrame, at: Column) -> DataFrame:
-    """(filter_bucket, filter_bits): which positions (0 to FILTER_BITS - 1) occur; at most FILTER_BITS / 32768 rows of 4 KB.
+def filter_bits(keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys - 1).bit_length()))
 
-    A filter only saves shuffles: what passes is joined exactly afterwards.
-    """
+
+def low_bits(c: Column, bits: int) -> Column:
+    return c.bitwiseAND(F.lit(bits - 1))
+
+
+def membership(keys: DataFrame, at: Column) -> DataFrame:
+    """(bucket, bits): which positions (from 0) occur, 32768 to a row of 4 KB."""
     rows = keys.select((at + 1).alias("at"))  # bucket b holds 32768 * (b - 1) + 1 to 32768 * b
-    return rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("filter_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("filter_bits"))
+    return rows.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
 
 
-def filter_array(rows: DataFrame) -> np.ndarray:
-    """A membership filter as bytes, for use in Python tasks."""
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b, bits in rows.collect():
-        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(bits), np.uint8)
+def filter_array(keys: DataFrame, key: str, count: int) -> np.ndarray:
+    """A membership filter of `count` 64-bit keys as bytes, for use in Python tasks."""
+    bits = filter_bits(count)
+    out = np.zeros(bits // 8, np.uint8)
+    for b, row in membership(keys, low_bits(F.col(key), bits)).collect():  # 32 MB at most
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(row), np.uint8)
     return out
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the low bits of 64-bit keys are in the filter."""
-    at = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    at = (keys & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def low_bits(c: Column) -> Column:
-    return c.bitwiseAND(F.lit(FILTER_BITS - 1))
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be in the column `name` of keys, and those whose key is not; nulls are not.
 
-
-def maybe_in(df: DataFrame, at: Column, rows: DataFrame, name: str) -> DataFrame:
-    """df with a boolean column: whether the filter has the row's position. rows has a fixed size and is broadcast."""
-    bucket, bit = F.shiftright(at, 15) + 1, at.bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.expr("substring(filter_bits, cast(filter_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = df.withColumn("filter_bit", bit).join(F.broadcast(rows), bucket == F.col("filter_bucket"), "left")
-    return found.withColumn(name, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(filter_bit % 8 as int))")) != 0, F.lit(False))).drop("filter_bit", "filter_bucket", "filter_bits")
+    A filter of keys is broadcast, so that the others need no shuffle.
+    """
+    bits = filter_bits(keys.count())
+    rows = scratch.keep(membership(keys, low_bits(F.xxhash64(name), bits)).toDF("maybe_bucket", "maybe_bits"))
+    at = low_bits(F.xxhash64(key), bits)
+    byte = F.conv(F.hex(F.expr("substring(maybe_bits, cast(maybe_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumn("maybe_bit", at.bitwiseAND(F.lit(32767))).join(F.broadcast(rows), F.shiftright(at, 15) + 1 == F.col("maybe_bucket"), "left")
+    found = found.withColumn("maybe_hit", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(maybe_bit % 8 as int))")) != 0, F.lit(False)) & key.isNotNull())
+    return tuple(found.where(c).drop("maybe_bit", "maybe_bucket", "maybe_bits", "maybe_hit") for c in (F.col("maybe_hit"), ~F.col("maybe_hit")))
+
+
+def packed_rows(key: np.ndarray, n: int, *values: np.ndarray) -> list[tuple]:
+    """(shard, key bytes, bytes of each value) of 64-bit keys, which must ascend; a shard has an equal range of keys."""
+    shard = ((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    used, first = np.unique(shard, return_index=True)
+    cuts = [*first.tolist(), len(key)]
+    return [(int(s), *(x[a:b].tobytes() for x in (key, *values))) for s, a, b in zip(used, cuts, cuts[1:])]
+
+
+def runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)

@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, filter_array, low_bits, maybe_in, membership, mix, parts, passes, pieces
+from .common import Scratch, binary, components, filter_array, maybe_in, mix, packed_rows, parts, passes, pieces, runs
 
 #: Characters of a shingle; bands, and rows of a band. Lines at similarity 0.8 share no band with probability 0.4 %.
 SHINGLE, BANDS, ROWS = 6, 14, 5
 CHUNK = 1 << 17
+#: Shingles that are hashed side by side, small enough for a processor's cache.
+CELL = 1 << 17
 _random = np.random.default_rng(20)
 MULTIPLY = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SCRAMBLE = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -22,7 +24,10 @@ SCRAMBLE = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 def normalised(line: str) -> str:
     """What two lines are compared by: lower case, white space runs as one space; empty for a blank line."""
-    return " ".join(line.lower().split())
+    line = line.lower()
+    if line.isprintable() and "  " not in line:  # then its only white space is single spaces
+        return line.strip(" ")
+    return " ".join(line.split())
 
 
 def line_key(text: str) -> int:
@@ -70,45 +75,43 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(c[1:] == c[:-1]))
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) keys; the MinHash signature of a line's character shingles, hashed by band."""
-    if not lines:
-        return np.zeros((0, BANDS), np.uint64)
-    out = np.full((len(lines), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
-    todo: list[tuple[int, str]] = []
-    size = 0
-
-    def flush() -> None:
-        lengths = np.array([len(t) for _, t in todo])
-        h = (rolled(code_points("".join(t for _, t in todo))) >> np.uint64(32)).astype(np.uint32)
-        # of the shingles that run into the next line, none counts
-        ends = np.cumsum(lengths)
-        bad = (ends[:-1, None] - np.arange(1, SHINGLE)).ravel()
-        starts = ends - lengths
+def least_hashes(texts: list[str]) -> np.ndarray:
+    """(texts, BANDS * ROWS) MinHashes of the shingles of each text; none may be shorter than a shingle."""
+    out = np.empty((BANDS * ROWS, len(texts)), np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at : at + CELL]), CELL, side="right")) + at)
+        ends = np.cumsum(sizes[at:end])
+        h = (rolled(code_points("".join(texts[at:end]))) >> np.uint64(32)).astype(np.uint32)
+        # of the shingles that run into the next text, none counts
         keep = np.ones(len(h), bool)
-        keep[bad] = False
-        starts = starts - np.arange(len(starts)) * (SHINGLE - 1)
+        keep[(ends[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
         h = h[keep]
-        owner = np.array([i for i, _ in todo])
+        starts = ends - sizes[at:end] - np.arange(end - at) * (SHINGLE - 1)
+        room = np.empty_like(h)
         for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((h ^ SCRAMBLE[k]) * MULTIPLY[k], starts)
-            np.minimum.at(out[:, k], owner, least)
-        todo.clear()
+            np.bitwise_xor(h, SCRAMBLE[k], out=room)
+            np.multiply(room, MULTIPLY[k], out=room)
+            np.minimum.reduceat(room, starts, out=out[k, at:end])
+        at = end
+    return out.T
+
 
-    for i, line in enumerate(lines):
+def band_keys(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) keys; the MinHash signature of a line's character shingles, hashed by band."""
+    if not lines:
+        return np.zeros((0, BANDS), np.uint64)
+    parts_, first = [], []
+    for line in lines:
+        first.append(len(parts_))
         line = line.ljust(SHINGLE, "\0")
-        for a in range(0, len(line) - SHINGLE + 1, CHUNK):  # a long line in overlapping pieces
-            piece = line[a : a + CHUNK + SHINGLE - 1]
-            todo.append((i, piece))
-            size += len(piece)
-            if size > CHUNK:
-                flush()
-                size = 0
-    if todo:
-        flush()
+        parts_ += [line[a : a + CHUNK + SHINGLE - 1] for a in range(0, len(line) - SHINGLE + 1, CHUNK)]  # a long line in overlapping pieces
+    least = least_hashes(parts_)
+    least = np.minimum.reduceat(least, first, axis=0) if len(parts_) > len(lines) else least
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
-        keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + out[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
+        keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + least[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
     return keys
 
 
@@ -132,47 +135,105 @@ def distinct_lines(texts: pa.Array, seen: set[int]) -> dict[str, int]:
     return found
 
 
-def banded(docs: DataFrame, text_col: str, bits: np.ndarray | None = None) -> DataFrame:
-    """(key, line) of every band of the distinct lines that a task sees; with bits, of the bands that pass them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in (p for whole in batches for p in pieces(whole, 0)):
-            found = distinct_lines(b.column(0), seen)
-            keys = band_keys(list(found)).ravel()
-            line = np.repeat(np.fromiter(found.values(), np.uint64, len(found)), BANDS)
-            if bits is not None:
-                ok = passes(bits, keys)
-                keys, line = keys[ok], line[ok]
-            for i in range(0, len(keys), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)].view(np.int64)) for x in (keys, line)], names=["key", "line"])
+#: Band keys that a task gathers before it sends them, and lines from which on it calls a band among them hot.
+SENT, HOT = 1 << 20, 64
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, line long")
 
+def shared_bands(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """(key, n, a, line): the lines of every band that several distinct lines share, once for each set of lines; n is
+    their number and a the smallest.
 
-def line_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the wanted lines, once each; only lines that pass a filter of their keys are shuffled."""
-    bits = filter_array(membership(wanted, low_bits(F.col("line"))))
+    A task sends its band keys as packed arrays to shards of the key range, one a shuffle partition. Of a hot band it
+    sends one line there, and all its lines as known members to any shard; so what a shard reads of one band is
+    bounded by the number of tasks, however many lines share it.
+    """
+    n = parts(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            key, line = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(key)
+            key, line = key[order], line[order]
+            first = runs(key)
+            size = np.diff(np.append(first, len(key)))
+            hot = np.repeat(size >= HOT, size)
+            known = np.stack([key[hot], line[hot]], 1)
+            stay = ~hot
+            stay[first] = True
+            rows = packed_rows(key[stay], n, line[stay], hot[stay])
+            share = np.linspace(0, len(known), len(rows) + 1).astype(np.int64)
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *map(binary, cols[1:]), binary([known[a:b].tobytes() for a, b in zip(share, share[1:])])], names=["shard", "keys", "lines", "hot", "known"])
+
         for b in (p for whole in batches for p in pieces(whole, 0)):
             found = distinct_lines(b.column(0), seen)
-            keys = np.fromiter(found.values(), np.uint64, len(found))
-            ok = passes(bits, keys)
-            text = [t for t, x in zip(found, ok.tolist()) if x]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(text, pa.string())], names=["line", "text"])
-
-    texts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "line long, text string")
-    return texts.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
-
-
-def lines_where(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(line, id, line_no) of every line that is not blank, of every document with an id."""
+            if found:
+                held.append((band_keys(list(found)).ravel(), np.repeat(np.fromiter(found.values(), np.uint64, len(found)), BANDS)))
+            if sum(len(k) for k, _ in held) >= SENT:
+                yield packed()
+        if held:
+            yield packed()
+
+    def bands(key: np.ndarray, line: np.ndarray, hot: bool) -> pa.RecordBatch:
+        """Runs of equal keys, lines ascending within them."""
+        first = runs(key)
+        size = np.diff(np.append(first, len(key)))
+        x = np.bitwise_xor.reduceat(mix(line.view(np.uint64)), first) if len(first) else key
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(line))
+        cols = [pa.array(key[first].view(np.int64)), pa.array(size, pa.int64()), pa.array(line[first]), pa.array(x.view(np.int64)), lists, pa.array(np.full(len(first), hot))]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "n", "a", "x", "lines", "hot"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lines, hots = [], [], []
+        for b in batches:
+            keys += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            lines += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            hots += [np.frombuffer(x, bool) for x in b.column(3).to_pylist()]
+            known = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64).reshape(-1, 2)
+            yield bands(known[:, 0].copy(), known[:, 1].copy(), True)
+        if keys:
+            key, line, hot = (np.concatenate(x) for x in (keys, lines, hots))
+            order = np.argsort(key)
+            key, line, hot = key[order], line[order], hot[order]
+            first = runs(key)
+            size = np.diff(np.append(first, len(key)))
+            own = np.repeat(size > 1, size)
+            hot = np.repeat(np.logical_or.reduceat(hot, first), size)
+            yield bands(key[hot], line[hot], True)
+            key, line = key[own & ~hot], line[own & ~hot]
+            order = np.lexsort((line, key))
+            key, line = key[order], line[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])[: len(key)]
+            key, line = key[new], line[new]
+            size = np.diff(np.append(runs(key), len(key)))
+            several = np.repeat(size > 1, size)
+            yield bands(key[several], line[several], False)
+
+    sent = docs.select(F.col(text_col).cast("string")).mapInArrow(send, "shard int, keys binary, lines binary, hot binary, known binary")
+    found = scratch.keep(sent.repartitionById(n, "shard").mapInArrow(meet, "key long, n long, a long, x long, lines array<long>, hot boolean"))
+    usual = found.where("NOT hot").dropDuplicates(["n", "a", "x"]).select("key", "n", "a", F.explode("lines").alias("line"))
+    hot = one_of_each(found.where("hot").select("key", F.explode("lines").alias("line")).distinct())
+    return usual.unionByName(hot)
+
+
+def one_of_each(members: DataFrame) -> DataFrame:
+    """(key, n, a, line) of the bands of (key, line), without bands of one line; of bands with the same lines, one."""
+    size = [F.count(F.lit(1)).alias("n"), F.min("line").alias("a"), F.max("line").alias("z"), F.bit_xor(F.xxhash64("line")).alias("x")]
+    bands = members.groupBy("key").agg(*size).where("a < z").groupBy("n", "a", "z", "x").agg(F.min("key").alias("key"))
+    return members.join(bands.select("key", "n", "a"), "key").select("key", "n", "a", "line")
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """(line, id, line_no, text) of every line that is not blank; text, normalised, once a task of lines that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in (p for whole in batches for p in pieces(whole, 1)):
-            line, doc, no = [], [], []
+            line, doc, no, text = [], [], [], []
             for d, t in enumerate(b.column(1)):
                 for i, x in enumerate((t.as_py() or "").split("\n")):
                     x = normalised(x)
@@ -180,11 +241,21 @@ def lines_where(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         line.append(line_key(x))
                         doc.append(d)
                         no.append(i)
-            keys = pa.array(np.array(line, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([keys, b.column(0).take(pa.array(doc, pa.int64())), pa.array(no, pa.int32())], names=["line", "id", "line_no"])
+                        text.append(x)
+            keys = np.array(line, np.uint64)
+            for i in np.flatnonzero(~passes(bits, keys)).tolist():
+                text[i] = None
+            if len(seen) > SEEN:
+                seen.clear()
+            for i in np.flatnonzero(passes(bits, keys)).tolist():
+                if line[i] in seen:
+                    text[i] = None
+                else:
+                    seen.add(line[i])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(doc, pa.int64())), pa.array(no, pa.int32()), pa.array(text, pa.string())], names=["line", "id", "line_no", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).where(F.col(id_col).isNotNull()).mapInArrow(run, f"line long, id {kind}, line_no int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"line long, id {kind}, line_no int, text string")
 
 
 #: Lines of a band that are compared as one block; of a larger band, every pair of blocks is compared.
@@ -238,17 +309,37 @@ def linked(sets: list[np.ndarray], roots: list[int], blocks: list[int] | None, t
     return out
 
 
-def link_bands(members: DataFrame, texts: DataFrame, threshold: float, sets: Callable[[list[str]], Iterable[np.ndarray]] = shingle_sets) -> DataFrame:
+Sets = Callable[[list[str]], Iterable[np.ndarray]]
+
+
+def alike(pairs: DataFrame, texts: DataFrame, threshold: float, sets: Sets) -> DataFrame:
+    """The (a, b) of pairs of lines whose texts have the threshold's similarity or more."""
+    left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("s")), texts.select(F.col("line").alias("b"), F.col("text").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # a line comes with all its partners in turn
+            turn = b.column(0).to_numpy()
+            first = runs(turn)
+            ones = list(sets(b.column(2).take(pa.array(first)).to_pylist()))
+            at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(turn))))
+            ok = []
+            for i, other in zip(at.tolist(), sets(b.column(3).to_pylist())):
+                both = shared(ones[i], other)
+                ok.append(both >= threshold * (len(ones[i]) + len(other) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def linked_bands(members: DataFrame, texts: DataFrame, threshold: float, sets: Sets) -> DataFrame:
     """(a, b): links between the roots of lines that share a band and are alike; enough to connect all such lines.
 
-    members: (key, line, root). A band's lines come together in blocks of bounded size. sets: shingles of texts.
+    members: (key, n, line, root). A band's lines come together in blocks of bounded size.
     """
-    lines = [F.count(F.lit(1)).alias("c"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor(F.xxhash64("line")).alias("x")]
-    bands = members.groupBy("key").agg(*lines, F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
-    # of bands with the same lines, one is enough
-    counts = bands.groupBy("c", "low", "high", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("n"))
-    placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    bands = members.groupBy("key").agg(F.first("n").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    placed = members.join(bands.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "line", "root", "block")
     rows = cells.join(texts, "line").repartition(parts(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -277,24 +368,42 @@ def link_bands(members: DataFrame, texts: DataFrame, threshold: float, sets: Cal
     return rows.select("key", "i", "j", "root", "block", "text").mapInArrow(run, "a long, b long")
 
 
-def similar_lines(docs: DataFrame, text_col: str, threshold: float, scratch: Scratch) -> DataFrame:
-    """(line, root) of every line that is near another one; root is the smallest key of its component.
+def classes(members: DataFrame, texts: DataFrame, threshold: float, sets: Sets, scratch: Scratch) -> DataFrame:
+    """(line, root) of every line that is connected to another one by links between lines that share a band and are alike.
 
-    Two lines are candidates if they share a band. A quarter of the bands connects most of what is alike; then all
-    bands whose lines lie in several components are gone through, so that no pair that shares a band stays open.
+    members: (key, n, a, line), see shared_bands. First each band's lines are held against its smallest one, a pair for
+    each line whatever the size of the band; this settles bands of two and connects most of what is alike. Then the
+    larger bands whose lines still lie in several components are compared whole, but for pairs that are connected.
     """
-    ends = banded(docs, text_col).groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
-    several = scratch.keep(ends.select("key"))
-    bits = filter_array(membership(several, low_bits(F.col("key"))))
-    # equal lines of other tasks come again
-    members = scratch.keep(banded(docs, text_col, bits).join(several, "key").distinct())
-    texts = scratch.keep(line_texts(docs, text_col, members.select("line").distinct()))
-    some = members.where(F.col("key").bitwiseAND(F.lit(3)) == 0).withColumn("root", F.col("line"))
-    links = scratch.keep(link_bands(some, texts, threshold))
-    roots = components(links, "a", "b", scratch)
-    rooted = scratch.keep(members.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", F.coalesce("root", "line").alias("root")))
-    more = scratch.keep(link_bands(rooted, texts, threshold))
-    return components(links.union(more), "a", "b", scratch).withColumnRenamed("node", "line")
+    pairs = members.where("line > a").select("a", F.col("line").alias("b")).distinct()
+    roots = components(scratch.keep(alike(pairs, texts, threshold, sets)), "a", "b", scratch)
+    roots = scratch.keep(roots.select(F.col("node").alias("line"), "root"))
+    rooted = scratch.keep(members.where("n > 2").join(roots, "line", "left").select("key", "n", "line", F.coalesce("root", "line").alias("root")))
+    more = components(scratch.keep(linked_bands(rooted, texts, threshold, sets)), "a", "b", scratch)  # between roots
+    more = scratch.keep(more.select(F.col("node").alias("root"), F.col("root").alias("last")))
+    joined = roots.join(more, "root", "left").select("line", F.coalesce("last", "root").alias("root"))
+    return joined.union(more.join(roots.select(F.col("line").alias("root")), "root", "left_anti").select(F.col("root").alias("line"), F.col("last").alias("root")))
+
+
+def removals(docs: DataFrame, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, gone): the numbers of the lines that go, of each document that loses any."""
+    members = scratch.keep(shared_bands(docs, text_col, scratch))
+    lines = members.select("line").distinct()
+    found = scratch.keep(places(docs, id_col, text_col, filter_array(lines, "line", members.count())))
+    texts = scratch.keep(found.where("text IS NOT NULL").join(lines, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")))
+    roots = scratch.keep(classes(members, texts, threshold, shingle_sets, scratch))
+    placed = found.where("id IS NOT NULL").select("line", "id", "line_no").join(roots, "line", "left").select(F.coalesce("root", "line").alias("root"), "id", "line_no")
+    placed = scratch.keep(placed)
+    first = scratch.keep(placed.groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # classes with over 1 / few of all rows are broadcast, as there are fewer than `few` of them; the others are shuffled
+    few = 4 * parts(docs.sparkSession)
+    hot = first.where(F.col("n") > placed.count() / few)
+    cold = first.join(F.broadcast(hot.select("root")), "root", "left_anti")
+    late = placed.join(F.broadcast(hot), "root").unionByName(placed.join(F.broadcast(hot.select("root")), "root", "left_anti").join(cold, "root"))
+    late = late.where(F.struct("id", "line_no") != F.col("first"))
+    cut = scratch.keep(late.groupBy("id").agg(F.collect_set("line_no").alias("gone")))
+    scratch.only(cut)
+    return cut
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,34 +415,23 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     missed with 0.4 % unless others link it). Of each class the occurrence with the smallest (id, line number) stays.
     Blank lines stay. Null and empty texts stay as they are; they have 0 and 1 lines. Rows with a null id stay as
     they are and own no line; rows with equal ids count as one document, whose equal lines at an equal place stay
-    together. An empty table gives an empty result. Columns named n_lines and n_removed are replaced; other columns pass.
+    together. Texts and lines of any length are read whole. An empty table gives an empty result. Columns named n_lines and
+    n_removed are replaced; other columns pass, whatever their names.
     """
     docs = docs.drop("n_lines", "n_removed")
+    names = docs.columns
+    key, body = names.index(id_col), names.index(text_col)
     scratch = Scratch(docs.sparkSession)
     cut = removals(docs, threshold, id_col, text_col, scratch)
-    at = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 25))
-    rows = membership(cut, F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 25)))
-    flagged = maybe_in(docs, at, scratch.keep(rows), "_hit")
-    text = F.col(text_col)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    maybe, others = maybe_in(rows, F.col(f"c{key}"), cut, "id", scratch)
+    joined = maybe.join(cut, F.col(f"c{key}") == F.col("id"), "left").drop("id").unionByName(others.withColumn("gone", F.lit(None).cast("array<int>")))
+    text, gone = F.col(f"c{body}"), F.array_sort(F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split(text, "\n", -1)
-    count = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    count = F.when(text.isNull(), F.lit(0)).otherwise(count).cast("long")
-    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    whole = flagged.where("NOT _hit").select(*own, count.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = flagged.where("_hit").join(cut, F.col(id_col) == F.col("id"), "left")
-    gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
-    table = F.map_from_arrays(gone, gone)
-    kept = F.filter(lines, lambda _, i: ~F.map_contains_key(table, i))
-    short = F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n")).alias(text_col)
-    out = [short if c == text_col else x for c, x in zip(docs.columns, own)]
-    return whole.unionByName(joined.select(*out, count.alias("n_lines"), F.size(gone).cast("long").alias("n_removed")))
-
-
-def removals(docs: DataFrame, threshold: float, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(id, gone): the numbers of the lines that go, of each document that loses any."""
-    roots = scratch.keep(similar_lines(docs, text_col, threshold, scratch))
-    where = lines_where(docs, id_col, text_col)
-    placed = where.join(roots, "line", "left").select(F.coalesce("root", "line").alias("root"), "id", "line_no")
-    first = placed.groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "first")
-    late = placed.join(first, "root").where(F.struct("id", "line_no") != F.col("first"))
-    return scratch.keep(late.select("id", "line_no").groupBy("id").agg(F.collect_set("line_no").alias("gone")))
+    # a flag for each line, from the gaps between the numbers that go; array_join skips nulls
+    flags = F.zip_with(F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(lines))), lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False))))
+    kept = F.zip_with(lines, F.flatten(flags), lambda line, stays: F.when(stays, line))
+    short = F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n"))
+    count = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    out = joined.select(*[short.alias(f"c{i}") if i == body else F.col(f"c{i}") for i in range(len(names))], count.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+    return out.toDF(*names, "n_lines", "n_removed")

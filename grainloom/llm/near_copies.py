@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, filter_array, low_bits, membership, mix, passes, pieces
-from .line_dedup import BANDS, CHUNK, MULTIPLY, ROWS, SCRAMBLE, link_bands
+from .common import Scratch, filter_array, mix, passes, pieces
+from .line_dedup import BANDS, CHUNK, MULTIPLY, ROWS, SCRAMBLE, classes, one_of_each
 
 #: Words of a shingle. Bands are those of the lines: documents at similarity 0.8 share none with probability 0.4 %.
 WORDS = 5
@@ -65,9 +65,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"id {kind}, node long, keys array<long>")
 
 
-def node_texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+def node_texts(docs: DataFrame, text_col: str, wanted: DataFrame, count: int) -> DataFrame:
     """(line, text): the normalised text of each wanted node; only texts that pass a filter of their keys are shuffled."""
-    bits = filter_array(membership(wanted, low_bits(F.col("line"))))
+    bits = filter_array(wanted, "line", count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for whole in batches for p in pieces(whole, 0)):
@@ -93,16 +93,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     prints = scratch.keep(signatures(docs, id_col, text_col))
     nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")))
     banded = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("line"))
-    several = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = scratch.keep(banded.join(several, "key"))
-    texts = scratch.keep(node_texts(docs, text_col, members.select("line").distinct()))
-    # a quarter of the bands connects most of what is alike; then the bands whose documents lie in several components
-    some = members.where(F.col("key").bitwiseAND(F.lit(3)) == 0).withColumn("root", F.col("line"))
-    links = scratch.keep(link_bands(some, texts, threshold, shingle_sets))
-    roots = components(links, "a", "b", scratch)
-    rooted = scratch.keep(members.join(roots.withColumnRenamed("node", "line"), "line", "left").select("key", "line", F.coalesce("root", "line").alias("root")))
-    more = scratch.keep(link_bands(rooted, texts, threshold, shingle_sets))
-    roots = components(links.union(more), "a", "b", scratch)
+    members = scratch.keep(one_of_each(banded))
+    texts = scratch.keep(node_texts(docs, text_col, members.select("line").distinct(), members.count()))
+    roots = classes(members, texts, threshold, shingle_sets, scratch).select(F.col("line").alias("node"), "root")
     placed = scratch.keep(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return prints.join(named, "node").select(F.col("id").alias(id_col), "component_id")

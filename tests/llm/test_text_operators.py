@@ -142,6 +142,21 @@ def test_lines_columns_nulls_and_counts(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_pass_columns_of_any_name(spark):
+    names = ["id", "gone", "_hit", "filter_bit", "maybe_bit", "c0", "text"]
+    df = docs(spark, ["x y\nx y", "q"]).withColumnsRenamed({"doc_id": "id"}).select("id", *[F.lit(n).alias(n) for n in names[1:-1]], "text")
+    got = {r["id"]: r for r in dedup_lines(df, id_col="id").collect()}
+    assert got[0]["text"] == "x y" and got[1]["text"] == "q" and all(got[0][n] == n for n in names[1:-1])
+
+
+def test_long_lines_and_many_equal_lines(spark):
+    long = prose(1, 40_000)
+    texts = [long, long.replace(long.split()[5], "zz", 1), "\n".join(["same"] * 3000), prose(2, 30)]
+    ids = [3, 2, 1, 0]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs(spark, texts, ids)).collect()}
+    assert got == brute_lines(texts, ids)
+
+
 def test_large_group_of_alike_lines(spark):
     base = prose(5, 60).split()
     texts = []
