@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,28 +20,46 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article aside blockquote body details div fieldset figure footer form header html main nav section table td th ul ol dl".split())
-# Elements that never hold an article's text, and words of class, id or role that say so.
-NO_TEXT = frozenset("head script style noscript template svg math canvas iframe object audio video map select button textarea datalist nav aside footer form dialog menu".split())
-NO_TEXT_WORDS = frozenset(
+# Elements that hold no text of an article, wherever they are; elements and words of a class, id or role that mark a branch as
+# something else than an article; words that may stand beside those in one label.
+NEVER = frozenset("head script style noscript template svg math canvas iframe object audio video map select button textarea datalist form dialog".split())
+MARKED = frozenset("nav aside footer header menu".split())
+MARKED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary widget widgets"
     " footer header masthead topbar contentinfo cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe signup login form search share sharing social related"
-    " recommended comment comments commentlist reply replies respond disqus pagination pager copyright skip".split()
+    " recommended pagination pager copyright skip".split()
 )
-COMMENT_WORDS = frozenset("comment comments reply replies ad advert sponsored".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$", re.S)
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+BESIDE = frozenset("site page main primary secondary global top bottom left right inner outer box block list item items area bar wrap wrapper container section content link links button buttons icon icons group row col column the to of form thread post".split())
+MAIN = frozenset("main maincontent main-content content-main".split())
+# What a new element may close: itself, its kin and an open paragraph.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+ENDED = CONTAINER | {"p", *CLOSES}
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 LABEL = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 BREAK = None
 
 
+#: Levels of branches that are told apart; what lies deeper belongs to the branch above it.
+LEVELS = 64
+#: Marks of a branch: a container, labelled, inside an article or main element, marked as something else, an article or main element, a body.
+IS_CONTAINER, IS_LABELLED, IS_INSIDE, IS_MARKED, IS_HOME, IS_BODY = 1, 2, 4, 8, 16, 32
+
+
 class Page:
-    """Elements of a page as lists (tag, parent, label words, key of the path), and its text as (element, text or BREAK)."""
+    """Elements of a page as lists (tag, parent, labels), and its text as (element, text or BREAK).
+
+    Containers and labelled elements are branches; branch[i] is the branch that element i is or lies in, and key[i] the
+    hash of the branch's path.
+    """
 
     def __init__(self, source: str | None):
-        self.tag, self.parent, self.words, self.key = ["#root"], [-1], [frozenset()], [0]
-        self.hidden = [False]
+        self.tag, self.parent, self.labels, self.hidden = ["#root"], [-1], [frozenset()], [False]
+        self.branch, self.key, self.depth, self.flags, self.above = [0], [0], [0], [0], [-1]
         self.text: list[tuple[int, str | None]] = []
         source = source or ""
-        at, stack = 0, [0]
+        at, stack, marks, opened = 0, [0], [], Counter()
+        self._stack, self._marks, self._opened = stack, marks, opened
         while at < len(source):
             m = TOKEN.search(source, at)
             end = m.start() if m else len(source)
@@ -49,10 +68,10 @@ class Page:
             if not m:
                 break
             at = m.end()
-            if m[1]:
-                tag = m[1].lower()
-                self._close_implied(tag, stack)
-                node = self._add(tag, m[2], stack[-1])
+            if m[1] or m[4]:
+                tag, attributes = (m[1] or m[4]).lower(), m[2] if m[1] else m[5]
+                self._close_implied(tag)
+                node = self._add(tag, attributes, stack[-1])
                 if tag in BLOCK:
                     self.text.append((node, BREAK))
                 if tag in RAW:
@@ -60,44 +79,71 @@ class Page:
                     if tag in ("textarea", "title"):
                         self.text.append((node, source[at : close.start() if close else len(source)]))
                     at = close.end() if close else len(source)
-                elif tag not in VOID and not (m[2].endswith("/") and tag in ("svg", "path")):
+                elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path")):
+                    if tag in ENDED:
+                        marks.append(len(stack))
                     stack.append(node)
-            elif m[3]:
+                    opened[tag] += 1
+            elif m[3] and opened[m[3].lower()]:
                 tag = m[3].lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == tag:
-                        if tag in BLOCK:
-                            self.text.append((stack[i], BREAK))
-                        del stack[i:]
-                        break
-
-    def _close_implied(self, tag: str, stack: list[int]) -> None:
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
+                i = next(i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == tag)
+                if tag in BLOCK:
+                    self.text.append((stack[i], BREAK))
+                self._close(i)
+
+    def _close(self, i: int) -> None:
+        """Closes the i-th open element and all above it."""
+        for node in self._stack[i:]:
+            self._opened[self.tag[node]] -= 1
+        del self._stack[i:]
+        while self._marks and self._marks[-1] >= i:
+            self._marks.pop()
+
+    def _close_implied(self, tag: str) -> None:
+        ends = CLOSES.get(tag, ())
         if tag in BLOCK and tag != "br":
             ends += ("p",)
-        for i in range(len(stack) - 1, 0, -1):
-            name = self.tag[stack[i]]
+        lowest = None
+        for i in reversed(self._marks if ends else ()):  # a few at most: an open item ends the one before it
+            name = self.tag[self._stack[i]]
             if name in ends:
-                self.text.append((stack[i], BREAK))
-                del stack[i:]
+                lowest = i
             elif name in CONTAINER:
                 break
+        if lowest is not None:
+            self.text.append((self._stack[lowest], BREAK))
+            self._close(lowest)
 
     def _add(self, tag: str, attributes: str, parent: int) -> int:
-        words: set[str] = set()
+        labels: set[str] = set()
         hidden = False
         if attributes.strip():
             for name, a, b, c in LABEL.findall(attributes):
                 if name.lower() in ("hidden", "aria-hidden"):
                     hidden |= name.lower() == "hidden" or "true" in (a, b, c)
                 else:
-                    words |= set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
+                    labels |= {re.sub(r"([a-z])([A-Z])", r"\1-\2", x).lower() for x in (a or b or c).split()}
+        i = len(self.tag)
+        up = self.branch[parent]
         self.tag.append(tag)
         self.parent.append(parent)
-        self.words.append(frozenset(words))
+        self.labels.append(frozenset(labels))
         self.hidden.append(hidden)
-        self.key.append(xxhash.xxh64_intdigest(f"{self.key[parent]} {tag} {' '.join(sorted(words))}"))
-        return len(self.tag) - 1
+        inside = self.flags[up] & (IS_INSIDE | IS_HOME) > 0
+        home = tag in ("article", "main") or tag != "body" and bool(labels & MAIN)
+        marked = tag in MARKED and not (tag == "header" and inside) or tag not in ("html", "body", "main", "article", "h1") and any(map(_marks, labels))
+        if (tag in CONTAINER or labels or marked) and self.depth[up] < LEVELS:
+            self.branch.append(i)
+            words = sorted(re.sub(r"[^a-z]+", " ", x).strip() for x in labels)
+            self.key.append(xxhash.xxh64_intdigest(f"{self.key[up]} {tag} {words}"))
+            self.depth.append(self.depth[up] + 1)
+            self.above.append(up)
+            self.flags.append(IS_CONTAINER * (tag in CONTAINER) | IS_LABELLED * bool(labels) | IS_INSIDE * inside | IS_MARKED * marked | IS_HOME * home | IS_BODY * (tag in ("html", "body")))
+        else:
+            self.branch.append(up)
+            for own in (self.key, self.depth, self.above, self.flags):
+                own.append(own[up])
+        return i
 
     def within(self, wanted: list[bool]) -> list[bool]:
         """Whether each element or one above it is wanted; parents come before children."""
@@ -106,21 +152,14 @@ class Page:
             out.append(w or (p >= 0 and out[p]))
         return out
 
-    def noise(self) -> list[bool]:
-        """Elements that their name or label marks as something else than an article."""
-        article = self.within([t in ("article", "main") or "main" in w for t, w in zip(self.tag, self.words)])
-        out = []
-        for i, (tag, words) in enumerate(zip(self.tag, self.words)):
-            if tag in ("html", "body", "#root", "main", "h1", "p"):
-                bad = tag == "p" and bool(words & NO_TEXT_WORDS)
-            elif tag == "article":
-                bad = bool(words & COMMENT_WORDS)
-            elif tag == "header":
-                bad = not article[i]
-            else:
-                bad = tag in NO_TEXT or bool(words & NO_TEXT_WORDS)
-            out.append(bad or self.hidden[i])
-        return out
+    def never(self) -> list[bool]:
+        """Elements that hold no text of an article: by their kind (a form, if it has no article or heading), hidden, or
+        readers' comments."""
+        wraps = [t in ("article", "main", "h1") for t in self.tag]
+        for i in range(len(self.tag) - 1, 0, -1):
+            wraps[self.parent[i]] |= wraps[i]
+        comment = lambda labels: any(_marks(x, COMMENT_WORDS) for x in labels)
+        return [h or t in NEVER and not (w and t == "form") or t not in ("html", "body") and comment(x) for h, t, x, w in zip(self.hidden, self.tag, self.labels, wraps)]
 
     def blocks(self, keep: list[bool]) -> list[str]:
         out, now = [], []
@@ -135,108 +174,172 @@ class Page:
                 now.append(text)
         return out
 
-    def branches(self) -> list[tuple[int, int, int]]:
-        """(path key, style, content) of each labelled or containing path of the page: styles are the sequences of child
-        elements, runs counting once; both are taken over all elements of the path."""
+    def tree(self) -> Iterator[tuple[int, int, int, int]]:
+        """(kind, branch key, value, number) rows of this page's part of the style tree, each once.
+
+        SELF: a branch and its marks; ABOVE: a branch and one above it, 1 for the next one; STYLE: the sequence of a branch's
+        child elements, runs counting once; CONTENT: a text that lies directly in a branch, and its words.
+        """
+        gone = self.within(self.never())
         children: dict[int, list[str]] = {}
-        inside: dict[int, list[str]] = {}
         for i in range(1, len(self.tag)):
-            seq = children.setdefault(self.key[self.parent[i]], [])
+            if gone[i]:
+                continue
+            seq = children.setdefault(self.key[self.branch[self.parent[i]]], [])
             if not seq or seq[-1] != self.tag[i]:
                 seq.append(self.tag[i])
+        seen: set[int] = set()
+        for i in range(1, len(self.tag)):
+            if self.branch[i] == i and not gone[i] and self.key[i] not in seen:
+                seen.add(self.key[i])
+                yield SELF, self.key[i], 0, self.flags[i]
+                yield STYLE, self.key[i], xxhash.xxh64_intdigest(" ".join(children.get(self.key[i], ()))), 0
+                up, step = self.above[i], 1
+                while up > 0:
+                    yield ABOVE, self.key[i], self.key[up], step
+                    up, step = self.above[up], 0
+        told: set[tuple[int, int]] = set()
         for node, text in self.text:
-            if text is not BREAK and not text.isspace():
-                p = node
-                while p > 0:
-                    inside.setdefault(self.key[p], []).append(text)
-                    p = self.parent[p]
-        paths = {k for k, t, w in zip(self.key, self.tag, self.words) if (t in CONTAINER or w) and t not in ("html", "body") and k in inside}
-        return [(k, xxhash.xxh64_intdigest(" ".join(children.get(k, ()))), xxhash.xxh64_intdigest(" ".join(inside[k]))) for k in sorted(paths)]
-
-    def main_text(self, low: frozenset[int]) -> str:
-        noise = self.noise()
-        home = [t == "article" for t in self.tag]
-        gone = self.within(noise)
-        if not any(h and not g for h, g in zip(home, gone)):
-            home = [t == "main" or "main" in w and t != "body" for t, w in zip(self.tag, self.words)]
-        region = self.within(home) if any(h and not g for h, g in zip(home, gone)) else None
-        # inside an article only labelled branches go, as a host's articles may be alike; elsewhere all low ones go
+            if text is not BREAK and not gone[node] and (words := text.split()):
+                row = self.key[node], xxhash.xxh64_intdigest(" ".join(words))
+                if row not in told:
+                    told.add(row)
+                    yield CONTENT, *row, len(words)
+
+    def main_text(self, low: dict[int, bool]) -> str:
+        """The text without branches of low importance; low: of the branches that the host's tree judges. Others go by their marks.
+
+        If the host has no tree, and the page an article (else main) element, only that is read.
+        """
+        noise = self.never()
         for i, k in enumerate(self.key):
-            if k in low and not (region and region[i] and not (self.words[i] and not home[i])):
-                noise[i] = True
+            if self.branch[i] == i and i:
+                noise[i] = noise[i] or (low[k] if k in low else bool(self.flags[i] & IS_MARKED))
         gone = self.within(noise)
-        keep = [not g and (region is None or r) for g, r in zip(gone, region or gone)]
-        return "\n".join(self.blocks(keep))
+        region = None
+        for tags in ({"article"}, {"main"}) if not low else ():
+            home = [t in tags or "main" in tags and t != "body" and bool(x & MAIN) for t, x in zip(self.tag, self.labels)]
+            if any(h and not g for h, g in zip(home, gone)):
+                region = self.within(home)
+                break
+        return "\n".join(self.blocks([not g and (region is None or r) for g, r in zip(gone, region or gone)]))
 
 
-def low_branches(pages: DataFrame, host: str, html_col: str, threshold: float, min_pages: int) -> DataFrame:
-    """(host, key) of the branches of each host's style tree whose importance is below the threshold.
+def _marks(label: str, words: frozenset[str] = MARKED_WORDS) -> bool:
+    """Whether a label consists of such words, and words that may stand beside them: share-buttons, but not share-price."""
+    parts = [x for x in re.split(r"[^a-z]+", label) if x]
+    return any(x in words for x in parts) and all(x in MARKED_WORDS or x in COMMENT_WORDS or x in BESIDE for x in parts)
 
-    A branch's importance is the larger of two entropies over the host's pages that have it, each divided by the log
-    of their number: that of its styles and that of its contents. Branches on fewer pages are not judged.
-    """
+
+SELF, ABOVE, STYLE, CONTENT = range(4)
+#: What styles, against contents, count for a branch with one style more.
+GAMMA = 0.9
+#: A marked branch goes if what it says is less than this share of what its largest neighbour says.
+MARKED_SHARE = 0.5
+
+
+def tree_rows(pages: DataFrame, host: str, html_col: str) -> DataFrame:
+    """(host, kind, key, value, pages, number): the style tree of each host, merged over its pages. host: a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            rows = [(h.as_py(), *(x - (1 << 64) if x >> 63 else x for x in r)) for h, p in zip(b.column(0), b.column(1)) for r in Page(p.as_py()).branches()]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["host", "key", "style", "content"])
+            found: Counter = Counter()
+            for h, p in zip(b.column(0).to_pylist(), b.column(1)):
+                found.update((h, *r) for r in Page(p.as_py()).tree())
+            cols = list(zip(*found)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            rows = [pa.array([signed(x) for x in c] if n in (2, 3) else c, k) for n, (c, k) in enumerate(zip(cols, kinds))]
+            yield pa.RecordBatch.from_arrays([*rows[:4], pa.array(found.values(), pa.int64()), rows[4]], names=["host", "kind", "key", "value", "pages", "number"])
 
-    found = pages.where(F.col(host).isNotNull()).select(host, F.col(html_col).cast("string")).mapInArrow(run, "host string, key long, style long, content long")
-    each = found.select("host", "key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
-    counts = each.groupBy("host", "key", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("c"))
-    entropy = counts.groupBy("host", "key", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("s"))
-    importance = F.try_divide(F.ln("m") - F.col("s") / F.col("m"), F.ln("m"))
-    judged = entropy.groupBy("host", "key").agg(F.max("m").alias("m"), F.max(importance).alias("importance"))
-    return judged.where((F.col("m") >= min_pages) & (F.col("importance") < threshold)).select("host", "key")
+    rows = pages.where(F.col(host).isNotNull()).select(F.xxhash64(host), F.col(html_col).cast("string")).mapInArrow(run, "host long, kind int, key long, value long, pages long, number long")
+    return rows.groupBy("host", "kind", "key", "value").agg(F.sum("pages").alias("pages"), F.max("number").alias("number"))
 
 
-#: Low branches up to so many are broadcast (16 bytes and a host's name each); more are joined by host and salt.
+def judged_branches(tree: DataFrame, threshold: float, share: float, min_pages: int) -> DataFrame:
+    """(host, key, low) of the branches on min_pages pages of a host or more.
+
+    Over the m pages with a branch, the entropy of its styles, divided by ln m, is the importance P of its presentation. A
+    text that lies on c of them has the weight of its words times 1 - ln c / ln m; a branch weighs what the texts in it do,
+    and its weight for each word is the importance C of its content. With n styles its importance is
+    (1 - 0.9^n) P + 0.9^n C. Low are branches
+    - of an importance below the threshold (inside an article: labelled ones only, as a host's articles may be alike);
+    - that are containers outside articles and weigh less than `share` of the largest container beside them, if that
+      weighs more than the texts between them: what varies from page to page but says little;
+    - that are marked and weigh less than half of the largest container or of the texts beside them.
+    """
+    key = ["host", "key"]
+    nodes = tree.where(F.col("kind") == SELF).select(*key, F.col("pages").alias("m"), F.col("number").alias("flags"))
+    log = F.greatest(F.ln("m"), F.lit(1e-9))
+    texts = tree.where(F.col("kind") == CONTENT).groupBy(*key).agg(F.sum(F.col("pages") * F.col("number")).alias("said"), F.sum(F.col("pages") * F.col("number") * F.ln("pages")).alias("again"))
+    texts = nodes.join(texts, key).select(*key, "said", F.greatest(F.col("said") - F.col("again") / log, F.lit(0.0)).alias("direct"))
+    above = tree.where(F.col("kind") == ABOVE)
+    up = texts.join(above.select(*key, F.col("value").alias("up")), key).select("host", F.col("up").alias("key"), "said", "direct")
+    total = texts.unionByName(up).groupBy(*key).agg(F.sum("said").alias("said"), F.sum("direct").alias("weight"))
+    styles = tree.where(F.col("kind") == STYLE).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pages") * F.ln("pages")).alias("s"))
+    each = nodes.join(total, key, "left").join(styles, key).join(texts.select(*key, "direct"), key, "left").na.fill(0, ["said", "weight", "direct"])
+    style, content = (F.ln("m") - F.col("s") / F.col("m")) / log, F.coalesce(F.try_divide("weight", "said"), F.lit(0.0))
+    part = F.pow(F.lit(GAMMA), F.col("n"))
+    each = each.withColumn("importance", (1 - part) * style + part * content)
+    is_ = lambda flag: F.col("flags").bitwiseAND(F.lit(flag)) != 0
+    parents = each.join(above.where("number = 1").select(*key, F.col("value").alias("parent")), key)
+    largest = parents.where(is_(IS_CONTAINER)).groupBy("host", "parent").agg(F.max("weight").alias("largest"))
+    beside = largest.join(each.select("host", F.col("key").alias("parent"), F.col("direct").alias("between")), ["host", "parent"])
+    placed = parents.where(F.col("m") >= min_pages).join(beside, ["host", "parent"], "left").na.fill(0, ["largest", "between"])
+    again = (F.col("importance") < threshold) & ((~is_(IS_INSIDE)) | is_(IS_LABELLED))
+    little = is_(IS_CONTAINER) & ~is_(IS_INSIDE) & (F.col("weight") < share * F.col("largest")) & (F.col("largest") > F.col("between"))
+    other = is_(IS_MARKED) & (F.col("weight") < MARKED_SHARE * F.greatest("largest", "between"))
+    return placed.select(*key, ((again | little | other) & ~is_(IS_HOME) & ~is_(IS_BODY)).alias("low"))
+
+
+#: Judged branches up to so many are broadcast (17 bytes each); more are joined by host and salt.
 BROADCAST_BRANCHES = 100_000
 SALTS = 16
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, min_pages: int = 5) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, share: float = 0.1, min_pages: int = 5) -> DataFrame:
     """The article of every page: id_col, url_col, text string, n_chars long.
 
     The pages of a host (that of the URL, lower-cased) are merged into a style tree; branches of low importance go from
-    each page, as do elements that HTML or their class, id or role marks as menus, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles or comments. Of a page with an article (else main) element, only that is read, and
-    inside it only labelled branches can be of low importance. Whole texts are read; unclosed and cut-off markup is
-    read as browsers do; character references are decoded; white space within a block becomes one space; blocks are
-    joined by line feeds. Null and empty pages give an empty text; a null URL or one without a host is judged by its own
-    markup alone; equal ids keep their rows; further columns are ignored.
+    each page (see judged_branches), whatever they are called. Scripts, styles, forms, hidden elements and readers'
+    comments always go. Only branches on fewer than min_pages pages go by what HTML or their class, id or role marks
+    them as; and of a page whose host has no such tree, only the article (else main) element is read if it has one.
+    Whole texts are read, in time linear in the page; unclosed elements end where HTML says; a tag with an unclosed quote or
+    cut off ends at the next > or the end; character references are decoded; white space within a block becomes one
+    space; blocks are joined by line feeds. Null and empty pages give an empty text; a null URL or one without a host is
+    judged by its own markup alone; repeated rows and equal ids keep their rows; further columns are ignored.
     """
-    pages = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias(html_col))
-    host = F.lower(F.nullif(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    hosted = pages.withColumn("site_host", host)
-    low = Scratch(pages.sparkSession).keep(low_branches(hosted, "site_host", html_col, threshold, min_pages))
-    kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    schema = f"id {kinds[0]}, url {kinds[1]}, text string"
-
-    def texts(b: pa.RecordBatch, sets) -> pa.RecordBatch:
-        found = [Page(p.as_py()).main_text(s) for p, s in zip(b.column(2), sets)]
+    pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    host = F.lower(F.nullif(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    hosted = pages.withColumn("host", host)
+    scratch = Scratch(pages.sparkSession)
+    judged = scratch.keep(judged_branches(scratch.keep(tree_rows(hosted, "host", "html")), threshold, share, min_pages))
+    scratch.only(judged)
+    hosted = hosted.withColumn("host", F.when(F.col("host").isNotNull(), F.xxhash64("host")))
+    schema = f"id {pages.schema['id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}, text string"
+
+    def texts(b: pa.RecordBatch, trees) -> pa.RecordBatch:
+        found = [Page(p.as_py()).main_text(t) for p, t in zip(b.column(2), trees)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["id", "url", "text"])
 
-    if low.count() <= BROADCAST_BRANCHES:
-        by_host: dict[str, set[int]] = {}
-        for r in low.collect():
-            by_host.setdefault(r["host"], set()).add(r["key"] & (1 << 64) - 1)
-        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(s) for h, s in by_host.items()})
+    if judged.count() <= BROADCAST_BRANCHES:
+        by_host: dict[int, dict[int, bool]] = {}
+        for r in judged.collect():
+            by_host.setdefault(r["host"], {})[r["key"] & (1 << 64) - 1] = r["low"]
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield texts(b, [shared.value.get(h.as_py(), frozenset()) for h in b.column(3)])
+                yield texts(b, [shared.value.get(h, {}) for h in b.column(3).to_pylist()])
 
-        out = hosted.select(id_col, url_col, html_col, "site_host").mapInArrow(run, schema)
+        out = hosted.select("id", "url", "html", "host").mapInArrow(run, schema)
     else:
-        lists = low.groupBy("host").agg(F.collect_set("key").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = hosted.withColumn("salt", F.pmod(F.xxhash64(id_col, html_col), F.lit(SALTS)).cast("int"))
-        joined = salted.join(lists, (salted.site_host == lists.host) & (salted.salt == lists.salt), "left")
+        lists = judged.groupBy("host").agg(F.collect_list(F.struct("key", "low")).alias("tree")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("id", "html"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield texts(b, [frozenset(k & (1 << 64) - 1 for k in s.as_py() or ()) for s in b.column(3)])
+                yield texts(b, [{r["key"] & (1 << 64) - 1: r["low"] for r in t or ()} for t in b.column(3).to_pylist()])
 
-        out = joined.select(id_col, url_col, html_col, "low").mapInArrow(run, schema)
+        out = joined.select("id", "url", "html", "tree").mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -1,8 +1,13 @@
+import math
+import time
+from collections import Counter, defaultdict
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from grainloom.llm import html_extract
 from grainloom.llm.bitslice import add_shifted, at_least, kth_largest, packed, top_k
-from grainloom.llm.html_extract import Page, extract_main_text
+from grainloom.llm.html_extract import CONTENT, IS_BODY, IS_CONTAINER, IS_HOME, IS_INSIDE, IS_LABELLED, IS_MARKED, SELF, STYLE, Page, extract_main_text, judged_branches, tree_rows
 from grainloom.llm.ivfpq import search
 
 VEC = "vec_id long, embedding array<float>, label int"
@@ -56,6 +61,18 @@ def test_top_k_small_and_empty(spark):
     assert [r["vec_id"] for r in top_k(twice, F.col("vec_id") == 1).collect()] == [2]
 
 
+def test_top_k_of_large_components(spark):
+    x = [[1.0, 2.0], [40000.0, 1.0], [3.0, 1.0], [-1e300, 5.0], [1e308, -1e308]]
+    df = spark.createDataFrame([(100 * i, v, "s") for i, v in enumerate(x)], "vec_id long, embedding array<double>, sliced string")
+    z = [[int(v) * 1024 for v in r] for r in x]
+    got = {}
+    for r in top_k(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect():
+        got.setdefault(r["query_id"] // 100, []).append((r["vec_id"] // 100, r["score"]))
+    for q, rows in got.items():
+        s = [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(z[q], r)))) for r in z]
+        assert rows == [(i, s[i]) for i in sorted((i for i in range(5) if i != q), key=lambda i: (-s[i], i))]
+
+
 def test_search_recall_and_scores(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 1, (20, 24))
@@ -95,12 +112,93 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_page():
-    assert Page(PAGE).main_text(frozenset()) == "Title & more\nFirst para.\nSecond! inline\nOne\nTwo"
-    assert Page(None).main_text(frozenset()) == Page("").main_text(frozenset()) == ""
-    assert Page("<article><p>cut off &amp").main_text(frozenset()) == "cut off &"
-    assert Page("plain text").main_text(frozenset()) == "plain text"
-    assert Page("<article><p>a</p><!-- x --><p hidden>b</p></article><p>c").main_text(frozenset()) == "a"
-    assert len(Page("<article>" + "<div><p>x" * 3000).main_text(frozenset()).split("\n")) == 3000
+    assert Page(PAGE).main_text({}) == "Title & more\nFirst para.\nSecond! inline\nOne\nTwo"
+    assert Page(None).main_text({}) == Page("").main_text({}) == ""
+    assert Page("<article><p>cut off &amp").main_text({}) == "cut off &"
+    assert Page("plain text").main_text({}) == "plain text"
+    assert Page("<article><p>a</p><!-- x --><p hidden>b</p></article><p>c").main_text({}) == "a"
+    assert len(Page("<article>" + "<div><p>x" * 3000).main_text({}).split("\n")) == 3000
+
+
+def test_pages_that_are_not_well_formed():
+    text = lambda x: Page(x).main_text({})
+    assert text('<article><p>A<div class="share-price">9.50</div><div class="share-buttons">Tweet</div></article>') == "A\n9.50"
+    assert text('<div class="review form-guide"><p>Long text</p></div>') == "Long text"
+    assert text('<p>A<a title="x>y text</p>') == "Ay text"
+    assert text("<p>A<!-->B<!-- x --!>C<!--->D</p>") == "ABCD"
+    assert text("<body><form id=f><nav>N</nav><h1>T</h1><p>x</form>") == "T\nx" and text("<form><p>mail</form>") == ""
+    assert text("<ul><li>a<p>b<li>c</ul><table><tr><td>d<td>e<tr><td>f</table>") == "a\nb\nc\nd\ne\nf"
+    began = time.time()
+    assert len(text("<b>x<p>" * 20_000).split("\n")) == 20_000
+    assert len(text("<div>x" * 20_000 + "</i>" * 20_000).split("\n")) == 20_000
+    assert sum(1 for _ in Page("<div>x" * 20_000).tree()) < 5_000 and text('<a "' * 20_000) == ""
+    assert time.time() - began < 20
+
+
+def brute_judged(pages, threshold, share, min_pages):
+    """The branches of one host's pages and whether they are low, by the definition in judged_branches."""
+    trees = [list(Page(p).tree()) for p in pages]
+    on, flags, styles, texts, ups, parent = Counter(), {}, defaultdict(Counter), defaultdict(Counter), defaultdict(set), {}
+    words = {}
+    for rows in trees:
+        for kind, key, value, number in rows:
+            if kind == SELF:
+                on[key] += 1
+                flags[key] = number
+            elif kind == STYLE:
+                styles[key][value] += 1
+            elif kind == CONTENT:
+                texts[key][value] += 1
+                words[value] = number
+            else:
+                ups[key].add(value)
+                if number:
+                    parent[key] = value
+    direct = {k: sum(c * words[v] * (1 - (math.log(c) / math.log(on[k]) if on[k] > 1 else 0)) for v, c in texts[k].items()) for k in on}
+    said = {k: sum(c * words[v] for v, c in texts[k].items()) for k in on}
+    weight = {k: sum(direct[x] for x in on if x == k or k in ups[x]) for k in on}
+    all_said = {k: sum(said[x] for x in on if x == k or k in ups[x]) for k in on}
+    out = {}
+    for k, up in parent.items():
+        if on[k] < min_pages:
+            continue
+        entropy = -sum(c / on[k] * math.log(c / on[k]) for c in styles[k].values()) / math.log(on[k])
+        part = 0.9 ** len(styles[k])
+        importance = (1 - part) * entropy + part * (weight[k] / all_said[k] if all_said[k] else 0)
+        largest = max((weight[x] for x, u in parent.items() if u == up and flags[x] & IS_CONTAINER), default=0)
+        again = importance < threshold and (not flags[k] & IS_INSIDE or flags[k] & IS_LABELLED)
+        little = flags[k] & IS_CONTAINER and not flags[k] & IS_INSIDE and weight[k] < share * largest and largest > direct[up]
+        other = flags[k] & IS_MARKED and weight[k] < 0.5 * max(largest, direct[up] if largest else 0)
+        out[k] = bool((again or little or other) and not flags[k] & (IS_HOME | IS_BODY))
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    pages = []
+    for i in range(40):
+        menu = "".join(f"<li>{word(1)}" for _ in range(rng.integers(3, 7)))
+        related = f"<div class=rel><p>{word(3)}</div>" if i % 3 else ""
+        pages.append(f"<body><nav><ul>{menu}</ul></nav><div id=x><div class=text><h1>{word(4)}</h1><p>{word(60)}<p>{word(40)}<blockquote>{word(2)}</blockquote></div>{related}<aside>{word(9)}</aside></div><section><p>Same words</section><div class=one{i}>{word(2)}</div>")
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(3)
+    got = {r["key"] % 2**64: r["low"] for r in judged_branches(tree_rows(df, "host", "html"), 0.3, 0.1, 5).collect()}
+    want = brute_judged(pages, 0.3, 0.1, 5)
+    assert got == want and 4 < sum(want.values()) < len(want)
+
+
+def test_tree_decides_without_marks(spark, monkeypatch):
+    """Menus and notices go by their importance, although their words vary; also if branches are joined, not broadcast."""
+    rng = np.random.default_rng(9)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    rows = []
+    for i in range(30):
+        own = word(50)
+        rows.append((i, f"http://h.example/{i}", f"<body><div id=a><ul><li>{word(1)}<li>{word(1)}</ul></div><div id=b><p>{own}</p></div><div id=c>{word(3)}</div>", own))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    for limit in (100_000, 0):
+        monkeypatch.setattr(html_extract, "BROADCAST_BRANCHES", limit)
+        assert {r["page_id"]: r["text"] for r in extract_main_text(df).collect()} == {r[0]: r[3] for r in rows}
 
 
 def test_style_tree_finds_what_a_host_repeats(spark):
