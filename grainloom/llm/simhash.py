@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, parts
 
 BITS = 64
 
@@ -28,7 +28,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
         digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
+        hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
     h = np.array(hashes, dtype="<u8")
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 15):  # bounded memory for very long texts
@@ -76,33 +76,95 @@ def ring_keys(fp: Column, max_diff: int) -> Column:
         for half, (c, d) in enumerate(((a, mid), (mid, b))):
             first = F.shiftrightunsigned(fp.bitwiseAND(F.lit(_mask(lo, hi))), lo)
             second = F.shiftrightunsigned(fp.bitwiseAND(F.lit(_mask(c, d))), c)
-            keys.append(F.xxhash64(F.lit(2 * i + half), first, second) if hi - lo + d - c > 54 else (first * (1 << (d - c)) + second) * (2 * len(segs)) + (2 * i + half))
+            keys.append((first * (1 << (d - c)) + second) * (2 * len(segs)) + (2 * i + half))  # 50 bits at most
     return F.array(*keys)
 
 
-def ring_chain(x: Column, key: Column, max_diff: int) -> Column:
-    """Whether the chain that starts at the key's segment stays within its proportional budgets: l segments differ in at
-    most l * max_diff / (max_diff + 1) bits, for every l. x: the differing bits."""
+def chain_within(x: np.ndarray, start: int, max_diff: int) -> np.ndarray:
+    """Whether the chains that start at that segment stay within their proportional budgets: l segments differ in at most
+    l * max_diff / (max_diff + 1) bits, for every l. x: the differing bits, unsigned."""
     segs = ring(max_diff)
-    m = len(segs)
-    out = F.lit(True)
-    for i in range(m):
-        mask, ok = 0, F.lit(True)
-        for n in range(1, m):
-            lo, hi = segs[(i + n - 1) % m]
-            mask |= _mask(lo, hi) & ((1 << BITS) - 1)
-            signed = mask - (1 << BITS) if mask >> (BITS - 1) else mask
-            ok = ok & (F.bit_count(x.bitwiseAND(F.lit(signed))) <= n * max_diff // m)
-        out = F.when((F.pmod(key, F.lit(2 * m)) / 2).cast("int") == i, ok).otherwise(out)
+    m, ok, mask = len(segs), np.ones(len(x), bool), 0
+    for n in range(1, m):
+        lo, hi = segs[(start + n - 1) % m]
+        mask |= (1 << hi) - (1 << lo)
+        ok &= np.bitwise_count(x & np.uint64(mask)) <= n * max_diff // m
+    return ok
+
+
+#: Fingerprints with one key that are compared as one block; of a larger key, every pair of blocks is compared.
+BLOCK = 4096
+
+
+def forest(fp: np.ndarray, key: int, max_diff: int, block: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that connect all of a key's fingerprints (unsigned) that can be connected by pairs within max_diff bits whose
+    chain stays within its budgets; one less than there are fingerprints at most. With block, pairs of one block don't count.
+    """
+    start = (key % (2 * (max_diff + 1)) // 2) if max_diff else 0
+    free, out = np.ones(len(fp), bool), []
+    for i in range(len(fp)):
+        if not free[i]:
+            continue
+        todo, free[i] = [i], False
+        while todo:  # all that this fingerprint reaches
+            at = todo.pop()
+            rest = np.flatnonzero(free if block is None else free & (block != block[at]))
+            x = fp[rest] ^ fp[at]
+            near = np.bitwise_count(x) <= max_diff
+            rest, x = rest[near], x[near]
+            rest = rest[chain_within(x, start, max_diff)] if max_diff else rest
+            free[rest] = False
+            todo += rest.tolist()
+            out += [(at, j) for j in rest.tolist()]
     return out
 
 
 def links(distinct: DataFrame, max_diff: int) -> DataFrame:
-    """(a, b), a < b: every pair of distinct fingerprints within max_diff bits, each found once per shared key."""
+    """(a, b): pairs of distinct fingerprints within max_diff bits, enough to connect all that can be.
+
+    The fingerprints of a key meet in blocks of bounded size, and in every pair of blocks if there are several; each
+    gives fewer links than it has fingerprints.
+    """
     keyed = distinct.select("fp", F.explode(ring_keys(F.col("fp"), max_diff)).alias("key"))
-    a, b = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    return a.join(b.hint("merge"), (a.key == b.key) & (F.col("a") < F.col("b")) & ring_chain(x, a.key, max_diff) & (F.bit_count(x) <= max_diff)).select("a", "b")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("n"))
+    placed = keyed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    cells = placed.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "block")
+    rows = cells.repartition(parts(distinct.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def linked(b: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+            """Links of whole cells."""
+            key, i, j, fp, block = (np.asarray(c) for c in b.columns)
+            u, pairs = fp.view(np.uint64), []
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) if len(key) else key
+            for a, z in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+                if z - a == 2 and (i[a] == j[a] or block[a] != block[a + 1]):
+                    if int(u[a] ^ u[a + 1]).bit_count() <= max_diff:
+                        pairs.append((a, a + 1))
+                elif z - a > 2:
+                    pairs += [(a + p, a + q) for p, q in forest(u[a:z], int(key[a]), max_diff, block[a:z] if i[a] != j[a] else None)]
+            return pa.RecordBatch.from_arrays([pa.array(fp[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64)) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            held.append(b)
+            whole = pa.Table.from_batches(held).combine_chunks()
+            cell = [whole.column(k)[-1].as_py() for k in range(3)] if whole.num_rows else None
+            if cell is None:
+                continue
+            # the last cell may go on in the next batch
+            own = np.ones(whole.num_rows, bool)
+            for k in range(3):
+                own &= whole.column(k).to_numpy() == cell[k]
+            cut = int(np.flatnonzero(own)[0])
+            yield linked(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+        if held:
+            yield linked(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_diff: int = 4) -> DataFrame:
@@ -111,7 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with equal fingerprints are one node; nodes link at max_diff or fewer differing bits; component_id is the
     smallest id of a component. Texts without words (null, empty, white space) have fingerprint zero and link like any
     other. Rows whose id is null keep a row and get their component's smallest id; repeated ids keep their rows.
-    Other columns of docs are not looked at. An empty table gives an empty result.
+    Other columns of docs are not looked at, so their names don't matter. Texts of any length are read whole. An empty
+    table gives an empty result.
     """
     if not 0 <= max_diff < 32:
         raise ValueError("max_diff must lie between 0 and 31")
