@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +88,16 @@ class Profiles:
         return self.langs[best], 1.0 - float(out[best]) / (self.size * len(g))
 
 
-def learn_profiles(labelled: DataFrame, text_col: str, lang_col: str, size: int = 400, max_langs: int = 5000) -> Profiles:
+#: Languages whose profiles a task holds at once.
+LANGS = 1000
+
+
+def learn_profiles(labelled: DataFrame, text_col: str, lang_col: str, size: int = 400) -> list[Profiles]:
     """Counts the n-grams of all labelled texts by language and ranks each language's most frequent ones.
 
-    The driver receives size n-grams of each language; more than max_langs languages raise an error.
+    Null languages are not learned; null and empty texts add nothing, and texts of any length count whole. Repeated rows
+    count each time; ids play no part. Ties in a profile go to the smaller n-gram. An empty table gives no profiles. The
+    driver receives `size` n-grams of each language; languages come in groups of LANGS, in order of their names.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,33 +126,40 @@ def learn_profiles(labelled: DataFrame, text_col: str, lang_col: str, size: int
     counted = labelled.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).where(F.col(lang_col).isNotNull()).mapInArrow(count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = summed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
-    rows = best.orderBy("lang", "r").limit(size * max_langs + 1).collect()
-    if len(rows) > size * max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     ranked: dict[str, list[int]] = {}
-    for r in rows:
+    for r in best.orderBy("lang", "r").toLocalIterator():
         ranked.setdefault(r["lang"], []).append(r["gram"])
-    return Profiles(ranked, size)
+    names = sorted(ranked)
+    return [Profiles({x: ranked[x] for x in names[i : i + LANGS]}, size) for i in range(0, len(names), LANGS)]
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, profiles: list[Profiles], text_col: str = "text") -> DataFrame:
     """docs with lang_pred string and score double (1: the profile itself, 0: nothing in common).
 
     Every n-gram of the whole text counts. Null texts and texts without a letter get 'und' and 0, and so does every
-    text if no language was learned. Ties go to the first language by name. Columns of these two names are replaced.
+    text if no language was learned. Ties go to the first language by name. Each row is judged by its text alone, so
+    repeated rows and null ids are like any other; an empty table stays empty. Columns of these two names are replaced,
+    others pass, whatever their names. Each group of profiles is a pass over the texts of its own.
     """
     docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [profiles.predict(t.as_py()) for t in b.column(at)]
-            more = [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[f"c{i}" for i in range(b.num_columns + 2)])
-
-    kinds = [f.dataType.simpleString() for f in docs.schema] + ["string", "double"]
-    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)))
-    return out.toDF(*docs.columns, "lang_pred", "score")
+    names = docs.columns
+    at, n = names.index(text_col), len(names)
+
+    def better(group: Profiles) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [group.predict(t.as_py()) for t in b.column(at)]
+                found = [x if x[1] > y or x[0] != UNKNOWN and z == UNKNOWN else (z, y) for x, z, y in zip(found, b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+                more = [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *more], names=[f"c{i}" for i in range(n + 2)])
+
+        return run
+
+    kinds = ", ".join(f"c{i} {k}" for i, k in enumerate([*(f.dataType.simpleString() for f in docs.schema), "string", "double"]))
+    out = docs.toDF(*[f"c{i}" for i in range(n)]).withColumns({f"c{n}": F.lit(UNKNOWN), f"c{n + 1}": F.lit(0.0)})
+    for group in profiles:
+        out = out.mapInArrow(better(group), kinds)
+    return out.toDF(*names, "lang_pred", "score")
 
 
 def held_out(id_col: str, parts: int, rest: int) -> Column:

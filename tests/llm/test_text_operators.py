@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -9,13 +10,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from grainloom.llm import langid, mixing, simhash
 from grainloom.llm.backoff_lm import lm_scores
 from grainloom.llm.debruijn import remove_repeats
 from grainloom.llm.langid import held_out, identify, learn_profiles
 from grainloom.llm.line_dedup import dedup_lines, normalised
 from grainloom.llm.mixing import mix_sources
 from grainloom.llm.packing import best_bounds, pack
-from grainloom.llm.simhash import fingerprint, near_duplicates, ring_chain, ring_keys
+from grainloom.llm.simhash import chain_within, fingerprint, near_duplicates, ring_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -45,6 +47,13 @@ def union_find(n, pairs):
     return [find(i) for i in range(n)]
 
 
+def groups(n, pairs):
+    found = collections.defaultdict(set)
+    for i, r in enumerate(union_find(n, pairs)):
+        found[r].add(i)
+    return sorted(map(sorted, found.values()))
+
+
 ODD = [None, "", "   \n\t", "a", "É 漢字", "x" * 300_000, "a b c d e f g h i j k l m n o p"]
 
 
@@ -73,9 +82,27 @@ def test_ring_filter_finds_every_pair_within_the_budget(spark):
             pairs.append((b - 2**64 if b >> 63 else b, x - 2**64 if x >> 63 else x, k))
     df = spark.createDataFrame(pairs, "a long, b long, k int")
     keyed = df.withColumn("ka", ring_keys(F.col("a"), 4)).withColumn("kb", ring_keys(F.col("b"), 4))
-    shared = keyed.withColumn("s", F.array_intersect("ka", "kb"))
-    kept = shared.select("k", "a", "b", F.explode_outer("s").alias("key")).where(ring_chain(F.col("a").bitwiseXOR(F.col("b")), F.col("key"), 4)).select("a", "b", "k").distinct()
-    assert kept.where("k <= 4").count() == sum(k <= 4 for *_, k in pairs)
+    shared = keyed.withColumn("s", F.array_intersect("ka", "kb")).select("k", "a", "b", "s").collect()
+    for r in shared:
+        x = np.array([(r["a"] ^ r["b"]) % 2**64], np.uint64)
+        assert r["k"] > 4 or any(chain_within(x, key % 10 // 2, 4)[0] for key in r["s"])
+
+
+def test_links_of_large_keys(spark, monkeypatch):
+    """Clusters larger than a block connect as brute force says, with few links."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    prints = set()
+    for b in rng.integers(0, 2**63, 6, dtype=np.uint64).tolist():
+        for _ in range(80):
+            prints.add(b ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 4), replace=False)))
+    prints = sorted(p - 2**64 if p >> 63 else p for p in prints)
+    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4).collect()}
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if ((prints[i] ^ prints[j]) % 2**64).bit_count() <= 4]
+    at = {p: i for i, p in enumerate(prints)}
+    assert groups(len(prints), pairs) == groups(len(prints), [(at[a], at[b]) for a, b in got])
+    assert all(((a ^ b) % 2**64).bit_count() <= 4 for a, b in got)
+    assert fingerprint("a b a", 1) % 2**64 == fingerprint("a a b", 1) % 2**64 != 0
 
 
 def test_simhash_against_brute_force(spark):
@@ -274,6 +301,48 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def brute_grams(text):
+    """Counts of 1- to 3-grams by definition: lower case, every run of what is no letter (and each end) one gap."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low):
+        return collections.Counter()
+    padded = "".join(c if c.isalpha() else " " for c in low)
+    padded = f" {' '.join(padded.split())} "
+    found = collections.Counter(c for c in padded if c != " ")
+    found.update(padded[i : i + 2] for i in range(len(padded) - 1))
+    found.update(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+    return found
+
+
+def brute_ranks(counts, size):
+    order = lambda g: functools.reduce(lambda a, c: a << 21 | ord(c), g, 0)
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], order(g)))[:size])}
+
+
+def test_languages_against_brute_force(spark, monkeypatch):
+    vocab = {f"l{k}": [f"{chr(97 + (k * 3 + a) % 26)}{chr(97 + (k + b) % 26)}é{chr(97 + a)}" for a in range(4) for b in range(3)] for k in range(5)}
+    texts, langs = [], []
+    for i in range(60):
+        lang = f"l{i % 5}"
+        texts.append(prose(i, 15, vocab[lang]).replace(" ", [" ", " - ", "\n7"][i % 3]))
+        langs.append(lang)
+    texts += ODD[:6] + [texts[0], "zzz qqq"]
+    langs += [None] * (len(texts) - len(langs))
+    df = docs(spark, texts, langs=langs)
+    size = 40
+    profiles = {x: brute_ranks(sum((brute_grams(t) for t, y in zip(texts, langs) if y == x), collections.Counter()), size) for x in vocab}
+    want = {}
+    for i, t in enumerate(texts):
+        own = brute_ranks(brute_grams(t), size)
+        far = {x: sum(abs(p[g] - r) if g in p else size for g, r in own.items()) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[i] = (best, 1 - far[best] / (size * len(own))) if own else ("und", 0.0)
+    for group in (1000, 2):  # all languages at once, and in several groups
+        monkeypatch.setattr(langid, "LANGS", group)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(df, learn_profiles(df, "text", "lang", size)).collect()}
+        assert got == {i: (x, pytest.approx(y)) for i, (x, y) in want.items()}
+
+
 # ---- mixing
 
 
@@ -309,10 +378,20 @@ def test_mixture_odd_rows(spark):
     out = mix_sources(df, total=40)
     assert out.columns[-2:] == ["mix_copy", "mix_key"] and {r["source"] for r in out.collect()} == {None, "a", "b"}
     assert mix_sources(docs(spark, [])).count() == 0
+    named = docs(spark, ["a"] * 50).withColumns({c: F.lit(c) for c in ("mix_id", "mix_n", "c0", "rounds", "mix_source")})
+    assert {r["mix_id"] + r["mix_n"] + r["mix_source"] for r in mix_sources(named).collect()} == {"mix_idmix_nmix_source"}
     with pytest.raises(ValueError):
         mix_sources(df, {"a": -1.0})
 
 
+def test_mixture_of_many_sources(spark, monkeypatch):
+    """Beyond the broadcast limit, sources are joined by salted key with the same result."""
+    df = docs(spark, ["t"] * 400, sources=[f"s{i % 40}" if i % 3 else None for i in range(400)])
+    few = mix_sources(df)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    assert few.exceptAll(mix_sources(df)).count() == 0 and mix_sources(df).count() == few.count()
+
+
 # ---- packing
 
 
