@@ -64,7 +64,8 @@ def mix_sources(
     counts (a null id counts as an id). Null and empty texts are rows like any other; an empty table stays empty.
 
     Returns the columns of docs, then mix_copy int (from 1) and mix_key long, dealt out and sorted by mix_key within
-    partitions: a hashed global shuffle. Columns of these two names in docs are replaced.
+    partitions: a hashed global shuffle. Columns of these two names in docs are replaced;
+    others pass, whatever their names.
     """
     docs = docs.drop("mix_copy", "mix_key")
     spark = docs.sparkSession
@@ -72,26 +73,25 @@ def mix_sources(
     rates = rates.withColumn("rounds", F.greatest(F.lit(1), F.ceil(F.col("rate") / LAMBDA_STEP)).cast("int"))
     rates = rates.select("mix_source", "rounds", poisson_cdf(F.col("rate") / F.col("rounds")).alias("cdf"))
     rates = Scratch(spark).keep(rates)
-    fields = [F.col(f"d.{c}") for c in map(_quoted, docs.columns)]
-    on = F.col(f"d.{_quoted(source_col)}").eqNullSafe(F.col("r.mix_source"))
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes
+    key, source = (F.col(f"d.c{names.index(c)}") for c in (id_col, source_col))
+    on = source.eqNullSafe(F.col("r.mix_source"))
     if rates.count() <= BROADCAST_SOURCES:
         joined = docs.alias("d").join(F.broadcast(rates).alias("r"), on)
     else:
-        salt = F.pmod(F.xxhash64(F.col(f"d.{_quoted(id_col)}")), F.lit(SALTS))
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = docs.alias("d").join(salted.alias("r"), on & (salt == F.col("r.mix_salt")))
-    ident = F.coalesce(F.col(f"d.{_quoted(id_col)}").cast("string"), F.lit("null"))
+    ident = F.coalesce(key.cast("string"), F.lit("null"))
 
     def drawn(i: Column) -> Column:
         u = (_digest(13, str(seed), ident, i).cast("double") + 0.5) / float(1 << 52)
         return F.size(F.filter(F.col("r.cdf"), lambda c: c < u))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col("r.rounds")), F.lit(0), lambda a, i: a + drawn(i))
-    out = joined.select(*fields, ident.alias("mix_id"), copies.alias("mix_n")).where("mix_n > 0")
+    out = joined.select("d.*", ident.alias("mix_id"), copies.alias("mix_n")).where("mix_n > 0")
     out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
     out = out.withColumn("mix_key", _digest(15, str(seed), "order", F.col("mix_id"), F.col("mix_copy")))
-    return out.drop("mix_id", "mix_n").repartition(parts(spark), "mix_key").sortWithinPartitions("mix_key")
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    out = out.drop("mix_id", "mix_n").repartition(parts(spark), "mix_key").sortWithinPartitions("mix_key")
+    return out.toDF(*names, "mix_copy", "mix_key")
