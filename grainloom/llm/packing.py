@@ -59,7 +59,8 @@ def pack(
     of all rows (exact lengths below 2,048, 512 cells an octave beyond, a cell's bound being its largest length). A
     batch holds floor(token_budget / bound) rows of one bucket, at least one: a document above the budget is a batch
     of its own. Null and empty texts have length 0 and lie in the first bucket; rows with equal ids, and null ids, all
-    stay. An empty table gives an empty result.
+    stay. An empty table gives an empty result. A carried column named like one of the result's gives way to it; columns that
+    are not carried play no part.
 
     Returns one row per row of docs: id_col, carry's columns, n_tokens long, bucket int (from 0), padded_to long (the
     bucket's bound), batch long and slot long (both from 0, batch within the bucket).
@@ -67,8 +68,9 @@ def pack(
     if n_buckets < 1 or token_budget < 1:
         raise ValueError("n_buckets and token_budget must be positive")
     spark = docs.sparkSession
+    carry = tuple(c for c in carry if c not in (id_col, "n_tokens", "bucket", "padded_to", "batch", "slot"))
     tokens = F.coalesce((word_count(F.col(text_col)) if length is None else length).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(F.col(id_col).alias("pk_id"), F.struct(*carry).alias("pk_row") if carry else F.lit(None).cast("int").alias("pk_row"), tokens.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("pk_id"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("pk_row") if carry else F.lit(None).cast("int").alias("pk_row"), tokens.alias("n_tokens"))
     if not carry:
         rows = Scratch(spark).keep(rows)  # ids and lengths only
     octave = F.floor(F.log2(F.col("n_tokens").cast("double")))
