@@ -90,9 +90,9 @@ def search(
     nearest coarse centre (lists: the square root of their number by default, 4096 at most), as codes of a part of its
     residual each (parts: one for four components). A query looks through as many of its nearest lists as hold the
     share `target` of true neighbours within the fitting sample, ranks their codes by its distance tables, ties to the smaller id, and reranks the best `rerank` by exact distance in double precision.
-    Null, zero and non-finite vectors and null ids take no part; of equal ids the smallest vector counts; equal
+    Codes travel only to the blocks of queries that probe their list. Null, zero and non-finite vectors and null ids take no part; of equal ids the smallest vector counts; equal
     vectors all stay candidates. Only vectors of the commonest length take part. With fewer than k candidates found,
-    there are fewer rows; an empty table gives none.
+    there are fewer rows; an empty table gives none. Other columns play no part.
     """
     if k > rerank:
         raise ValueError("rerank must be k at least")
@@ -134,7 +134,8 @@ def search(
         groups.append((at, group, max(1, -(-n // LIST_BLOCK))))
     lefts, rights = (F.broadcast(spark.createDataFrame(groups, "list int, g int, rb int")) for _ in range(2))
     qb = max(1, -(-rows.where(queries).count() // QUERY_BLOCK))
-    left = coded.join(lefts, "list").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rb")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    blocks = asked.select("list", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("b")).distinct()  # which query blocks probe a list
+    left = coded.join(lefts, "list").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rb")).cast("int")).join(blocks, "list")
     right = asked.join(rights, "list").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
 
     def compare(codes: pa.Table, wanted: pa.Table) -> pa.Table:
