@@ -101,19 +101,22 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of an undirected graph; root is the smallest node of its component.
 
     Alternating large-star and small-star steps on tables in the shared folder until nothing moves; each step is a
-    pre-aggregated minimum per node and a join, so a node with very many edges is split like any skewed join.
+    pre-aggregated minimum per node, kept as a table, and a join with it, so that Spark can split a node with very many
+    edges over several tasks.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     now = scratch.keep(now)
     state = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.keep(large)
+        scratch.drop(low)
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         nxt = scratch.keep(small)
-        scratch.drop(now)
+        scratch.drop(now, large, low)
         now = nxt
         seen = now.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
         if seen[0] == seen[2] and tuple(seen) == state or seen[0] == 0:

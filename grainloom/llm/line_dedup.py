@@ -395,11 +395,7 @@ def removals(docs: DataFrame, threshold: float, id_col: str, text_col: str, scra
     placed = found.where("id IS NOT NULL").select("line", "id", "line_no").join(roots, "line", "left").select(F.coalesce("root", "line").alias("root"), "id", "line_no")
     placed = scratch.keep(placed)
     first = scratch.keep(placed.groupBy("root").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    # classes with over 1 / few of all rows are broadcast, as there are fewer than `few` of them; the others are shuffled
-    few = 4 * parts(docs.sparkSession)
-    hot = first.where(F.col("n") > placed.count() / few)
-    cold = first.join(F.broadcast(hot.select("root")), "root", "left_anti")
-    late = placed.join(F.broadcast(hot), "root").unionByName(placed.join(F.broadcast(hot.select("root")), "root", "left_anti").join(cold, "root"))
+    late = placed.join(first, "root")  # of two tables, so that a large class is split over tasks
     late = late.where(F.struct("id", "line_no") != F.col("first"))
     cut = scratch.keep(late.groupBy("id").agg(F.collect_set("line_no").alias("gone")))
     scratch.only(cut)
