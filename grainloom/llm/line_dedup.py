@@ -317,7 +317,7 @@ def alike(pairs: DataFrame, texts: DataFrame, threshold: float, sets: Sets) -> D
     left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("s")), texts.select(F.col("line").alias("b"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (q for whole in batches for p in pieces(whole, 2) for q in pieces(p, 3)):
             # a line comes with all its partners in turn
             turn = b.column(0).to_numpy()
             first = runs(turn)
@@ -355,7 +355,7 @@ def linked_bands(members: DataFrame, texts: DataFrame, threshold: float, sets: S
         def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, 5)):
             found = []
             for row in zip(*(c.to_pylist() for c in b.columns[:5]), sets(b.column(5).to_pylist())):
                 if row[:3] != cell:

@@ -29,7 +29,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         starts = ends - lengths
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 15):  # bounded memory for very long texts
         ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
