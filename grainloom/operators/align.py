@@ -58,6 +58,27 @@ def merge_metrics(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(*[F.first(m, ignorenulls=True).alias(m) for m in parts])
 
 
+def last_rows(df: DataFrame, n: int, order: list[str], keys: list[str] = ()) -> DataFrame:
+    """The last n rows in an order, of each key or of the table."""
+    return _ends(df, n, [F.desc(c) for c in order], keys)
+
+
+def first_rows(df: DataFrame, n: int, order: list[str], keys: list[str] = ()) -> DataFrame:
+    """The first n rows in an order, of each key or of the table."""
+    return _ends(df, n, [F.asc(c) for c in order], keys)
+
+
+def _ends(df: DataFrame, n: int, order: list[Column], keys: list[str]) -> DataFrame:
+    if not keys:
+        return df.orderBy(*order).limit(n)  # the best n of each task, then of those
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows sorted by several columns, for output; no step of the library relies on an order."""
+    return df.orderBy(*columns)
+
+
 def latest_asof(df: DataFrame, series: str, as_of: Column | None = None, date: str = "date") -> DataFrame:
     """The last row of each series on or before a date, or its last row."""
     rows = df if as_of is None else df.where(F.col(date) <= as_of)

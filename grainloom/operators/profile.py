@@ -173,10 +173,15 @@ def ohlcv_rules() -> dict[str, Column]:
     return {"no_date": F.col("date").isNull(), "high_below_low": F.col("high") < F.col("low"), "not_positive": F.least("open", "high", "low", "close") <= 0}
 
 
+def ohlcv_counts(df: DataFrame) -> DataFrame:
+    """One row: how many rows break each rule."""
+    require_columns(df, ["date", "open", "high", "low", "close"])
+    return df.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in ohlcv_rules().items()])
+
+
 def ohlcv_violations(df: DataFrame) -> dict[str, int]:
     """Rows that break each rule."""
-    require_columns(df, ["date", "open", "high", "low", "close"])
-    return df.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in ohlcv_rules().items()]).first().asDict()
+    return ohlcv_counts(df).first().asDict()
 
 
 def validate_ohlcv(df: DataFrame) -> DataFrame:

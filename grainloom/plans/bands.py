@@ -6,7 +6,7 @@ A bias is mean(actual - p50) and is added once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rolling import diff_n, lag_n, ordered, pct_change, rolling_quantile
@@ -75,13 +75,16 @@ def least_alpha(df: DataFrame, calibration: Column, test: Column, keys: list[str
     """(keys, need, alpha): the half-width that covers the target share of test rows, and the smallest quantile level of
     calibration residuals that reaches it: the inverse of the interpolated quantile; null if none does."""
     r = F.abs(F.col("actual") - F.col("p50"))
-    got = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(calibration, r))).alias("c"), F.sort_array(F.collect_list(F.when(test, r))).alias("t"))
-    need = F.try_element_at("t", F.greatest(F.lit(1), F.ceil(F.size("t") * target / 100)).cast("int"))
-    n = F.size("c")
-    below = F.size(F.filter("c", lambda x: x < F.col("need")))
-    a, b = F.try_element_at("c", F.greatest(below, F.lit(1))), F.try_element_at("c", below + 1)
-    alpha = F.when(below >= n, None).when(below == 0, 0.0).otherwise((below - 1 + F.try_divide(F.col("need") - a, b - a)) / (n - 1))
-    return got.withColumn("need", need).select(*keys, "need", alpha.alias("alpha"))
+    rows = df.select(*keys, r.alias("_r"), calibration.alias("_c"), test.alias("_t")).where("_r IS NOT NULL AND (_c OR _t)")
+    ranked = rows.where("_t").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")))
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("_t"), 1)) * target / 100)).cast("int").alias("_n"))
+    need = sizes.join(ranked, [*keys, "_n"], "left").select(*keys, F.col("_r").alias("need"))
+    lower = F.col("_r") < F.col("need")
+    sums = [F.count(F.lit(1)).alias("n"), F.count(F.when(lower, 1)).alias("below"), F.max(F.when(lower, F.col("_r"))).alias("a"), F.min(F.when(~lower, F.col("_r"))).alias("b")]
+    got = need.join(rows.where("_c").join(need, keys).groupBy(*keys).agg(*sums), keys, "left").na.fill(0, ["n", "below"])
+    n, below = F.col("n"), F.col("below")
+    alpha = F.when((below >= n) | F.col("need").isNull(), None).when(below == 0, 0.0).otherwise((below - 1 + F.try_divide(F.col("need") - F.col("a"), F.col("b") - F.col("a"))) / (n - 1))
+    return got.select(*keys, "need", alpha.alias("alpha"))
 
 
 def rolling_conformal(df: DataFrame, alpha: float = ALPHA, window: int = WINDOW, embargo: int = 0, series: str = "series", order: str = "time_idx") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.profile import split_requests
+from ..operators.align import latest_asof
+from ..operators.profile import require_columns, split_requests
+from ..sources.writers import log_decisions
 
 # Fixed values of the decision rules.
 LEAD_DAYS, WAREHOUSE_MONTHS, MIN_ORDER_TON, SPLIT_DAYS, CBOT_TO_TON, BAND = 50, 4.0, 2000.0, 7, 22.0462, 0.03
@@ -92,10 +94,36 @@ def evaluate(requests: DataFrame) -> DataFrame:
     })
 
 
-def evaluate_scenarios(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Results of the valid requests, and the rejected requests with reasons."""
+def load_context(master: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """One row per series: as_of_date, and its latest close and 30-day average on or before a date (or at all), as quoted
+    and per ton. An empty table or a null close is an error; an average may be null."""
+    require_columns(master, ["series", "date", "price_close", "market_avg_price_30d"])
+    last = latest_asof(master.select("series", "date", "price_close", "market_avg_price_30d"), "series", as_of)
+    seen = last.agg(F.count(F.lit(1)).alias("rows"), F.count("price_close").alias("closes")).first()
+    if not seen["rows"]:
+        raise ValueError("the master table has no row as of the date")
+    if seen["closes"] < seen["rows"]:
+        raise ValueError("the latest row has no close")
+    close, average = F.col("price_close").cast("double"), F.col("market_avg_price_30d").cast("double")
+    return last.select(
+        "series", F.col("date").alias("as_of_date"), close.alias("current_price_cbot"), average.alias("market_avg_cbot"), (close * CBOT_TO_TON).alias("current_price"), (average * CBOT_TO_TON).alias("market_avg_price")
+    )
+
+
+def evaluate_scenarios(requests: DataFrame, master: DataFrame | None = None, as_of: Column | None = None, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results of the valid requests, and the rejected requests with reasons.
+
+    With master, prices and the decision date come from the context of each request's series (load_context), which
+    requests then need not have. log: a table to which the recommendations are appended.
+    """
+    if master is not None:
+        context = load_context(master, as_of).select("series", F.col("as_of_date").alias("decision_date"), "current_price_cbot", "market_avg_cbot")
+        requests = requests.drop("decision_date", "current_price_cbot", "market_avg_cbot").join(context, "series", "left")
     valid, rejected = split_requests(requests)
-    return evaluate(valid), rejected
+    out = evaluate(valid)
+    if log:
+        log_decisions(out.select("decision_date", "recommendation", "reason_code", "quantity_ton", "expected_cost_usd", "current_price", "p50_ton"), log)
+    return out, rejected
 
 
 def result_json(evaluated: DataFrame) -> DataFrame:

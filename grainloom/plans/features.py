@@ -69,6 +69,16 @@ def level_block(df: DataFrame, value: str, pct: tuple[int, ...] = (), diffs: tup
     return df.withColumns({f"{value}_chg_{n}{unit}": pct_change(c, n, w) for n in pct} | {f"{value}_chg_{n}{unit}": diff_n(c, n, w) for n in diffs})
 
 
+def spot_block(df: DataFrame, value: str = "spot_price_usd") -> DataFrame:
+    """A monthly spot price as a release: the mean of each month's quotes, known from the month's first day."""
+    return df.groupBy("series", F.trunc("date", "MM").alias("date")).agg(F.avg(value).alias(value))
+
+
+def return_after(df: DataFrame, value: str, n: int = 30) -> DataFrame:
+    """The return of an aligned release over the backbone's own rows: for series that report rarely."""
+    return df.withColumn(f"{value.removesuffix('_close')}_return_{n}d", pct_change(F.col(value), n, ordered("series")))
+
+
 def volatility_index_block(df: DataFrame) -> DataFrame:
     return market_block(df, "vix_close", "vix", vol=None).withColumn("vix_regime", F.when(F.col("vix_close").isNotNull(), (F.col("vix_close") > 25).cast("int")))
 
@@ -110,13 +120,13 @@ def calendar_block(df: DataFrame) -> DataFrame:
 
 
 def build_master(
-    price: DataFrame, same_day: list[DataFrame] = (), releases: list[DataFrame] = (), version: str = "v1", as_of: Date | None = None, mode: str = "asof", labels_before_cut: bool = False
+    price: DataFrame, same_day: list[DataFrame] = (), releases: list[DataFrame] = (), version: str = "v1", as_of: Date | None = None, mode: str = "asof", labels_before_cut: bool = False, after: tuple[str, ...] = ()
 ) -> DataFrame:
     """The wide daily table of every series.
 
     price: (series, date, price_close), whose dates are the backbone. same_day: blocks joined on equal dates. releases:
     blocks whose values hold until the next one, aligned as of their date (mode "exact": only releases on a backbone
-    date count). as_of cuts the backbone before labels are computed, unless labels_before_cut.
+    date count). after: aligned columns that get a 30-row return then. as_of cuts the backbone before labels are computed, unless labels_before_cut.
     """
     if as_of and not labels_before_cut:
         price = price.where(F.col("date") <= F.lit(as_of))
@@ -125,6 +135,8 @@ def build_master(
     align = {"asof": align_asof, "exact": align_exact_ffill}[mode]
     for r in releases:
         base = align(r, base, ["series"])
+    for value in after:
+        base = return_after(base, value)
     out = label_block(derived_block(calendar_block(base))).withColumn("feature_version", F.lit(version))
     if as_of and labels_before_cut:
         out = out.where(F.col("date") <= F.lit(as_of))
@@ -163,6 +175,11 @@ def wide_to_panel(wide: DataFrame, columns: dict[str, str]) -> DataFrame:
     return full.select("date", *columns.values()).unpivot("date", list(columns.values()), "commodity", "price_close")
 
 
+def enrich_panel(panel: DataFrame, master: DataFrame, date: str = "date") -> DataFrame:
+    """The long panel with the master's columns of its dates; those that the panel has are its own. The master has a row a date."""
+    return panel.join(master.select(date, *[c for c in master.columns if c not in panel.columns]), date)
+
+
 def panel_features(panel: DataFrame) -> DataFrame:
     """Panel of complete cases with lags, return, volatility, ratio, time index and split."""
     w, c = ordered("commodity"), F.col("price_close")

@@ -93,13 +93,27 @@ def load_ensemble(spark, path: str, features: list[str] | None = None) -> tuple[
     return [PipelineModel.load(f"{path}/model-{i}") for i in range(row["models"])], row["features"]
 
 
+def _ranked(by: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Mean rank r of each score, from n rows of each. Scores are cut in ranges, which are ranked apart and then moved up by
+    the rows of the lower ranges of their key; so no task sees all scores."""
+    cuts = by.select(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    by = by.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")
+    sizes = by.groupBy(*keys, "part").agg(F.sum("n").alias("rows"))
+    low = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows of a key
+    base = sizes.select(*keys, "part", F.coalesce(F.sum("rows").over(low), F.lit(0)).alias("base"))
+    within = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(score)) - F.col("n")
+    return by.withColumn("within", within).join(base, [*keys, "part"]).withColumn("r", F.col("base") + F.col("within") + (F.col("n") + 1) / 2)
+
+
+#: Ranges of scores that are ranked apart.
+RANGES = 64
+
+
 def auc(df: DataFrame, score: str, label: str, keys: list[str]) -> DataFrame:
     """(keys, auc) from ranks, ties averaged; null with one class. Scores are counted first, so ties cost nothing."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     by = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("p"))
-    w = Window.partitionBy(*keys).orderBy(score) if keys else Window.orderBy(score)
-    before = F.sum("n").over(w) - F.col("n")
-    ranked = by.withColumn("r", before + (F.col("n") + 1) / 2)
+    ranked = _ranked(by, keys, score)
     pos, all_ = F.sum("p"), F.sum("n")
     value = F.try_divide(F.sum(F.col("r") * F.col("p")) - pos * (pos + 1) / 2, pos * (all_ - pos))
     return ranked.groupBy(*keys).agg(value.alias("auc"))

@@ -11,7 +11,7 @@ from ..functions.clean import parse_cot_number, parse_date, parse_date_two_pass,
 from ..operators.profile import require_columns
 
 # Header names of vendors and internal systems, the positions of the positioning report.
-OHLCV_NAMES = {"date": ("date", "time"), "close": ("close", "price", "last", "adj close"), "open": ("open",), "high": ("high",), "low": ("low",), "volume": ("volume", "vol.", "vol")}
+OHLCV_NAMES = {"date": ("date", "datetime", "time"), "close": ("close", "price", "last", "adj close", "adj. close"), "open": ("open",), "high": ("high",), "low": ("low",), "volume": ("volume", "vol.", "vol")}
 SUPPLY_HEADERS = ("commodity_description", "country_name", "market_year", "calendar_year", "month", "attribute_description", "value")
 COT_MARKET, COT_DATE, COT_LONG, COT_SHORT, COT_FIELDS = 0, 2, 8, 9, 10
 
@@ -21,7 +21,7 @@ def _q(name: str) -> Column:
 
 
 def read_series(df: DataFrame, value: str, series: str | None = None, by: str = "commodity", date: str = "date", fallback: bool = False) -> DataFrame:
-    """(date, value) of one series; with fallback, of all rows if none has that name. One scan either way."""
+    """(date, value) of one series; with fallback, of all rows if none has that name, which a scan of the names finds first."""
     if series is None:
         return df.select(date, value)
     hit = F.coalesce(F.col(by) == series, F.lit(False))
@@ -37,14 +37,16 @@ def _named(df: DataFrame, aliases: Mapping[str, tuple[str, ...]]) -> dict[str, s
 
 
 def read_vendor_ohlcv(spark: SparkSession, path: str, commodity: str) -> DataFrame:
-    """Daily prices from a delimited export, headers by alias, the first column as date if none is named so."""
+    """Daily prices from a delimited export, headers by alias. The date column has such a name, else holds `date` or ends in `time`,
+    else is the first. A missing price column is an error; a missing volume is null."""
     raw = spark.read.csv(path, header=True, multiLine=True)
     found = _named(raw, OHLCV_NAMES)
-    require = [n for n in ("close",) if n not in found]
+    require = [n for n in ("open", "high", "low", "close") if n not in found]
     if require:
         raise ValueError(f"missing columns: {require}")
-    date = parse_date_two_pass(_q(found.get("date", raw.columns[0])))
-    prices = [(parse_price(_q(found[n])) if n in found else F.lit(None).cast("double")).alias(n) for n in ("open", "high", "low", "close")]
+    dated = next((c for c in raw.columns if "date" in c.lower() or c.lower().strip().endswith("time")), raw.columns[0])
+    date = parse_date_two_pass(_q(found.get("date", dated)))
+    prices = [parse_price(_q(found[n])).alias(n) for n in ("open", "high", "low", "close")]
     volume = parse_volume(_q(found["volume"])) if "volume" in found else F.lit(None).cast("double")
     return raw.select(date.alias("date"), *prices, volume.alias("volume"), F.lit(commodity).alias("commodity")).where(F.col("date").isNotNull())
 
@@ -102,15 +104,15 @@ def read_month_sheet(spark: SparkSession, path: str, column: str, name: str, sta
     value = next((c for c in cols if c.strip().lower() == low), None) or next((c for c in cols if low in c.lower()), None)
     if dated is None or value is None:
         raise ValueError(f"no date column or no column {column!r}")
-    out = raw.select(parse_month_code(_q(dated)).alias("date"), parse_price(_q(value)).alias(name)).dropna()
-    return out.where(F.col("date") >= F.lit(start).cast("date")).groupBy("date").agg(F.last(name).alias(name))
+    out = raw.select(parse_month_code(_q(dated)).alias("date"), parse_price(_q(value)).alias(name), F.monotonically_increasing_id().alias("seq")).dropna()
+    return out.where(F.col("date") >= F.lit(start).cast("date")).groupBy("date").agg(F.max_by(name, "seq").alias(name))  # of equal dates the last line
 
 
 def read_series_by_id(spark: SparkSession, path: str, series_id: str, name: str) -> DataFrame:
     """(date, value) of the column that carries an id in the key row; the header is in the row below it."""
     lines = spark.read.text(path).withColumn("_seq", F.monotonically_increasing_id())
-    cells = lines.select("_seq", F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(256)))).alias("r"))
-    arr = cells.select("_seq", F.array(*[F.trim(F.col(f"r.c{i}")) for i in range(256)]).alias("a"))
+    cells = F.regexp_extract_all("value", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    arr = lines.select("_seq", F.transform(cells, lambda x: F.trim(F.regexp_replace(x, '^"|"$', ""))).alias("a"))
     key = arr.where(F.array_contains("a", series_id)).orderBy("_seq").select("_seq", F.array_position("a", series_id).alias("at")).first()
     if key is None:
         raise ValueError(f"no series {series_id!r}")
@@ -131,10 +133,13 @@ def read_supply_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records that stand bare in a list or under data, records or results, in any case."""
     item = f"array<struct<{schema}>>"
     text = spark.read.text(path, wholetext=True).select("value")
-    names = [n for base in ("data", "records", "results") for n in (base, base.capitalize(), base.upper())]
-    found = [F.from_json("value", item)] + [F.from_json(F.get_json_object("value", f"$.{n}"), item) for n in names]
-    bare = F.when(F.ltrim("value").startswith("["), found[0])
-    return text.select(F.explode(F.coalesce(bare, *found[1:])).alias("r")).select("r.*")
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", item))
+    fields = F.map_entries(F.from_json("value", "map<string,string>"))
+
+    def under(name: str) -> Column:
+        return F.from_json(F.get(F.filter(fields, lambda x: F.lower(x["key"]) == name), 0)["value"], item)
+
+    return text.select(F.explode(F.coalesce(bare, *map(under, ("data", "records", "results")))).alias("r")).select("r.*")
 
 
 def read_internal_export(spark: SparkSession, path: str, columns: Mapping[str, Iterable[str]], required: Iterable[str]) -> DataFrame:

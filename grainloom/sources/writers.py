@@ -5,6 +5,7 @@ Tables are paths. Appends read only the key columns of what is stored. Two write
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,10 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under the session's checkpoint folder, else (tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[.*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="grainloom-"))
     return f"{sc.getCheckpointDir()}/work-{uuid.uuid4().hex}"
 
 
@@ -48,14 +52,18 @@ def anti_join(df: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def new_rows(df: DataFrame, have: DataFrame, keys: list[str], seq: str | None = None, policy: str = "first") -> DataFrame:
-    """Rows to append: keys that are not stored; within the batch the first or the last row of a key by seq, or an error."""
+    """Rows to append: keys that are not stored; within the batch the first or the last row of a key by seq, or an error.
+
+    Rows of a table have no order, so without seq only equal rows of a key are taken as one; others are an error.
+    """
+    if policy in ("first", "last") and not seq:
+        df, policy = df.distinct(), "error"
     if policy == "error":
         if df.groupBy(*keys).count().where("count > 1").limit(1).count():
             raise ValueError(f"the batch has several rows for a key of {keys}")
         batch = df
     elif policy in ("first", "last"):
-        order = [F.asc(seq) if policy == "first" else F.desc(seq)] if seq else [F.col(c) for c in df.columns]
-        batch = dedupe(df, keys, *order)
+        batch = dedupe(df, keys, F.asc(seq) if policy == "first" else F.desc(seq))
     else:
         raise ValueError(f"no policy {policy!r}")
     return anti_join(batch, have, keys)
