@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, mix, text_blocks
+from .common import binary, mix, parts, text_blocks
 from .langid import held_out
 
 #: No word holds a space.
@@ -24,19 +24,19 @@ REQUEST = "shard int, block int, word binary, seen binary, fan binary, arc binar
 REPLY = "block int, shard int, seen binary, kinds binary, arc_seen binary, n long, v long, once long, twice long"
 
 
-def _sent(keys: np.ndarray) -> bytes:
-    """The upper 48 bits of keys; the lower ones have dealt them to a shard, which holds some hundred thousand keys."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _counts_out(x: np.ndarray) -> bytes:
+    """Counts as bytes; those of 255 and more follow in full."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
 
 
-def _received(sent: bytes) -> np.ndarray:
-    out = np.zeros((len(sent) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(sent, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _counts_in(sent: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(sent, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(sent, "<i8", offset=n)
+    return out
 
 
 def _shard(keys: np.ndarray, n) -> np.ndarray:
-    return (keys & np.uint64(0xFFFFF)) % np.asarray(n, np.uint64)
+    return keys % np.asarray(n, np.uint64)
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -83,15 +83,15 @@ class Block:
         self.word, self.n_pairs = word, len(pair)
         self.word_cut = np.searchsorted(place_shard, np.arange(shards + 1))
         self.pair_cut = np.searchsorted(shard[self.order].astype(np.int64), np.arange(shards + 1))
-        self.payload = word[self.place_word], np.where(own, seen[self.place_word], 0), fan.astype(np.uint32), pair[self.order], pair_seen[self.order].astype(np.uint32)
+        self.payload = word[self.place_word], np.where(own, seen[self.place_word], 0), fan, pair[self.order], pair_seen[self.order]
 
     def requests(self, block: int) -> pa.Table:
         word, seen, fan, arc, arc_seen = self.payload
         rows = [(s, a, b, c, d) for s, (a, b, c, d) in enumerate(zip(self.word_cut, self.word_cut[1:], self.pair_cut, self.pair_cut[1:]))]
         return pa.table({
             "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-            "word": binary([_sent(word[a:b]) for _, a, b, _, _ in rows]), "seen": binary([seen[a:b].astype("<i8").tobytes() for _, a, b, _, _ in rows]), "fan": binary([fan[a:b].tobytes() for _, a, b, _, _ in rows]),
-            "arc": binary([_sent(arc[c:d]) for _, _, _, c, d in rows]), "arc_seen": binary([arc_seen[c:d].tobytes() for _, _, _, c, d in rows]),
+            "word": binary([word[a:b].tobytes() for _, a, b, _, _ in rows]), "seen": binary([_counts_out(seen[a:b]) for _, a, b, _, _ in rows]), "fan": binary([_counts_out(fan[a:b]) for _, a, b, _, _ in rows]),
+            "arc": binary([arc[c:d].tobytes() for _, _, _, c, d in rows]), "arc_seen": binary([_counts_out(arc_seen[c:d]) for _, _, _, c, d in rows]),
         })
 
     def scores(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
@@ -100,9 +100,9 @@ class Block:
         for r in replies.to_pylist():
             a, b = self.word_cut[r["shard"]], self.word_cut[r["shard"] + 1]
             c, d = self.pair_cut[r["shard"]], self.pair_cut[r["shard"] + 1]
-            seen[self.place_word[a:b]] += np.frombuffer(r["seen"], "<i8")
-            kinds[self.place_word[a:b]] += np.frombuffer(r["kinds"], np.uint32)
-            arc_seen[self.order[c:d]] = np.frombuffer(r["arc_seen"], "<i8")
+            seen[self.place_word[a:b]] += _counts_in(r["seen"], b - a)
+            kinds[self.place_word[a:b]] += _counts_in(r["kinds"], b - a)
+            arc_seen[self.order[c:d]] = _counts_in(r["arc_seen"], d - c)
             for k in totals:
                 totals[k] += r[k]
         n, v = totals["n"], totals["v"]
@@ -129,11 +129,12 @@ def answer(table: pa.Table) -> pa.Table:
     """What one shard knows of the words and arcs that the blocks ask for."""
     rows = table.to_pylist()
 
-    def joined(name: str, kind: str) -> tuple[np.ndarray, list[int]]:
-        own = [np.frombuffer(r[name], kind) if kind else _received(r[name]) for r in rows]
-        return np.concatenate(own), np.cumsum([len(x) for x in own]).tolist()
+    def joined(keys: str, *counts: str) -> tuple[np.ndarray, list[int], list[np.ndarray]]:
+        own = [np.frombuffer(r[keys], "<u8") for r in rows]
+        return np.concatenate(own), np.cumsum([len(x) for x in own]).tolist(), [np.concatenate([_counts_in(r[c], len(x)) for r, x in zip(rows, own)]) for c in counts]
 
-    (word, word_ends), (seen, _), (fan, _), (arc, arc_ends), (arc_seen, _) = (joined(*x) for x in (("word", ""), ("seen", "<i8"), ("fan", "<u4"), ("arc", ""), ("arc_seen", "<u4")))
+    word, word_ends, (seen, fan) = joined("word", "seen", "fan")
+    arc, arc_ends, (arc_seen,) = joined("arc", "arc_seen")
     words, at = np.unique(word, return_inverse=True)
     count = np.bincount(at, seen, len(words)).astype(np.int64)
     arcs, first, arc_at = np.unique(arc, return_index=True, return_inverse=True)
@@ -142,7 +143,7 @@ def answer(table: pa.Table) -> pa.Table:
     kinds = np.bincount(leaves[arc_count > 0], minlength=len(words)).astype(np.uint32)
 
     def back(values: np.ndarray, ends: list[int]) -> list[bytes]:
-        return [values[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+        return [_counts_out(values[a:b]) for a, b in zip([0, *ends], ends)]
 
     def all_rows(n: int) -> pa.Array:
         return pa.array([int(n)] * len(rows), pa.int64())
@@ -176,20 +177,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     end alone. Root: p(w) = (c + 0.1) / (N + 0.1 * (V + 1)). A state h gives
     p(w|h) = max(c(hw) - d, 0) / c(h) + d * kinds(h) / c(h) * p(w) with d = n1 / (n1 + 2 * n2), the shares of word pairs
     seen once and twice; words unseen as history leave everything to the root. One left-to-right walk carries the
-    state. Nothing is pruned. An empty table gives an empty result; equal rows are scored alike; other columns play no part.
+    state. Nothing is pruned; words and pairs are told apart by 64 bits of hash. Texts of any length are scored whole. An empty table gives an empty result; equal rows are scored alike; other columns play no part.
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    blocks, n = text_blocks(docs, id_col, text_col, BLOCK_BYTES, held_out(id_col, *fold).alias("held_out"))
-    hot = hot_words(docs, text_col, docs.count(), n)
+    blocks, _ = text_blocks(docs, id_col, text_col, BLOCK_BYTES, held_out(id_col, *fold).alias("held_out"))
+    shards = parts(docs.sparkSession)  # each block sends to each shard, as in any shuffle
+    hot = hot_words(docs, text_col, docs.count(), shards)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
-        return Block(table, n, hot).requests(table.column("block")[0].as_py())
+        return Block(table, shards, hot).requests(table.column("block")[0].as_py())
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        return Block(left, n, hot).scores(left, right)
+        return Block(left, shards, hot).scores(left, right)
 
     replies = blocks.groupBy("block").applyInArrow(ask, REQUEST).groupBy("shard").applyInArrow(answer, REPLY)
     result = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from grainloom.llm import langid, mixing, simhash
+from grainloom.llm import backoff_lm, langid, mixing, simhash
 from grainloom.llm.backoff_lm import lm_scores
 from grainloom.llm.debruijn import remove_repeats
 from grainloom.llm.langid import held_out, identify, learn_profiles
@@ -267,17 +267,32 @@ def test_language_model_against_brute_force(spark):
 
 
 def test_language_model_sums_to_one_and_odd_tables(spark):
-    # over the vocabulary and one unknown word, p(w | a) adds up to 1
-    known = ["a b", "a c", "a b", "b a", "a a b"]
-    probes = [f"a {w}" for w in ("a", "b", "c", "unknown")] + ["a"]
-    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][: len(known)] + [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][: len(probes)]
-    got = {r["doc_id"]: r["score"] for r in lm_scores(docs(spark, known + probes, ids)).collect()}
-    s = [got[i] for i in ids[len(known) :]]
+    known, words = ["a b", "a c", "a b", "b a", "a a b"], ["a", "b", "c", "u"]
+    probes = ["", *words, *(f"{w} {v}" for w in words for v in words)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][: len(known)] + [i for i in range(900) if zlib.crc32(str(i).encode()) % 10 == 0][: len(probes)]
+    rows = {r["doc_id"]: r for r in lm_scores(docs(spark, known + probes, ids)).collect()}
+    s, root = ({t: rows[i][c] for t, i in zip(probes, ids[len(known) :])} for c in ("score", "base_score"))
+    # u was never seen, so what follows it has the root's probability; that gives the end of each word's state
+    end = {v: s[f"u {v}"] - s["u"] + root[""] - (root[v] - root[""]) for v in words}
+    for w in words:
+        after = [10 ** (s[f"{w} {v}"] - (s[w] - end[w]) - end[v]) for v in words]
+        assert sum(after) + 10 ** end[w] == pytest.approx(1)
     rows = lm_scores(docs(spark, [], [])).collect()
-    assert rows == [] and all(x < 0 for x in s)
+    assert rows == []
     assert lm_scores(docs(spark, ["a", None], [None, None])).count() == 2
 
 
+def test_language_model_with_frequent_words(spark, monkeypatch):
+    """The result does not depend on how the arcs of a word are dealt over shards, nor do counts above a byte matter."""
+    texts = ["w1 w2 " * 200 + prose(i, 30) for i in range(25)]
+    scores = lambda: {r["doc_id"]: (r["n_known"], r["train_tokens"], pytest.approx(r["score"])) for r in lm_scores(docs(spark, texts)).collect()}
+    monkeypatch.setattr(backoff_lm, "hot_words", lambda *_: {})
+    cold = scores()
+    hot = {xxhash.xxh64_intdigest(w): 3 for w in (b"w1", b"w2", b" start", b"w7")}
+    monkeypatch.setattr(backoff_lm, "hot_words", lambda *_: hot)
+    assert scores() == cold
+
+
 # ---- language ID
 
 
