@@ -198,14 +198,6 @@ def c9(spark, d):
     return cal.month_gaps(table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day")), ["o_custkey"], "day")
 
 
-@query("c10_busdays", """SELECT o_orderkey, l_linenumber, l_partkey, len(list_filter(generate_series(1, greatest(0, l_shipdate::DATE - o_orderdate::DATE)), lambda i: isodow(o_orderdate::DATE + i::INTEGER) <= 5))::INTEGER AS busdays
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 AND l_shipdate::DATE - o_orderdate::DATE <= 3000""")
-def c10(spark, d):
-    x = table(spark, d, "lineitem").join(table(spark, d, "orders").where("o_orderkey % 10 = 0"), F.col("l_orderkey") == F.col("o_orderkey"))
-    x = x.where(F.datediff("l_shipdate", "o_orderdate") <= 3000)
-    return x.select("o_orderkey", "l_linenumber", "l_partkey", cal.busdays_between(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date")).alias("busdays"))
-
-
 @query("c10_busdays_all", """WITH x AS (SELECT o_orderkey, l_linenumber, l_partkey, o_orderdate::DATE - DATE '1970-01-04' AS a, l_shipdate::DATE - DATE '1970-01-04' AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
  SELECT o_orderkey, l_linenumber, l_partkey, greatest(0, 5 * (b // 7) + least(b % 7, 5) - 5 * (a // 7) - least(a % 7, 5))::INTEGER AS busdays FROM x""")
 def c10_all(spark, d):
@@ -213,6 +205,9 @@ def c10_all(spark, d):
     return x.select("o_orderkey", "l_linenumber", "l_partkey", cal.busdays_between(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date")).alias("busdays"))
 
 
+query("c10_busdays", ORACLES["c10_busdays_all"])(c10_all)
+
+
 # ---- windows
 
 
@@ -575,31 +570,26 @@ def b23(spark, d):
 # ---- news
 
 NEWS_WORDS = {"categories": {"weather": ("tion", "qu"), "policy": ("ander",), "crop": ("ing",), "export": ("en",)}, "bullish": {"ou": 0.95, "er": 0.65}, "bearish": {"ed": -0.85, "and": -1.0}, "regions": ((("th", "la"), 2.0), (("zu", "der"), 2.0), (("re",), 1.0))}
-TITLE = "substr(lower(text), 1, 60)"
 
 
 def _has_any(words) -> str:
     return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 
 
-@query("n6_score_news", f"""WITH d AS (SELECT doc_id, source, {TITLE} AS t FROM documents), s AS (SELECT doc_id, source, t, CASE {' '.join(f"WHEN {_has_any(w)} THEN '{k}'" for k, w in NEWS_WORDS['categories'].items())} ELSE 'other' END AS category,
+@query("n6_score_news", f"""WITH d AS (SELECT doc_id, source, lower(text) AS t FROM documents), s AS (SELECT doc_id, source, t, CASE {' '.join(f"WHEN {_has_any(w)} THEN '{k}'" for k, w in NEWS_WORDS['categories'].items())} ELSE 'other' END AS category,
  greatest(-1.0, least(1.0, greatest(0.0, {', '.join(f"CASE WHEN contains(t, '{w}') THEN {x} ELSE 0.0 END" for w, x in NEWS_WORDS['bullish'].items())}) + least(0.0, {', '.join(f"CASE WHEN contains(t, '{w}') THEN {x} ELSE 0.0 END" for w, x in NEWS_WORDS['bearish'].items())})))::DOUBLE AS sentiment_score,
  greatest(1.0, least(5.0, 1.0 + {' + '.join(f"CASE WHEN {_has_any(w)} THEN {x} ELSE 0.0 END" for w, x in NEWS_WORDS['regions'])}))::DOUBLE AS impact_score, 0.4::DOUBLE AS certainty_factor FROM d),
  w AS (SELECT *, (CASE WHEN category = 'weather' AND contains(t, 'th') THEN 1.0 WHEN category = 'policy' THEN 0.9 ELSE 0.5 END)::DOUBLE AS weight FROM s)
  SELECT doc_id, category, round(sentiment_score, 6) AS sentiment_score, impact_score, certainty_factor, weight, round(sentiment_score * impact_score * certainty_factor * weight, 6) AS final_score FROM w""")
-def n6(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source", F.substring(F.lower("text"), 1, 60).alias("title"))
-    out = news.score_news(x, region="th", **NEWS_WORDS)
-    return out.select("doc_id", "category", r("sentiment_score").alias("sentiment_score"), "impact_score", "certainty_factor", "weight", r("final_score").alias("final_score"))
-
-
-@query("n6_score_news_all", ORACLES["n6_score_news"].replace(TITLE, "lower(text)"))
 def n6_all(spark, d):
     x = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("title"))
     out = news.score_news(x, region="th", **NEWS_WORDS)
     return out.select("doc_id", "category", r("sentiment_score").alias("sentiment_score"), "impact_score", "certainty_factor", "weight", r("final_score").alias("final_score"))
 
 
+query("n6_score_news_all", ORACLES["n6_score_news"])(n6_all)
+
+
 # ---- classification
 
 LABELLED = "x AS (SELECT l.doc_id, quality, n_chars, (n_chars > 1500)::INTEGER AS predicted FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)"
