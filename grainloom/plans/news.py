@@ -15,7 +15,9 @@ CATEGORIES = {
     "export": ("export", "shipment", "port", "logistics", "cargo"),
 }
 BULLISH = {"drought": 0.95, "ban": 0.85, "export ban": 0.9, "cut": 0.65, "cuts": 0.65, "surge": 0.75, "shortage": 0.9, "shortages": 0.9, "soaring": 0.7, "spike": 0.7, "disruption": 0.65}
-BEARISH = {"record harvest": -1.0, "weak demand": -0.85, "bumper crop": -1.0, "surplus": -0.85, "bumper": -0.9}
+BEARISH_PHRASES = {"record harvest": -1.0, "weak demand": -0.85, "bumper crop": -1.0}
+BEARISH_WORDS = {"surplus": -0.85, "bumper": -0.9}
+BEARISH = BEARISH_PHRASES | BEARISH_WORDS
 REGIONS = (("brazil", "argentina"), 2.0), (("indonesia", "malaysia"), 2.0), (("usda", "epa", "government"), 1.0)
 SOURCES = (("reuters", "bloomberg", "usda"), 0.8), (("ft.com", "financial times"), 0.7), (("wsj", "wall street journal"), 0.7)
 
