@@ -2,12 +2,14 @@
 
 The edges are the k-word windows that occur in more than one document. Sampled seeds first tell which windows can be
 such edges, so only those travel; a join by edge then gives each its owner (the smallest document) and whether all its
-occurrences go on alike. Back at the source coordinates, edges with one owner and no branch between them compact
-into spans.
+occurrences go on alike. Edges with one owner and no branch between them compact into spans. A span travels to the
+block of its owner, where its words must stand at a place where its first edge starts; only then is it removed.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,8 +24,12 @@ BLOCK_BYTES = 10 << 20
 SEED_WORDS = 5
 MANY = np.iinfo(np.int64).min
 BRANCH = np.uint32(0xFFFFFFFF)
+CODE, CHECK = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 REQUEST = "shard int, block int, keys binary, checks binary, docs binary, nexts binary"
-REPLY = "block int, shard int, owners binary, plain binary"
+REPLY = "block int, shard int, owners binary, homes binary, plain binary"
+#: A kind of span (words that follow an edge of an owner) and its places in the texts of a block.
+SPANS = "block int, home int, owner long, code long, words long, digest binary, places binary"
+SPAN_TYPES = {"block": pa.int32(), "home": pa.int32(), "owner": pa.int64(), "code": pa.int64(), "words": pa.int64(), "digest": pa.binary(), "places": pa.binary()}
 
 
 def rolled(h: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -53,14 +59,31 @@ def one_value(values: np.ndarray, order: np.ndarray, first: np.ndarray, mark) ->
     return np.where(low == high, low, mark)
 
 
+def split(text: pa.StringScalar) -> list[bytes]:
+    return (text.as_py() or "").encode().split()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def text_key(text: pa.StringScalar) -> int:
+    """Tells apart the texts of a block that have one id; the order of a block's rows may differ from pass to pass."""
+    return xxhash.xxh3_64_intdigest((text.as_py() or "").encode()) >> 1
+
+
 class Block:
     """Windows of a block of documents: seed and document of each, in order of the texts."""
 
     def __init__(self, docs: pa.Table, width: int, shards: int):
         self.width, self.shards = width, shards
         self.block = docs.column("block")[0].as_py()
-        self.words = [(t.as_py() or "").encode().split() for t in docs.column("text")]
-        hashes = [np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)) for w in self.words]
+        self.words = [split(t) for t in docs.column("text")]
+        hashes = [hashed(w) for w in self.words]
         ids = docs.column("id").to_pylist()
         lengths = np.array([len(h) for h in hashes])
         self.starts = np.cumsum(lengths) - lengths
@@ -93,21 +116,23 @@ class Block:
         docs = one_value(self.ids[self.doc[self.at]], order, first, MANY) if len(first) else np.zeros(0, np.int64)
         return self._rows(self.keys, None, docs, None)
 
-    def received(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        owners, plain = np.zeros(len(self.sent), np.int64), np.zeros(len(self.sent), bool)
+    def received(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owners, homes, plain = np.zeros(len(self.sent), np.int64), np.zeros(len(self.sent), np.int32), np.zeros(len(self.sent), bool)
         for r in replies.to_pylist():
             i = self.sent[self.cut[r["shard"]] : self.cut[r["shard"] + 1]]
             plain[i] = np.unpackbits(np.frombuffer(r["plain"], np.uint8), count=len(i)).astype(bool)
             if r["owners"]:
                 owners[i] = np.frombuffer(r["owners"], "<i8")
-        return owners, plain
+                homes[i] = np.frombuffer(r["homes"], "<i4")
+        return owners, homes, plain
 
     def edges(self, replies: pa.Table) -> pa.Table:
         """Windows whose seed is in several documents."""
         self.seeds()
-        _, repeated = self.received(replies)
+        *_, repeated = self.received(replies)
         self.at = self.at[repeated[np.searchsorted(self.keys, self.seed)]] if len(self.at) else self.at
-        code, check = (rolled(self.h, self.width, b)[self.at] for b in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+        code, check = (rolled(self.h, self.width, b)[self.at] for b in (CODE, CHECK))
+        self.code = code
         follow = np.append(self.h, [np.uint64(0)])[np.minimum(self.at + self.width, len(self.h))]
         same = np.append(self.doc, [-1])[np.minimum(self.at + self.width, len(self.h))] == self.doc[self.at] if len(self.at) else np.zeros(0, bool)
         follow = np.where(same, (follow >> np.uint64(33)).astype(np.uint32), np.uint32(0))
@@ -121,16 +146,53 @@ class Block:
         return self._rows(code[order[first]], check[order[first]], owners, one_value(follow, order, first, BRANCH))
 
     def spans(self, replies: pa.Table) -> tuple[np.ndarray, ...]:
-        """(document in the block, first word, words, owner) of the compacted paths of owned edges."""
-        owners, plain = self.received(replies)
-        owner, go_on = owners[self.edge], plain[self.edge]
-        doc = self.doc[self.at]
-        hit = owner < self.ids[doc]
-        at, owner, go_on, doc = self.at[hit], owner[hit], go_on[hit], doc[hit]
-        joined = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]) & go_on[:-1]
+        """(document in the block, first word, words, owner, its block, first edge) of the compacted paths of owned edges."""
+        owners, homes, plain = self.received(replies)
+        owner = owners[self.edge]
+        hit = owner < self.ids[self.doc[self.at]]
+        at, owner, code, edge = self.at[hit], owner[hit], self.code[hit], self.edge[hit]
+        doc, home, go_on = self.doc[at], homes[edge], plain[edge]
+        joined = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]) & (home[1:] == home[:-1]) & go_on[:-1]
         first = np.flatnonzero(np.concatenate([[True], ~joined])) if len(at) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        return doc[first], at[first] - self.starts[doc[first]], at[last] - at[first] + self.width, owner[first]
+        return doc[first], at[first] - self.starts[doc[first]], at[last] - at[first] + self.width, owner[first], home[first], code[first].view(np.int64)
+
+    def proposed(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        """The kinds of spans of the block, each with its places: id and key of the text, and first word."""
+        kinds: dict[tuple, list[int]] = {}
+        keys: dict[int, int] = {}
+        for d, at, words, owner, home, code in zip(*(x.tolist() for x in self.spans(replies))):
+            if d not in keys:
+                keys[d] = text_key(docs.column("text")[d])
+            kinds.setdefault((home, owner, code, words, digest(self.words[d][at : at + words])), []).extend((int(self.ids[d]), keys[d], at))
+        rows = [(self.block, *kind, np.array(places, "<i8").tobytes()) for kind, places in kinds.items()]
+        return span_table(rows)
+
+
+def span_table(rows: list[tuple]) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(SPAN_TYPES.items())})
+
+
+def without_places(asked: pa.Table) -> pa.Table:
+    return asked.set_column(asked.schema.get_field_index("places"), "places", binary([b""] * asked.num_rows))
+
+
+def confirmed(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
+    """The kinds of spans whose words stand in a text of their owner, at a place where their first edge starts."""
+    want: dict[int, dict[tuple, list[int]]] = {}
+    for i, r in enumerate(asked.select(["owner", "code", "words", "digest"]).to_pylist()):
+        want.setdefault(r["owner"], {}).setdefault((r["code"], r["words"], r["digest"]), []).append(i)
+    good: list[int] = []
+    for d in np.flatnonzero(pc.fill_null(pc.is_in(docs.column("id"), pa.array(list(want), pa.int64())), False).to_numpy()).tolist():
+        words, kinds = split(docs.column("text")[d]), want[docs.column("id")[d].as_py()]
+        codes = rolled(hashed(words), width, CODE).view(np.int64)
+        order = np.argsort(codes, kind="stable")
+        places = codes[order]
+        for code, m, sha in list(kinds):
+            a, b = np.searchsorted(places, code, "left"), np.searchsorted(places, code, "right")
+            if any(digest(words[p : p + m]) == sha for p in order[a:b].tolist()):
+                good += kinds.pop((code, m, sha))
+    return asked.take(pa.array(good, pa.int64())).select(list(SPAN_TYPES))
 
 
 def seed_answer(table: pa.Table) -> pa.Table:
@@ -143,28 +205,32 @@ def seed_answer(table: pa.Table) -> pa.Table:
     docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
     many = np.empty(len(key), bool)
     many[order] = np.repeat(one_value(docs, order, first, MANY) == MANY, np.diff(np.append(first, len(key))))
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([b""] * len(rows)), "plain": binary([np.packbits(x).tobytes() for x in np.split(many, ends[:-1])])})
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([b""] * len(rows)), "homes": binary([b""] * len(rows)), "plain": binary([np.packbits(x).tobytes() for x in np.split(many, ends[:-1])])})
 
 
 def edge_answer(table: pa.Table) -> pa.Table:
-    """The owner of each edge, and whether it has one next word everywhere."""
+    """The owner of each edge, the block it lies in, and whether the edge has one next word everywhere."""
     rows = table.to_pylist()
     key, check, docs, nexts = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("nexts", "<u4")))
     ends = np.cumsum([len(r["keys"]) // 8 for r in rows])
     order, first = grouped(key, check)
     size = np.diff(np.append(first, len(key)))
-    owners, plain = np.empty(len(key), np.int64), np.empty(len(key), bool)
+    owners, homes, plain = np.empty(len(key), np.int64), np.empty(len(key), np.int32), np.empty(len(key), bool)
     owners[order] = np.repeat(np.minimum.reduceat(docs[order], first), size)
+    asking = np.repeat(table.column("block").to_numpy(), np.diff(ends, prepend=0)).astype(np.int32)
+    at_home = np.where(docs == owners, asking, np.iinfo(np.int32).max)
+    homes[order] = np.repeat(np.minimum.reduceat(at_home[order], first), size)
     plain[order] = np.repeat(one_value(nexts, order, first, BRANCH) != BRANCH, size)
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([x.tobytes() for x in np.split(owners, ends[:-1])]), "plain": binary([np.packbits(x).tobytes() for x in np.split(plain, ends[:-1])])})
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([x.tobytes() for x in np.split(owners, ends[:-1])]), "homes": binary([x.tobytes() for x in np.split(homes, ends[:-1])]), "plain": binary([np.packbits(x).tobytes() for x in np.split(plain, ends[:-1])])})
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document without the words that a repeated window covers.
 
     A window is width consecutive words (runs of anything but ASCII white space, unchanged) of one document. It is
-    repeated if the same words also start in a document with a smaller id, judged on the input. Windows are compared
-    by 128 bits of hash. Ids are whole numbers. Null texts have no words; documents with fewer than width words stay whole; so do rows
+    repeated if the same words also start in a document with a smaller id, judged on the input. Windows are found
+    by 128 bits of hash; the words of the spans they form are then compared, by SHA-256, with those of the owner, and a
+    span that is not there stays. Ids are whole numbers. Null texts have no words; documents with fewer than width words stay whole; so do rows
     with a null id, which own nothing either. Rows with equal ids do not remove each other's words. An empty table
     gives an empty result; other columns play no part.
 
@@ -180,31 +246,52 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     def ask_edges(left: pa.Table, right: pa.Table) -> pa.Table:
         return Block(left, width, n).edges(right)
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    def propose(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left, width, n)
         is_seed = pc.equal(right.column("stage"), 1)
         b.edges(right.filter(is_seed))
-        doc, at, words, owner = b.spans(right.filter(pc.invert(is_seed)))
-        own: dict[int, list] = {}
-        for d, *span in zip(doc.tolist(), at.tolist(), words.tolist(), owner.tolist()):
-            own.setdefault(d, []).append(span)
+        return b.proposed(left, right.filter(pc.invert(is_seed)))
+
+    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
+        return confirmed(left, right, width)
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {}
+        own: dict[tuple, set] = {}
+        for r in right.to_pylist():
+            kind = r["home"], r["owner"], r["code"], r["words"], r["digest"]
+            places, there = kinds.get(kind, (b"", False))
+            kinds[kind] = r["places"] or places, there or not r["places"]
+        for (_, owner, _, words, _), (places, there) in kinds.items():
+            if there:
+                for d, key, at in np.frombuffer(places, "<i8").reshape(-1, 3).tolist():
+                    own.setdefault((d, key), set()).add((at, words, owner))
+        has_spans = {d for d, _ in own}
         removed, kept, spans = [], [], []
-        for d, w in enumerate(b.words):
-            spans.append([{"first": a, "words": m, "owner": o} for a, m, o in own.get(d, ())])
-            if d in own:
+        n_words = []
+        for i, text in zip(left.column("id").to_pylist(), left.column("text")):
+            w = split(text)
+            found = sorted(own.get((i, text_key(text)), ())) if i in has_spans else []
+            spans.append([{"first": a, "words": m, "owner": o} for a, m, o in found])
+            n_words.append(len(w))
+            if found:
                 gone = np.zeros(len(w) + 1, np.int64)
-                for a, m, _ in own[d]:
+                for a, m, _ in found:
                     gone[a] += 1
                     gone[a + m] -= 1
                 stay = np.cumsum(gone)[:-1] == 0
                 w = [x for x, s in zip(w, stay.tolist()) if s]
-            removed.append(len(b.words[d]) - len(w))
+            removed.append(n_words[-1] - len(w))
             kept.append(b" ".join(w).decode())
         span = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("owner", pa.int64())]))
-        return pa.table({"id": left.column("id"), "n_words": pa.array([len(w) for w in b.words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.string())})
+        return pa.table({"id": left.column("id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.string())})
 
     seeds = blocks.groupBy("block").applyInArrow(ask_seeds, REQUEST).groupBy("shard").applyInArrow(seed_answer, REPLY)
     edges = blocks.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(ask_edges, REQUEST).groupBy("shard").applyInArrow(edge_answer, REPLY)
     replies = seeds.withColumn("stage", F.lit(1)).unionByName(edges.withColumn("stage", F.lit(2)))
-    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
+    # the same exchange of all columns serves both the blocks' own spans and the questions to the owners' blocks
+    asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(propose, SPANS).repartition(n, "block")
+    questions = asked.groupBy("block").applyInArrow(without_places, SPANS)
+    there = blocks.groupBy("block").cogroup(questions.groupBy("home")).applyInArrow(confirm, SPANS)
+    out = blocks.groupBy("block").cogroup(asked.unionByName(there).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
     return out.withColumnRenamed("id", id_col)

@@ -6,13 +6,14 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from grainloom.llm import backoff_lm, langid, mixing, simhash
 from grainloom.llm.backoff_lm import lm_scores
-from grainloom.llm.debruijn import remove_repeats
+from grainloom.llm.debruijn import CODE, confirmed, digest, hashed, remove_repeats, rolled, span_table
 from grainloom.llm.langid import held_out, identify, learn_profiles
 from grainloom.llm.line_dedup import dedup_lines, normalised
 from grainloom.llm.mixing import mix_sources
@@ -237,6 +238,27 @@ def test_windows_spans_and_empty(spark):
     assert remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_spans_must_stand_in_a_text_of_their_owner():
+    words = [f"w{i}".encode() for i in range(40)]
+    code = int(rolled(hashed(words), 13, CODE).view(np.int64)[5])
+    held = pa.table({"id": pa.array([7, 7, 8, None], pa.int64()), "text": ["other words", b" ".join(words).decode(), b" ".join(words).decode(), None], "block": pa.array([0] * 4, pa.int32())})
+    there = (3, 0, 7, code, 20, digest(words[5:25]), b"")
+    other_words, beyond_end, other_owner, other_edge = [(4, 0, o, c, n, d, b"") for o, c, n, d in ((7, code, 20, digest(words[6:26])), (7, code, 36, digest([*words[5:], b"x"])), (9, code, 20, there[5]), (7, code + 1, 20, there[5]))]
+    got = confirmed(held, span_table([other_words, there, beyond_end, other_owner, other_edge]), 13)
+    assert got.to_pylist() == span_table([there]).to_pylist()
+    assert confirmed(held, span_table([]), 13).num_rows == 0
+
+
+def test_windows_of_many_copies_and_equal_ids(spark):
+    """Copies over many blocks, two texts of one id that share a passage, and an owner that repeats the passage."""
+    passage, other = prose(2, 30), prose(3, 25)
+    texts = [passage + " a " + other + " b " + passage, other + " " + passage] + [f"t{i} {passage} u{i} {other}" for i in range(40)] + [passage + " " + passage, passage + " " + passage]
+    rows = list(zip([5, 5, *range(6, 46), 50, 50], texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["sha"]) for r in remove_repeats(df).withColumn("sha", F.sha2("kept", 256)).collect()], key=repr)
+    assert got == brute_windows(rows)
+
+
 # ---- language model
 
 
