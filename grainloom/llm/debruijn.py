@@ -9,6 +9,7 @@ block of its owner, where its words must stand at a place where its first edge s
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -68,12 +69,23 @@ def hashed(words: list[bytes]) -> np.ndarray:
 
 
 def digest(words: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(words)).digest()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def text_key(text: pa.StringScalar) -> int:
-    """Tells apart the texts of a block that have one id; the order of a block's rows may differ from pass to pass."""
-    return xxhash.xxh3_64_intdigest((text.as_py() or "").encode()) >> 1
+def text_keys(docs: pa.Table) -> list[int]:
+    """Tells apart the texts of a block that have one id (the others have key 0); the order of rows may differ from pass to pass."""
+    ids = docs.column("id").to_pylist()
+    count = Counter(ids)
+    return [xxhash.xxh3_64_intdigest((t.as_py() or "").encode()) >> 1 if count[i] > 1 else 0 for i, t in zip(ids, docs.column("text"))]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes, the same byte of all numbers together, so that the high bytes of small numbers compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(sent: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(sent, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 class Block:
@@ -107,7 +119,7 @@ class Block:
         self.cut = np.searchsorted(shard[self.sent], np.arange(self.shards + 1))
         used = np.flatnonzero(np.diff(self.cut))
         cols = [x[self.sent] if x is not None else None for x in (keys, checks, docs, nexts)]
-        part = [[(c[self.cut[s] : self.cut[s + 1]].tobytes() if c is not None else b"") for s in used] for c in cols]
+        part = [[(planes(c[self.cut[s] : self.cut[s + 1]]) if c is not None else b"") for s in used] for c in cols]
         return pa.table({"shard": pa.array(used, pa.int32()), "block": pa.array([self.block] * len(used), pa.int32())} | {k: binary(x) for k, x in zip(("keys", "checks", "docs", "nexts"), part)})
 
     def seeds(self) -> pa.Table:
@@ -122,8 +134,8 @@ class Block:
             i = self.sent[self.cut[r["shard"]] : self.cut[r["shard"] + 1]]
             plain[i] = np.unpackbits(np.frombuffer(r["plain"], np.uint8), count=len(i)).astype(bool)
             if r["owners"]:
-                owners[i] = np.frombuffer(r["owners"], "<i8")
-                homes[i] = np.frombuffer(r["homes"], "<i4")
+                owners[i] = from_planes(r["owners"], "<i8")
+                homes[i] = from_planes(r["homes"], "<i4")
         return owners, homes, plain
 
     def edges(self, replies: pa.Table) -> pa.Table:
@@ -160,10 +172,8 @@ class Block:
     def proposed(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
         """The kinds of spans of the block, each with its places: id and key of the text, and first word."""
         kinds: dict[tuple, list[int]] = {}
-        keys: dict[int, int] = {}
+        keys = text_keys(docs)
         for d, at, words, owner, home, code in zip(*(x.tolist() for x in self.spans(replies))):
-            if d not in keys:
-                keys[d] = text_key(docs.column("text")[d])
             kinds.setdefault((home, owner, code, words, digest(self.words[d][at : at + words])), []).extend((int(self.ids[d]), keys[d], at))
         rows = [(self.block, *kind, np.array(places, "<i8").tobytes()) for kind, places in kinds.items()]
         return span_table(rows)
@@ -177,32 +187,32 @@ def without_places(asked: pa.Table) -> pa.Table:
     return asked.set_column(asked.schema.get_field_index("places"), "places", binary([b""] * asked.num_rows))
 
 
-def confirmed(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
-    """The kinds of spans whose words stand in a text of their owner, at a place where their first edge starts."""
+def refuted(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
+    """The kinds of spans whose words stand in no text of their owner, at a place where their first edge starts."""
     want: dict[int, dict[tuple, list[int]]] = {}
     for i, r in enumerate(asked.select(["owner", "code", "words", "digest"]).to_pylist()):
         want.setdefault(r["owner"], {}).setdefault((r["code"], r["words"], r["digest"]), []).append(i)
-    good: list[int] = []
     for d in np.flatnonzero(pc.fill_null(pc.is_in(docs.column("id"), pa.array(list(want), pa.int64())), False).to_numpy()).tolist():
         words, kinds = split(docs.column("text")[d]), want[docs.column("id")[d].as_py()]
         codes = rolled(hashed(words), width, CODE).view(np.int64)
         order = np.argsort(codes, kind="stable")
         places = codes[order]
-        for code, m, sha in list(kinds):
+        for code, m, told in list(kinds):
             a, b = np.searchsorted(places, code, "left"), np.searchsorted(places, code, "right")
-            if any(digest(words[p : p + m]) == sha for p in order[a:b].tolist()):
-                good += kinds.pop((code, m, sha))
-    return asked.take(pa.array(good, pa.int64())).select(list(SPAN_TYPES))
+            if any(digest(words[p : p + m]) == told for p in order[a:b].tolist()):
+                del kinds[code, m, told]
+    left = sorted(i for kinds in want.values() for rows in kinds.values() for i in rows)
+    return asked.take(pa.array(left, pa.int64())).select(list(SPAN_TYPES))
 
 
 def seed_answer(table: pa.Table) -> pa.Table:
     """Which seeds are in several documents."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+    keys = [from_planes(r["keys"], "<u8") for r in rows]
     ends = np.cumsum([len(k) for k in keys])
     key = np.concatenate(keys)
     order, first = grouped(key)
-    docs = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
+    docs = np.concatenate([from_planes(r["docs"], "<i8") for r in rows])
     many = np.empty(len(key), bool)
     many[order] = np.repeat(one_value(docs, order, first, MANY) == MANY, np.diff(np.append(first, len(key))))
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([b""] * len(rows)), "homes": binary([b""] * len(rows)), "plain": binary([np.packbits(x).tobytes() for x in np.split(many, ends[:-1])])})
@@ -211,7 +221,7 @@ def seed_answer(table: pa.Table) -> pa.Table:
 def edge_answer(table: pa.Table) -> pa.Table:
     """The owner of each edge, the block it lies in, and whether the edge has one next word everywhere."""
     rows = table.to_pylist()
-    key, check, docs, nexts = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for c, k in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("nexts", "<u4")))
+    key, check, docs, nexts = (np.concatenate([from_planes(r[c], k) for r in rows]) for c, k in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("nexts", "<u4")))
     ends = np.cumsum([len(r["keys"]) // 8 for r in rows])
     order, first = grouped(key, check)
     size = np.diff(np.append(first, len(key)))
@@ -221,7 +231,7 @@ def edge_answer(table: pa.Table) -> pa.Table:
     at_home = np.where(docs == owners, asking, np.iinfo(np.int32).max)
     homes[order] = np.repeat(np.minimum.reduceat(at_home[order], first), size)
     plain[order] = np.repeat(one_value(nexts, order, first, BRANCH) != BRANCH, size)
-    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([x.tobytes() for x in np.split(owners, ends[:-1])]), "homes": binary([x.tobytes() for x in np.split(homes, ends[:-1])]), "plain": binary([np.packbits(x).tobytes() for x in np.split(plain, ends[:-1])])})
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([planes(x) for x in np.split(owners, ends[:-1])]), "homes": binary([planes(x) for x in np.split(homes, ends[:-1])]), "plain": binary([np.packbits(x).tobytes() for x in np.split(plain, ends[:-1])])})
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,8 +239,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
 
     A window is width consecutive words (runs of anything but ASCII white space, unchanged) of one document. It is
     repeated if the same words also start in a document with a smaller id, judged on the input. Windows are found
-    by 128 bits of hash; the words of the spans they form are then compared, by SHA-256, with those of the owner, and a
-    span that is not there stays. Ids are whole numbers. Null texts have no words; documents with fewer than width words stay whole; so do rows
+    by 128 bits of hash; the words of the spans they form are then compared, by a BLAKE2 digest of 128 bits, with those
+    of the owner, and a span that is not there stays. Ids are whole numbers. Null texts have no words; documents with fewer than width words stay whole; so do rows
     with a null id, which own nothing either. Rows with equal ids do not remove each other's words. An empty table
     gives an empty result; other columns play no part.
 
@@ -252,26 +262,23 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         b.edges(right.filter(is_seed))
         return b.proposed(left, right.filter(pc.invert(is_seed)))
 
-    def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
-        return confirmed(left, right, width)
+    def refute(left: pa.Table, right: pa.Table) -> pa.Table:
+        return refuted(left, right, width)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {}
+        kind = ["home", "owner", "code", "words", "digest"]
+        wrong = {tuple(r.values()) for r in right.filter(pc.equal(pc.binary_length(right.column("places")), 0)).select(kind).to_pylist()}
         own: dict[tuple, set] = {}
-        for r in right.to_pylist():
-            kind = r["home"], r["owner"], r["code"], r["words"], r["digest"]
-            places, there = kinds.get(kind, (b"", False))
-            kinds[kind] = r["places"] or places, there or not r["places"]
-        for (_, owner, _, words, _), (places, there) in kinds.items():
-            if there:
+        for r in right.select([*kind, "places"]).to_pylist():
+            places = r.pop("places")
+            if tuple(r.values()) not in wrong:
                 for d, key, at in np.frombuffer(places, "<i8").reshape(-1, 3).tolist():
-                    own.setdefault((d, key), set()).add((at, words, owner))
-        has_spans = {d for d, _ in own}
+                    own.setdefault((d, key), set()).add((at, r["words"], r["owner"]))
         removed, kept, spans = [], [], []
         n_words = []
-        for i, text in zip(left.column("id").to_pylist(), left.column("text")):
+        for i, key, text in zip(left.column("id").to_pylist(), text_keys(left), left.column("text")):
             w = split(text)
-            found = sorted(own.get((i, text_key(text)), ())) if i in has_spans else []
+            found = sorted(own.get((i, key), ()))
             spans.append([{"first": a, "words": m, "owner": o} for a, m, o in found])
             n_words.append(len(w))
             if found:
@@ -292,6 +299,6 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     # the same exchange of all columns serves both the blocks' own spans and the questions to the owners' blocks
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(propose, SPANS).repartition(n, "block")
     questions = asked.groupBy("block").applyInArrow(without_places, SPANS)
-    there = blocks.groupBy("block").cogroup(questions.groupBy("home")).applyInArrow(confirm, SPANS)
-    out = blocks.groupBy("block").cogroup(asked.unionByName(there).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
+    wrong = blocks.groupBy("block").cogroup(questions.groupBy("home")).applyInArrow(refute, SPANS)
+    out = blocks.groupBy("block").cogroup(asked.unionByName(wrong).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
     return out.withColumnRenamed("id", id_col)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainloom.llm import backoff_lm, langid, mixing, simhash
 from grainloom.llm.backoff_lm import lm_scores
-from grainloom.llm.debruijn import CODE, confirmed, digest, hashed, remove_repeats, rolled, span_table
+from grainloom.llm.debruijn import CODE, digest, from_planes, hashed, planes, refuted, remove_repeats, rolled, span_table
 from grainloom.llm.langid import held_out, identify, learn_profiles
 from grainloom.llm.line_dedup import dedup_lines, normalised
 from grainloom.llm.mixing import mix_sources
@@ -244,9 +244,11 @@ def test_spans_must_stand_in_a_text_of_their_owner():
     held = pa.table({"id": pa.array([7, 7, 8, None], pa.int64()), "text": ["other words", b" ".join(words).decode(), b" ".join(words).decode(), None], "block": pa.array([0] * 4, pa.int32())})
     there = (3, 0, 7, code, 20, digest(words[5:25]), b"")
     other_words, beyond_end, other_owner, other_edge = [(4, 0, o, c, n, d, b"") for o, c, n, d in ((7, code, 20, digest(words[6:26])), (7, code, 36, digest([*words[5:], b"x"])), (9, code, 20, there[5]), (7, code + 1, 20, there[5]))]
-    got = confirmed(held, span_table([other_words, there, beyond_end, other_owner, other_edge]), 13)
-    assert got.to_pylist() == span_table([there]).to_pylist()
-    assert confirmed(held, span_table([]), 13).num_rows == 0
+    wrong = [other_words, beyond_end, other_owner, other_edge]
+    assert refuted(held, span_table([wrong[0], there, *wrong[1:], there]), 13).to_pylist() == span_table(wrong).to_pylist()
+    assert refuted(held, span_table([]), 13).num_rows == 0
+    for x in (np.array([-5, 1 << 40, 3]), np.array([], np.int64)):
+        assert from_planes(planes(x), "<i8").tolist() == x.tolist()
 
 
 def test_windows_of_many_copies_and_equal_ids(spark):
