@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, parts
 
 #: Characters that predict the next one, at most.
 ORDER = 4
@@ -53,7 +53,7 @@ def windows(text: Column, order: int) -> Column:
     """Each character of the text and the end mark, with the `order` characters before it (start marks, at the start)."""
     chars = F.split(F.concat(F.lit("\x02" * order), text, F.lit("\x03")), "")
     # the array of one makes the characters a variable, so that they are split once a text
-    cut = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - order), lambda i: F.array_join(F.slice(c, i, order + 1), "")))
+    cut = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - order), lambda i: F.concat(*[F.get(c, i + (j - 1)) for j in range(order + 1)])))
     return cut[0]
 
 
@@ -114,19 +114,21 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", o
     rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("key"))
     urls = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     fold = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long") % FOLDS
-    urls = scratch.keep(urls.select("key", "n", best_rule(*url_parts(F.col("key")), rules)["verdict"].alias("side"), (fold == 0).alias("held")))
+    # a table of as many files as there are partitions, as each URL becomes many rows
+    urls = urls.repartition(parts(pages.sparkSession), "key")
+    urls = scratch.keep(urls.select(F.monotonically_increasing_id().alias("uid"), "key", "n", best_rule(*url_parts(F.col("key")), rules)["verdict"].alias("side"), (fold == 0).alias("held")))
     learned = {x: F.when((F.col("side") == side) & ~F.col("held"), F.col("n")).otherwise(0).cast("long").alias(x) for x, side in (("a", "allow"), ("r", "block"))}
     grams = urls.select(F.explode(windows(model_text(F.col("key")), order)).alias("gram"), *learned.values())
     table = scratch.keep(ratios(scratch.keep(grams.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))), order, scratch))
     if table.count() <= BROADCAST_GRAMS:
         table = F.broadcast(table)
-    each = urls.where("held OR side IS NULL").select("key", F.explode(windows(model_text(F.col("key")), order)).alias("gram"))
-    summed = each.join(table, "gram").groupBy("key").agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("length"))
+    each = urls.where("held OR side IS NULL").select("uid", F.explode(windows(model_text(F.col("key")), order)).alias("gram"))
+    summed = each.join(table, "gram").groupBy("uid").agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("length"))
     score = F.col("ratio") / (F.col("length") * UNIT)
-    scored = scratch.keep(summed.select("key", score.alias("score"), F.greatest(F.lit(-THRESHOLDS), F.least(F.lit(THRESHOLDS), F.floor(score * STEP))).cast("int").alias("bin")))
+    scored = scratch.keep(summed.select("uid", score.alias("score"), F.greatest(F.lit(-THRESHOLDS), F.least(F.lit(THRESHOLDS), F.floor(score * STEP))).cast("int").alias("bin")))
     sides = [F.when(F.col("side") == side, F.col("n")).otherwise(0).alias(x) for x, side in (("a", "allow"), ("r", "block"))]
-    threshold = best_threshold(urls.where("held AND side IS NOT NULL").join(scored, "key").select("bin", *sides))
-    judged = scored.select("key", "score", F.when(F.col("bin") >= threshold, "allow").otherwise("block").alias("by_model"))
+    threshold = best_threshold(urls.where("held AND side IS NOT NULL").join(scored, "uid").select("bin", *sides))
+    judged = urls.where("side IS NULL").select("uid", "key").join(scored, "uid").select("key", "score", F.when(F.col("bin") >= threshold, "allow").otherwise("block").alias("by_model"))
     host, path = url_parts(F.col("key"))
     rows = rows.withColumns({"host": host, "path": path}).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     out = rows.join(judged, "key", "left")
