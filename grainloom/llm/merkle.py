@@ -54,12 +54,12 @@ def raised(nodes: list[str]) -> list[str]:
     return [hashlib.sha256("".join(nodes[i : i + FAN_OUT]).encode()).hexdigest() for i in range(0, len(nodes), FAN_OUT)]
 
 
-def local_levels(leaves: list[str], whole: bool) -> list[list[str]]:
-    """The levels of nodes over the leaves of a superblock: up to one node if it is its whole group, else all its levels."""
-    levels = [leaves]
-    while len(levels[-1]) > 1 if whole else len(levels) <= SUPERBLOCK_LEVELS:
-        levels.append(raised(levels[-1]))
-    return levels
+def local_levels(leaves: list[str], width: int, levels: int) -> list[list[str]]:
+    """The levels of nodes over the leaves of a superblock: up to one node if it has all leaves of its group, else `levels`."""
+    out = [leaves]
+    while len(out[-1]) > 1 if width <= FAN_OUT**levels else len(out) <= levels:
+        out.append(raised(out[-1]))
+    return out
 
 
 def outer_tree(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -94,20 +94,20 @@ def outer_tree(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(out)
 
 
-def reduced(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def reduced(key: tuple, pdf: pd.DataFrame, levels: int) -> pd.DataFrame:
     """The node over one superblock."""
     leaves = [x.hex() for x in pdf.sort_values("pos")["leaf"]]
-    width = -(-int(pdf["width"].iloc[0]) // FAN_OUT**SUPERBLOCK_LEVELS)
-    return pd.DataFrame({"grp": [key[0]], "pos": [key[1]], "node": [local_levels(leaves, width == 1)[-1][0]], "width": [width]})
+    width = int(pdf["width"].iloc[0])
+    return pd.DataFrame({"grp": [key[0]], "pos": [key[1]], "node": [local_levels(leaves, width, levels)[-1][0]], "width": [-(-width // FAN_OUT**levels)]})
 
 
-def finished(key: tuple, pdf: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def finished(key: tuple, pdf: pd.DataFrame, outer: pd.DataFrame, levels: int) -> pd.DataFrame:
     """Proofs and folded roots of the leaves of one superblock, joined with the outer nodes that it needs."""
     pdf = pdf.sort_values("pos")
     outer = outer.iloc[0]
     leaves = [x.hex() for x in pdf["leaf"]]
-    levels = local_levels(leaves, int(pdf["width"].iloc[0]) <= FAN_OUT**SUPERBLOCK_LEVELS)
-    runs = [["".join(level[i : i + FAN_OUT]) for i in range(0, len(level), FAN_OUT)] for level in levels[:-1]]
+    local = local_levels(leaves, int(pdf["width"].iloc[0]), levels)
+    runs = [["".join(level[i : i + FAN_OUT]) for i in range(0, len(level), FAN_OUT)] for level in local[:-1]]
     far = [(64 * int(x["own"]), x["run"]) for x in [*outer["path"], *outer["root_path"]]]
     beyond = "".join(run[:at] + run[at + 64 :] for at, run in far)
     proofs, folded = [], []
@@ -127,7 +127,7 @@ def finished(key: tuple, pdf: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame
     return out
 
 
-def merkle_manifest(docs: DataFrame, leaf_cols: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), group_col: str = "lang", id_col: str = "doc_id", tampered: Mapping[str, Column] | None = None) -> DataFrame:
+def merkle_manifest(docs: DataFrame, leaf_cols: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), group_col: str = "lang", id_col: str = "doc_id", tampered: Mapping[str, Column] | None = None, levels: int = SUPERBLOCK_LEVELS) -> DataFrame:
     """A row of docs is a leaf: SHA-256 of its leaf_cols (- for null, else bytes, colon, value).
 
     In each group, leaves ascend by id (null first; then by digest, so equal ids have an order and equal rows may change
@@ -137,7 +137,7 @@ def merkle_manifest(docs: DataFrame, leaf_cols: Sequence[str] = ("doc_id", "sour
     the dictionary's columns count as values. Null and empty texts are values, texts count whole, equal rows are leaves of their own, an
     empty table gives no rows. Columns beyond those named play no part, whatever their names.
 
-    Superblocks of 4,096 leaves are reduced first; the tree above them is built from their nodes; then each superblock's
+    Superblocks of 8^levels leaves are reduced first; the tree above them is built from their nodes; then each superblock's
     leaves meet the outer nodes that their proofs need, once.
 
     Returns for each row: id_col, leaf, subroot, root, proof string (the digests beside the way from the leaf to the root, level
@@ -150,8 +150,8 @@ def merkle_manifest(docs: DataFrame, leaf_cols: Sequence[str] = ("doc_id", "sour
     other = leaf_hash([(tampered or {}).get(c, v) for c, v in values.items()]) if tampered else F.lit(None).cast("string")
     grp = F.coalesce(F.concat(F.lit("+"), F.col(f"`{group_col}`").cast("string")), F.lit(""))  # null sorts first
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), grp.alias("grp"), F.unhex(leaf).alias("leaf"), F.unhex(F.nullif(other, leaf)).alias("tampered"))
-    placed = numbered(scratch.keep(rows), "grp", ["id", "leaf"], scratch).withColumn("block", F.expr(f"pos div {FAN_OUT**SUPERBLOCK_LEVELS}"))
-    nodes = placed.select("grp", "block", "pos", "leaf", "width").groupBy("grp", "block").applyInPandas(reduced, "grp string, pos long, node string, width long")
+    placed = numbered(scratch.keep(rows), "grp", ["id", "leaf"], scratch).withColumn("block", F.expr(f"pos div {FAN_OUT**levels}"))
+    nodes = placed.select("grp", "block", "pos", "leaf", "width").groupBy("grp", "block").applyInPandas(lambda key, pdf: reduced(key, pdf, levels), "grp string, pos long, node string, width long")
     blocks = outer_tree(nodes, scratch)
     groups = blocks.where("pos = 0").select(F.lit("").alias("all"), F.col("grp").alias("name"), F.col("top").alias("node"))
     groups = numbered(groups, "all", ["name"], scratch).select(F.col("all").alias("grp"), "name", "pos", "node", "width")
@@ -160,6 +160,6 @@ def merkle_manifest(docs: DataFrame, leaf_cols: Sequence[str] = ("doc_id", "sour
     kind = docs.schema[id_col].dataType.simpleString()
     placed = placed.withColumn("id", F.col("id").cast("string"))  # pandas has no whole numbers beside null
     out = placed.groupBy("grp", "block").cogroup(scratch.keep(outer).groupBy("grp", "block")).applyInPandas(
-        finished, "id string, grp string, pos long, leaf string, subroot string, root string, proof string, folded_root string")
+        lambda key, pdf, outer: finished(key, pdf, outer, levels), "id string, grp string, pos long, leaf string, subroot string, root string, proof string, folded_root string")
     name = F.when(F.col("grp") != "", F.substring("grp", 2, 2_147_483_647))
     return out.select(F.col("id").cast(kind).alias(id_col), "leaf", "subroot", "root", "proof", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), name.alias("merkle_group"), F.col("pos").alias("position"))
