@@ -3,7 +3,8 @@
 The edges are the k-word windows that occur in more than one document. Sampled seeds first tell which windows can be
 such edges, so only those travel; a join by edge then gives each its owner (the smallest document) and whether all its
 occurrences go on alike. Edges with one owner and no branch between them compact into spans. A span travels to the
-block of its owner, where its words must stand at a place where its first edge starts; only then is it removed.
+block of its owner, where its words must stand at a place where its first edge starts; only then is it removed. If they
+do not, each of its windows asks for itself.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import binary, mix, text_blocks
 BLOCK_BYTES = 10 << 20
 #: Words of a seed: of a window's seeds, the one with the least hash speaks for the window.
 SEED_WORDS = 5
+#: Bits of the hash of the word after a window, by which branches are told.
+NEXT_BITS = 31
 MANY = np.iinfo(np.int64).min
 BRANCH = np.uint32(0xFFFFFFFF)
 CODE, CHECK = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
@@ -91,8 +94,8 @@ def from_planes(sent: bytes, kind: str) -> np.ndarray:
 class Block:
     """Windows of a block of documents: seed and document of each, in order of the texts."""
 
-    def __init__(self, docs: pa.Table, width: int, shards: int):
-        self.width, self.shards = width, shards
+    def __init__(self, docs: pa.Table, width: int, shards: int, next_bits: int = NEXT_BITS):
+        self.width, self.shards, self.next_bits = width, shards, next_bits
         self.block = docs.column("block")[0].as_py()
         self.words = [split(t) for t in docs.column("text")]
         hashes = [hashed(w) for w in self.words]
@@ -147,7 +150,7 @@ class Block:
         self.code = code
         follow = np.append(self.h, [np.uint64(0)])[np.minimum(self.at + self.width, len(self.h))]
         same = np.append(self.doc, [-1])[np.minimum(self.at + self.width, len(self.h))] == self.doc[self.at] if len(self.at) else np.zeros(0, bool)
-        follow = np.where(same, (follow >> np.uint64(33)).astype(np.uint32), np.uint32(0))
+        follow = np.where(same, (follow >> np.uint64(33)).astype(np.uint32) & np.uint32((1 << self.next_bits) - 1), np.uint32(0))
         order, first = grouped(code, check)
         if not len(first):
             self.edge = np.zeros(0, np.int64)
@@ -205,6 +208,29 @@ def refuted(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     return asked.take(pa.array(left, pa.int64())).select(list(SPAN_TYPES))
 
 
+def single_windows(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
+    """The windows of the refuted spans of a block as spans of their own; a refuted kind is one that also has a row without
+    places. Spans of one window have been asked already."""
+    kind = ["home", "owner", "code", "words", "digest"]
+    wrong = {tuple(r.values()) for r in asked.filter(pc.equal(pc.binary_length(asked.column("places")), 0)).select(kind).to_pylist() if r["words"] > width}
+    at: dict[tuple, list[tuple]] = {}
+    for r in asked.filter(pc.greater(pc.binary_length(asked.column("places")), 0)).select([*kind, "places"]).to_pylist():
+        places = r.pop("places")
+        if tuple(r.values()) in wrong:
+            for d, key, first in np.frombuffer(places, "<i8").reshape(-1, 3).tolist():
+                at.setdefault((d, key), []).append((first, r["words"], r["home"], r["owner"]))
+    kinds: dict[tuple, list[int]] = {}
+    for i, key, text in zip(docs.column("id").to_pylist(), text_keys(docs), docs.column("text")):
+        if (i, key) in at:
+            words = split(text)
+            codes = rolled(hashed(words), width, CODE).view(np.int64).tolist()
+            for first, m, home, owner in at.pop((i, key)):
+                for p in range(first, first + m - width + 1):
+                    kinds.setdefault((home, owner, codes[p], width, digest(words[p : p + width])), []).extend((i, key, p))
+    block = docs.column("block")[0].as_py() if docs.num_rows else None
+    return span_table([(block, *k, np.array(places, "<i8").tobytes()) for k, places in kinds.items()])
+
+
 def seed_answer(table: pa.Table) -> pa.Table:
     """Which seeds are in several documents."""
     rows = table.to_pylist()
@@ -234,13 +260,15 @@ def edge_answer(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "owners": binary([planes(x) for x in np.split(owners, ends[:-1])]), "homes": binary([planes(x) for x in np.split(homes, ends[:-1])]), "plain": binary([np.packbits(x).tobytes() for x in np.split(plain, ends[:-1])])})
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", next_bits: int = NEXT_BITS) -> DataFrame:
     """Every document without the words that a repeated window covers.
 
     A window is width consecutive words (runs of anything but ASCII white space, unchanged) of one document. It is
     repeated if the same words also start in a document with a smaller id, judged on the input. Windows are found
     by 128 bits of hash; the words of the spans they form are then compared, by a BLAKE2 digest of 128 bits, with those
-    of the owner, and a span that is not there stays. Ids are whole numbers. Null texts have no words; documents with fewer than width words stay whole; so do rows
+    of the owner; of a span that is not there each window is compared by itself, and those that are not there either stay.
+    next_bits: of the hash of the next word, by which a span ends where its owner goes on otherwise; fewer only mean more
+    spans that are not there. Ids are whole numbers. Null texts have no words; documents with fewer than width words stay whole; so do rows
     with a null id, which own nothing either. Rows with equal ids do not remove each other's words. An empty table
     gives an empty result; other columns play no part.
 
@@ -254,10 +282,10 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         return Block(table, width, n).seeds()
 
     def ask_edges(left: pa.Table, right: pa.Table) -> pa.Table:
-        return Block(left, width, n).edges(right)
+        return Block(left, width, n, next_bits).edges(right)
 
     def propose(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left, width, n)
+        b = Block(left, width, n, next_bits)
         is_seed = pc.equal(right.column("stage"), 1)
         b.edges(right.filter(is_seed))
         return b.proposed(left, right.filter(pc.invert(is_seed)))
@@ -265,6 +293,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     def refute(left: pa.Table, right: pa.Table) -> pa.Table:
         return refuted(left, right, width)
 
+    def again(left: pa.Table, right: pa.Table) -> pa.Table:
+        return single_windows(left, right, width)
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = ["home", "owner", "code", "words", "digest"]
         wrong = {tuple(r.values()) for r in right.filter(pc.equal(pc.binary_length(right.column("places")), 0)).select(kind).to_pylist()}
@@ -300,5 +331,11 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(propose, SPANS).repartition(n, "block")
     questions = asked.groupBy("block").applyInArrow(without_places, SPANS)
     wrong = blocks.groupBy("block").cogroup(questions.groupBy("home")).applyInArrow(refute, SPANS)
-    out = blocks.groupBy("block").cogroup(asked.unionByName(wrong).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
+    # blocks without a refuted span have no part in what follows, which is empty but for equal hashes of next words
+    hit = wrong.where(F.col("words") > width).select("block").distinct()
+    told = asked.unionByName(wrong)
+    windows = blocks.join(hit, "block", "left_semi").groupBy("block").cogroup(told.join(hit, "block", "left_semi").groupBy("block")).applyInArrow(again, SPANS)
+    homes = windows.select(F.col("home").alias("block")).distinct()
+    absent = blocks.join(homes, "block", "left_semi").groupBy("block").cogroup(windows.groupBy("block").applyInArrow(without_places, SPANS).groupBy("home")).applyInArrow(refute, SPANS)
+    out = blocks.groupBy("block").cogroup(told.unionByName(windows).unionByName(absent).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
     return out.withColumnRenamed("id", id_col)
