@@ -42,8 +42,10 @@ BREAK = None
 
 #: Levels of branches that are told apart; what lies deeper belongs to the branch above it.
 LEVELS = 64
-#: Marks of a branch: a container, labelled, inside an article or main element, marked as something else, an article or main element, a body.
-IS_CONTAINER, IS_LABELLED, IS_INSIDE, IS_MARKED, IS_HOME, IS_BODY = 1, 2, 4, 8, 16, 32
+#: Pages of a host whose so many longest texts are the same count once.
+SIGNED = 3
+#: Marks of a branch: a container, inside an article or main element, marked as something else, an article or main element, a body.
+IS_CONTAINER, IS_INSIDE, IS_MARKED, IS_HOME, IS_BODY = 1, 2, 4, 8, 16
 
 
 class Page:
@@ -138,7 +140,7 @@ class Page:
             self.key.append(xxhash.xxh64_intdigest(f"{self.key[up]} {tag} {words}"))
             self.depth.append(self.depth[up] + 1)
             self.above.append(up)
-            self.flags.append(IS_CONTAINER * (tag in CONTAINER) | IS_LABELLED * bool(labels) | IS_INSIDE * inside | IS_MARKED * marked | IS_HOME * home | IS_BODY * (tag in ("html", "body")))
+            self.flags.append(IS_CONTAINER * (tag in CONTAINER) | IS_INSIDE * inside | IS_MARKED * marked | IS_HOME * home | IS_BODY * (tag in ("html", "body")))
         else:
             self.branch.append(up)
             for own in (self.key, self.depth, self.above, self.flags):
@@ -174,6 +176,13 @@ class Page:
                 now.append(text)
         return out
 
+    def signature(self) -> int:
+        """Hash of the page's longest texts, which pages of one article share, whatever stands around them."""
+        gone = self.within(self.never())
+        texts = {" ".join(t.split()) for node, t in self.text if t is not BREAK and not gone[node]}
+        longest = sorted(((x.count(" "), x) for x in texts if x), reverse=True)[:SIGNED]
+        return xxhash.xxh64_intdigest("\n".join(x for _, x in longest))
+
     def tree(self) -> Iterator[tuple[int, int, int, int]]:
         """(kind, branch key, value, number) rows of this page's part of the style tree, each once.
 
@@ -234,26 +243,33 @@ def _marks(label: str, words: frozenset[str] = MARKED_WORDS) -> bool:
 SELF, ABOVE, STYLE, CONTENT = range(4)
 #: What styles, against contents, count for a branch with one style more.
 GAMMA = 0.9
+#: A branch whose importance is low goes if the texts that vary beside it weigh this share of what it says: where nothing
+#: varies, what is repeated is the article.
+VARIED_SHARE = 0.25
 #: A marked branch goes if what it says is less than this share of what its largest neighbour says.
 MARKED_SHARE = 0.5
 
 
 def tree_rows(pages: DataFrame, host: str, html_col: str) -> DataFrame:
-    """(host, kind, key, value, pages, number): the style tree of each host, merged over its pages. host: a hash."""
+    """(host, kind, key, value, pages, number): the style tree of each host, merged over its pages; pages of one article (see
+    Page.signature) count once. host: a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            found: Counter = Counter()
+            found: dict[tuple, int] = {}
             for h, p in zip(b.column(0).to_pylist(), b.column(1)):
-                found.update((h, *r) for r in Page(p.as_py()).tree())
+                page = Page(p.as_py())
+                name = page.signature()
+                found.update(((h, kind, key, value, name), number) for kind, key, value, number in page.tree())
             cols = list(zip(*found)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            rows = [pa.array([signed(x) for x in c] if n in (2, 3) else c, k) for n, (c, k) in enumerate(zip(cols, kinds))]
-            yield pa.RecordBatch.from_arrays([*rows[:4], pa.array(found.values(), pa.int64()), rows[4]], names=["host", "kind", "key", "value", "pages", "number"])
+            rows = [pa.array([signed(x) for x in c] if n > 1 else c, k) for n, (c, k) in enumerate(zip(cols, kinds))]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(found.values(), pa.int64())], names=["host", "kind", "key", "value", "page", "number"])
 
-    rows = pages.where(F.col(host).isNotNull()).select(F.xxhash64(host), F.col(html_col).cast("string")).mapInArrow(run, "host long, kind int, key long, value long, pages long, number long")
-    return rows.groupBy("host", "kind", "key", "value").agg(F.sum("pages").alias("pages"), F.max("number").alias("number"))
+    rows = pages.where(F.col(host).isNotNull()).select(F.xxhash64(host), F.col(html_col).cast("string")).mapInArrow(run, "host long, kind int, key long, value long, page long, number long")
+    branch = ["host", "kind", "key", "value"]
+    return rows.groupBy(*branch, "page").agg(F.max("number").alias("number")).groupBy(*branch).agg(F.count(F.lit(1)).alias("pages"), F.max("number").alias("number"))
 
 
 def judged_branches(tree: DataFrame, threshold: float, share: float, min_pages: int) -> DataFrame:
@@ -263,9 +279,10 @@ def judged_branches(tree: DataFrame, threshold: float, share: float, min_pages:
     text that lies on c of them has the weight of its words times 1 - ln c / ln m; a branch weighs what the texts in it do,
     and its weight for each word is the importance C of its content. With n styles its importance is
     (1 - 0.9^n) P + 0.9^n C. Low are branches
-    - of an importance below the threshold (inside an article: labelled ones only, as a host's articles may be alike);
+    - of an importance below the threshold, if the largest container or the texts beside them weigh a quarter of what they
+      say (inside an article: marked ones only, as authors repeat themselves and a host's articles may be alike);
     - that are containers outside articles and weigh less than `share` of the largest container beside them, if that
-      weighs more than the texts between them: what varies from page to page but says little;
+      weighs more than the texts between them and a quarter of what they say: what varies from page to page but says little;
     - that are marked and weigh less than half of the largest container or of the texts beside them.
     """
     key = ["host", "key"]
@@ -286,8 +303,9 @@ def judged_branches(tree: DataFrame, threshold: float, share: float, min_pages:
     largest = parents.where(is_(IS_CONTAINER)).groupBy("host", "parent").agg(F.max("weight").alias("largest"))
     beside = largest.join(each.select("host", F.col("key").alias("parent"), F.col("direct").alias("between")), ["host", "parent"])
     placed = parents.where(F.col("m") >= min_pages).join(beside, ["host", "parent"], "left").na.fill(0, ["largest", "between"])
-    again = (F.col("importance") < threshold) & ((~is_(IS_INSIDE)) | is_(IS_LABELLED))
-    little = is_(IS_CONTAINER) & ~is_(IS_INSIDE) & (F.col("weight") < share * F.col("largest")) & (F.col("largest") > F.col("between"))
+    varied = F.greatest("largest", "between") >= VARIED_SHARE * F.col("said")
+    again = (F.col("importance") < threshold) & varied & (~is_(IS_INSIDE) | is_(IS_MARKED))
+    little = is_(IS_CONTAINER) & ~is_(IS_INSIDE) & varied & (F.col("weight") < share * F.col("largest")) & (F.col("largest") > F.col("between"))
     other = is_(IS_MARKED) & (F.col("weight") < MARKED_SHARE * F.greatest("largest", "between"))
     return placed.select(*key, ((again | little | other) & ~is_(IS_HOME) & ~is_(IS_BODY)).alias("low"))
 
@@ -300,14 +318,15 @@ SALTS = 16
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, share: float = 0.1, min_pages: int = 5) -> DataFrame:
     """The article of every page: id_col, url_col, text string, n_chars long.
 
-    The pages of a host (that of the URL, lower-cased) are merged into a style tree; branches of low importance go from
-    each page (see judged_branches), whatever they are called. Scripts, styles, forms, hidden elements and readers'
+    The pages of a host (that of the URL, lower-cased) are merged into a style tree, in which pages whose three longest
+    texts are the same count once; branches of low importance go from each page (see judged_branches), whatever they are
+    called; inside an article only marked ones. Branches over 64 deep are judged with the one above them. Scripts, styles, forms, hidden elements and readers'
     comments always go. Only branches on fewer than min_pages pages go by what HTML or their class, id or role marks
     them as; and of a page whose host has no such tree, only the article (else main) element is read if it has one.
     Whole texts are read, in time linear in the page; unclosed elements end where HTML says; a tag with an unclosed quote or
     cut off ends at the next > or the end; character references are decoded; white space within a block becomes one
     space; blocks are joined by line feeds. Null and empty pages give an empty text; a null URL or one without a host is
-    judged by its own markup alone; repeated rows and equal ids keep their rows; further columns are ignored.
+    judged by its own markup alone; repeated rows and equal ids keep their rows and their text; further columns are ignored.
     """
     pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.nullif(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
