@@ -251,6 +251,17 @@ def test_spans_must_stand_in_a_text_of_their_owner():
         assert from_planes(planes(x), "<i8").tolist() == x.tolist()
 
 
+def test_refuted_spans_lose_their_repeated_windows(spark):
+    """All next words have one hash, so that spans run over branches, where their owner goes on otherwise."""
+    w, x = prose(40, 30).split(), prose(41, 20)
+    cut = lambda a, b: " ".join(w[a:b])
+    texts = [f"{cut(0, 13)} {x} {cut(1, 16)} q {cut(3, 30)}", f"s {cut(0, 16)} t", f"{cut(0, 30)} {x} u", f"v {cut(0, 14)}"]
+    rows = [(10 + i, t) for i, t in enumerate(texts)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), next_bits=0).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["sha"]) for r in found], key=repr) == brute_windows(rows)
+    assert any(s["words"] == 13 for r in found for s in r["spans"])
+
+
 def test_windows_of_many_copies_and_equal_ids(spark):
     """Copies over many blocks, two texts of one id that share a passage, and an owner that repeats the passage."""
     passage, other = prose(2, 30), prose(3, 25)
@@ -449,6 +460,14 @@ def test_bounds_are_optimal():
             best = min(padding(lengths, counts, [*c, lengths[-1]]) for m in range(0, min(k, n)) for c in itertools.combinations(lengths[:-1], m))
             assert got[-1] == lengths[-1] and len(got) <= k and padding(lengths, counts, got) == best
     assert best_bounds([], [], 3) == []
+    assert best_bounds([2049, 2050, 2051, 2052], [1] * 4, 16) == [2049, 2050, 2051, 2052]
+    for trial in range(3):  # long lengths, against a table over all cuts
+        lengths, counts = sorted(rng.choice(10**6, 90, replace=False).tolist()), rng.integers(1, 50, 90).tolist()
+        least = {(0, -1): 0}
+        for k in range(1, 8):
+            for j in range(90):
+                least[k, j] = min(least[m, i] + sum(counts[i + 1 : j + 1]) * lengths[j] for m in (0, k - 1) for i in range(-1, j) if (m, i) in least)
+        assert padding(lengths, counts, best_bounds(lengths, counts, 7)) == least[7, 89]
 
 
 def test_batches(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainloom.llm import html_extract
 from grainloom.llm.bitslice import add_shifted, at_least, kth_largest, packed, top_k
-from grainloom.llm.html_extract import CONTENT, IS_BODY, IS_CONTAINER, IS_HOME, IS_INSIDE, IS_LABELLED, IS_MARKED, SELF, STYLE, Page, extract_main_text, judged_branches, tree_rows
+from grainloom.llm.html_extract import CONTENT, IS_BODY, IS_CONTAINER, IS_HOME, IS_INSIDE, IS_MARKED, SELF, STYLE, Page, extract_main_text, judged_branches, tree_rows
 from grainloom.llm.ivfpq import search
 
 VEC = "vec_id long, embedding array<float>, label int"
@@ -166,8 +166,9 @@ def brute_judged(pages, threshold, share, min_pages):
         part = 0.9 ** len(styles[k])
         importance = (1 - part) * entropy + part * (weight[k] / all_said[k] if all_said[k] else 0)
         largest = max((weight[x] for x, u in parent.items() if u == up and flags[x] & IS_CONTAINER), default=0)
-        again = importance < threshold and (not flags[k] & IS_INSIDE or flags[k] & IS_LABELLED)
-        little = flags[k] & IS_CONTAINER and not flags[k] & IS_INSIDE and weight[k] < share * largest and largest > direct[up]
+        varied = max(largest, direct[up] if largest else 0) >= 0.25 * all_said[k]
+        again = importance < threshold and varied and (not flags[k] & IS_INSIDE or flags[k] & IS_MARKED)
+        little = varied and flags[k] & IS_CONTAINER and not flags[k] & IS_INSIDE and weight[k] < share * largest and largest > direct[up]
         other = flags[k] & IS_MARKED and weight[k] < 0.5 * max(largest, direct[up] if largest else 0)
         out[k] = bool((again or little or other) and not flags[k] & (IS_HOME | IS_BODY))
     return out
@@ -222,6 +223,50 @@ def test_equal_articles_of_a_host_stay(spark):
     assert {r["text"] for r in extract_main_text(df).collect()} == {"A\nSame text"}
 
 
+def site(rows):
+    return "page_id long, url string, html string", [(i, f"http://h{host}.example/{i}", page) for i, (host, page) in enumerate(rows)]
+
+
+def test_no_article_of_equal_or_partly_equal_pages_is_lost(spark):
+    """Hosts of 4, 5, 6 and 60 equal pages, with and without an article element; and what an author repeats in articles."""
+    story = "<{0}><h1>T</h1><div class='entry'><p>story of some words</p></div></{0}>"
+    rows, want = [], []
+    for host, n in enumerate((4, 5, 6, 60)):
+        for tag in ("article", "div"):
+            rows += [(f"{tag}{host}", f"<body><nav><a>Home</a></nav>{story.format(tag)}<footer>end</footer></body>")] * n
+            want += ["T\nstory of some words"] * n
+    for i in range(8):
+        own = " ".join(f"own{i}x{j}" for j in range(15))
+        rows.append(("stand", f"<body><article><h1>T{i}</h1><p class='standfirst'>From our town</p><p>{own}</p><div class='share-buttons'>Share this now</div></article></body>"))
+        want.append(f"T{i}\nFrom our town\n{own}")
+        rows.append(("mirror", f"<body><div id=a><p>one story at many places with all its words kept by all of them</p></div><div id=c>Word{i}</div></body>"))
+        want.append(f"one story at many places with all its words kept by all of them\nWord{i}")
+    kind, rows = site(rows)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, kind)).collect()}
+    assert [got[i] for i in range(len(want))] == want
+
+
+def test_tree_marks_and_tags_differ(spark, monkeypatch):
+    """Without article elements: what a host repeats goes by the tree, a marked branch by its mark too, all else stays."""
+    rows = []
+    for i in range(12):
+        own = " ".join(f"own{i}x{j}" for j in range(20))
+        rows.append(("t", f"<body><div id=ka>Read us every day</div><div class=sidebar>side{i} bar</div><div id=kb><p>{own}</p></div></body>"))
+    kind, rows = site(rows)
+    df = spark.createDataFrame(rows, kind)
+    text = lambda **x: {r["text"] for r in extract_main_text(df, **x).collect()}
+    bodies = {" ".join(f"own{i}x{j}" for j in range(20)) for i in range(12)}
+    assert text() == bodies
+    assert text(min_pages=1000) == {f"Read us every day\n{b}" for b in bodies}
+
+
+def test_pages_nested_over_the_told_levels(spark):
+    deep = lambda x: "<div class=a>" * 90 + x + "</div>" * 90
+    kind, rows = site([("d", f"<body>{deep(f'deep words of page {i}')}<p>beside {i}</p></body>") for i in range(7)])
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {i: f"deep words of page {i}\nbeside {i}" for i in range(7)}
+
+
 def test_search_reranks_200(spark, rows):
     x = np.random.default_rng(6).normal(0, 1, (1500, 24)).astype(np.float32)  # a single coarse code: true neighbours lie deep in its order
     asked, df = F.col("vec_id") % 100 == 0, vectors(spark, x, odd=False)
