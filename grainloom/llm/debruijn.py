@@ -208,27 +208,24 @@ def refuted(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     return asked.take(pa.array(left, pa.int64())).select(list(SPAN_TYPES))
 
 
-def single_windows(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
-    """The windows of the refuted spans of a block as spans of their own; a refuted kind is one that also has a row without
-    places. Spans of one window have been asked already."""
-    kind = ["home", "owner", "code", "words", "digest"]
-    wrong = {tuple(r.values()) for r in asked.filter(pc.equal(pc.binary_length(asked.column("places")), 0)).select(kind).to_pylist() if r["words"] > width}
-    at: dict[tuple, list[tuple]] = {}
-    for r in asked.filter(pc.greater(pc.binary_length(asked.column("places")), 0)).select([*kind, "places"]).to_pylist():
-        places = r.pop("places")
-        if tuple(r.values()) in wrong:
-            for d, key, first in np.frombuffer(places, "<i8").reshape(-1, 3).tolist():
-                at.setdefault((d, key), []).append((first, r["words"], r["home"], r["owner"]))
-    kinds: dict[tuple, list[int]] = {}
-    for i, key, text in zip(docs.column("id").to_pylist(), text_keys(docs), docs.column("text")):
-        if (i, key) in at:
-            words = split(text)
-            codes = rolled(hashed(words), width, CODE).view(np.int64).tolist()
-            for first, m, home, owner in at.pop((i, key)):
-                for p in range(first, first + m - width + 1):
-                    kinds.setdefault((home, owner, codes[p], width, digest(words[p : p + width])), []).extend((i, key, p))
+def single_windows(docs: pa.Table, wrong: pa.Table, width: int) -> pa.Table:
+    """The windows of the refuted spans of a block as spans of their own, wherever they stand in its texts; a span of one
+    window has been asked already."""
+    want: dict[int, list[tuple]] = {}
+    for r in wrong.select(["home", "owner", "code", "words", "digest"]).to_pylist():
+        if r["words"] > width:
+            want.setdefault(r["code"], []).append((r["home"], r["owner"], r["words"], r["digest"]))
+    kinds: dict[tuple, set[tuple]] = {}
+    for i, key, text in zip(docs.column("id").to_pylist(), text_keys(docs), docs.column("text")) if want else ():
+        words = split(text) if i is not None else []
+        codes = rolled(hashed(words), width, CODE).view(np.int64)
+        for p in np.flatnonzero(np.isin(codes, list(want))).tolist():
+            for home, owner, m, told in want[int(codes[p])]:
+                if owner < i and digest(words[p : p + m]) == told:
+                    for q in range(p, p + m - width + 1):
+                        kinds.setdefault((home, owner, int(codes[q]), width, digest(words[q : q + width])), set()).add((i, key, q))
     block = docs.column("block")[0].as_py() if docs.num_rows else None
-    return span_table([(block, *k, np.array(places, "<i8").tobytes()) for k, places in kinds.items()])
+    return span_table([(block, *k, np.array(sorted(places), "<i8").tobytes()) for k, places in kinds.items()])
 
 
 def seed_answer(table: pa.Table) -> pa.Table:
@@ -331,11 +328,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(propose, SPANS).repartition(n, "block")
     questions = asked.groupBy("block").applyInArrow(without_places, SPANS)
     wrong = blocks.groupBy("block").cogroup(questions.groupBy("home")).applyInArrow(refute, SPANS)
-    # blocks without a refuted span have no part in what follows, which is empty but for equal hashes of next words
-    hit = wrong.where(F.col("words") > width).select("block").distinct()
-    told = asked.unionByName(wrong)
-    windows = blocks.join(hit, "block", "left_semi").groupBy("block").cogroup(told.join(hit, "block", "left_semi").groupBy("block")).applyInArrow(again, SPANS)
-    homes = windows.select(F.col("home").alias("block")).distinct()
-    absent = blocks.join(homes, "block", "left_semi").groupBy("block").cogroup(windows.groupBy("block").applyInArrow(without_places, SPANS).groupBy("home")).applyInArrow(refute, SPANS)
-    out = blocks.groupBy("block").cogroup(told.unionByName(windows).unionByName(absent).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
+    windows = blocks.groupBy("block").cogroup(wrong.groupBy("block")).applyInArrow(again, SPANS).repartition(n, "block")
+    absent = blocks.groupBy("block").cogroup(windows.groupBy("block").applyInArrow(without_places, SPANS).groupBy("home")).applyInArrow(refute, SPANS)
+    out = blocks.groupBy("block").cogroup(asked.unionByName(wrong).unionByName(windows).unionByName(absent).groupBy("block")).applyInArrow(cut, "id long, n_words long, n_removed long, spans array<struct<first: long, words: long, owner: long>>, kept string")
     return out.withColumnRenamed("id", id_col)
