@@ -17,17 +17,23 @@ def align_exact_ffill(release: DataFrame, backbone: DataFrame, keys: list[str],
     return backbone.join(release, [*keys, date], "left").withColumns({c: forward_fill(F.col(c), w) for c in cols})
 
 
+def asof_events(release: DataFrame, backbone: DataFrame, keys: list[str], date: str) -> tuple[DataFrame, list[str]]:
+    """Both tables in one, releases (_side 0) before the backbone's rows (_side 1) of a date; and the columns to carry."""
+    cols = [c for c in release.columns if c not in (*keys, date)]
+    own = [c for c in backbone.columns if c not in (*keys, date)]
+    left = release.select(*keys, date, *cols, *[F.lit(None).cast(backbone.schema[c].dataType).alias(c) for c in own], F.lit(0).alias("_side"))
+    right = backbone.select(*keys, date, *[F.lit(None).cast(release.schema[c].dataType).alias(c) for c in cols], *own, F.lit(1).alias("_side"))
+    return left.unionByName(right), cols
+
+
 def align_asof(release: DataFrame, backbone: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
     """For each backbone row the last value of each column released on or before its date.
 
     Both sides meet in one shuffle by key and one sort; there is no inequality join.
     """
-    cols = [c for c in release.columns if c not in (*keys, date)]
-    own = [c for c in backbone.columns if c not in (*keys, date)]
-    left = release.select(*keys, date, *cols, *[F.lit(None).cast(backbone.schema[c].dataType).alias(c) for c in own], F.lit(0).alias("_side"))
-    right = backbone.select(*keys, date, *[F.lit(None).cast(release.schema[c].dataType).alias(c) for c in cols], *own, F.lit(1).alias("_side"))
+    events, cols = asof_events(release, backbone, keys, date)
     w = Window.partitionBy(*keys).orderBy(date, "_side")
-    return left.unionByName(right).withColumns({c: forward_fill(F.col(c), w) for c in cols}).where("_side = 1").select(*backbone.columns, *cols)
+    return events.withColumns({c: forward_fill(F.col(c), w) for c in cols}).where("_side = 1").select(*backbone.columns, *cols)
 
 
 def join_backbone(base: DataFrame, parts: list[DataFrame | None], keys: list[str]) -> DataFrame:

@@ -202,8 +202,10 @@ def quarantine(df: DataFrame, policy: str = "drop") -> tuple[DataFrame, DataFram
 
 
 def split_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid scenario requests and rejected ones with their reasons."""
+    """Valid scenario requests and rejected ones with their reasons; context: there is no price."""
     rules = {
+        "context": F.col("current_price_cbot").isNotNull() & F.col("decision_date").isNotNull(),
+        "stock": F.col("current_inventory_ton").isNotNull() & F.col("open_po_ton").isNotNull() & F.col("safety_stock_ton").isNotNull(),
         "quantity": F.col("quantity_ton") > 0,
         "consumption": F.col("monthly_consumption_ton") > 0,
         "quantile order": (F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90")),

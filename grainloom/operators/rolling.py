@@ -70,16 +70,6 @@ def above_long_average(c: Column, n: int, w: WindowSpec) -> Column:
     return F.coalesce(c > moving_avg(c, n, w, n), F.lit(False)).cast("int")
 
 
-def rolling_quantile(c: Column, q: float | list[float], n: int, w: WindowSpec, embargo: int = 0) -> Column:
-    """Exact interpolated quantile (or an array of them) of the n rows before the current one; null with fewer rows.
-
-    embargo: so many of the most recent rows are not yet known and left out.
-    """
-    f = w.rowsBetween(-n - embargo, -1 - embargo)
-    at = F.array(*map(F.lit, q)) if isinstance(q, list) else F.lit(q)
-    return F.when(F.count(c).over(f) == n, F.percentile(c, at).over(f))
-
-
 def time_index(df: DataFrame, date: str = "date", name: str = "time_idx") -> DataFrame:
     """Index of each distinct date, from 0. Only the calendar is numbered in one task."""
     calendar = df.select(date).where(F.col(date).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(date)) - 1)

@@ -9,22 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.rolling import diff_n, lag_n, ordered, pct_change, rolling_quantile
+from ..operators.rolling import diff_n, lag_n, ordered
+from ..operators.sliding import horizon_quantiles, rolling_quantiles
 
 LEVELS = (0.05, 0.5, 0.95)
+HORIZONS = range(1, 29)
 ALPHA, TARGET, WINDOW = 0.85, 80.0, 60
 GRID = (0.80, 0.85, 0.90, 0.92)
 
 
-def quantile_forecast(df: DataFrame, value: str, horizons: range = range(1, 29), window: int = 250, series: str = "series", date: str = "date") -> DataFrame:
-    """(series, date, horizon, p10, p50, p90): quantiles of the h-row returns already realised, times the current value."""
-    w, c = ordered(series, date), F.col(value)
-    past = w.rowsBetween(1 - window, 0)
-    returns = df.withColumns({f"_r{h}": pct_change(c, h, w) for h in horizons})
-    quantiles = returns.withColumns({f"_q{h}": F.percentile(F.col(f"_r{h}"), F.array(*map(F.lit, LEVELS))).over(past) for h in horizons})
-    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_q{h}").alias("q")) for h in horizons]))
-    out = quantiles.select(series, date, value, rows.alias("x")).select(series, date, value, "x.horizon", "x.q").where(F.col("q").isNotNull())
-    return out.select(series, date, "horizon", *[(c * (1 + F.col("q")[i])).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+def quantile_forecast(df: DataFrame, value: str, horizons: range = HORIZONS, window: int = 250, series: str = "series", date: str = "date") -> DataFrame:
+    """(series, date, value, horizon, p10, p50, p90): quantiles of the last `window` h-row returns already realised, times the
+    current value; all horizons from one pass over a series."""
+    out = horizon_quantiles(df, value, horizons, LEVELS, window, series, date)
+    return out.select(series, date, value, "horizon", *[(F.col(value) * (1 + F.col("q")[i])).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
 def return_to_price(df: DataFrame, level: str = "level") -> DataFrame:
@@ -93,7 +91,7 @@ def rolling_conformal(df: DataFrame, alpha: float = ALPHA, window: int = WINDOW,
     embargo: so many of the latest residuals are not known yet when a row is forecast; 7 for a target seven rows ahead.
     """
     r = df.withColumn("_r", F.abs(F.col("actual") - F.col("p50")))
-    q = r.withColumn("q", rolling_quantile(F.col("_r"), alpha, window, ordered(series, order), embargo)).drop("_r")
+    q = rolling_quantiles(r, "_r", alpha, window, [series], order, "q", embargo).drop("_r")
     return q.withColumns({"lo": F.col("p50") - F.col("q"), "hi": F.col("p50") + F.col("q")})
 
 
@@ -111,7 +109,7 @@ def evaluate_bands(df: DataFrame, keys: list[str]) -> DataFrame:
 def alpha_grid(df: DataFrame, grid: tuple[float, ...] = GRID, window: int = WINDOW, series: str = "series", order: str = "time_idx") -> DataFrame:
     """(series, alpha, coverage, half_width) of rolling bands; all levels from one pass over the frames."""
     r = df.withColumn("_r", F.abs(F.col("actual") - F.col("p50")))
-    q = r.withColumn("_q", rolling_quantile(F.col("_r"), list(grid), window, ordered(series, order))).where(F.col("_q").isNotNull())
+    q = rolling_quantiles(r.select(series, order, "p50", "actual", "_r"), "_r", list(grid), window, [series], order, "_q").where(F.col("_q").isNotNull())
     rows = q.select(series, "p50", "actual", F.posexplode("_q").alias("_i", "q")).withColumn("alpha", F.element_at(F.array(*map(F.lit, grid)), F.col("_i") + 1))
     return rows.groupBy(series, "alpha").agg(coverage(F.col("p50") - F.col("q"), F.col("p50") + F.col("q"), F.col("actual")).alias("coverage"), F.avg("q").alias("half_width"))
 

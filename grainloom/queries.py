@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import calendar as cal
 from .functions import clean
-from .operators import align, profile, rolling
+from .operators import align, chunks, profile, quantiles, rolling, sliding
 from .plans import bands, decide, features, learn, news
 from .sources import readers, writers
 
@@ -249,7 +249,8 @@ def w5(spark, d):
 @query("w8_percentile_rank", f"""WITH {PX}, l AS (SELECT series, date, c, list(c) OVER {frame(252)} AS a FROM px)
  SELECT series, date, CASE WHEN len(a) >= 30 THEN round((len(list_filter(a, lambda x: x < c)) + (len(list_filter(a, lambda x: x = c)) + 1) / 2) / len(a), 6) END AS percentile FROM l""")
 def w8(spark, d):
-    return windowed(spark, d, {"percentile": rolling.percentile_rank(F.col("price_close"), 252, rolling.ordered("series"))})
+    out = sliding.percentile_ranks(price(spark, d), "price_close", 252, ["series"], "date", "percentile")
+    return rounded(out, ["series", "date"], {"percentile": 6})
 
 
 @query("w9_seasonal_mean", f"WITH {PX} SELECT series, date, round(avg(c) OVER (PARTITION BY series, weekofyear(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS seasonal FROM px")
@@ -265,7 +266,70 @@ def w11(spark, d):
 
 @query("w12_rolling_quantile", f"WITH {PX} SELECT series, date, CASE WHEN count(c) OVER {frame(60, 1)} = 60 THEN round(quantile_cont(c, 0.85) OVER {frame(60, 1)}, 4) END AS q FROM px")
 def w12(spark, d):
-    return windowed(spark, d, {"q": rolling.rolling_quantile(F.col("price_close"), 0.85, 60, rolling.ordered("series"))}, 4)
+    out = sliding.rolling_quantiles(price(spark, d), "price_close", 0.85, 60, ["series"], "date", "q")
+    return rounded(out, ["series", "date"], {"q": 4})
+
+
+#: All line items as one series, whose ranges hold so many rows.
+PLACE = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+LONG, SPAN = f"(ORDER BY {', '.join(PLACE)}", 5000
+
+
+def long_series(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.lit("all").alias("series"), *PLACE, F.col("l_extendedprice").alias("v"))
+
+
+@query("w5_moments_long", f"""SELECT l_orderkey, l_linenumber, round(avg(l_extendedprice) OVER {LONG} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 4) AS ma_30, round(stddev_samp(l_extendedprice) OVER {LONG} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 4) AS std_14,
+ lag(l_extendedprice, 14) OVER {LONG}) AS lag_14, lead(l_extendedprice, 7) OVER {LONG}) AS lead_7 FROM lineitem""")
+def w5_long(spark, d):
+    """One series in several tasks."""
+    def columns(w):
+        v = F.col("v")
+        return {"ma_30": r(rolling.moving_avg(v, 30, w), 4), "std_14": r(rolling.moving_std(v, 14, w), 4), "lag_14": rolling.lag_n(v, 14, w), "lead_7": rolling.lead_n(v, 7, w)}
+
+    return chunks.windows_in_ranges(long_series(spark, d), ["series"], PLACE, columns, 30, 7, SPAN).drop("series", "v", "l_extendedprice", "l_quantity")
+
+
+@query("w12_quantile_long", f"SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER {LONG} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) = 60 THEN round(quantile_cont(l_extendedprice, 0.85) OVER {LONG} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 4) END AS q FROM lineitem")
+def w12_long(spark, d):
+    out = sliding.rolling_quantiles_long(long_series(spark, d), "v", 0.85, 60, ["series"], PLACE, "q", rows=SPAN)
+    return rounded(out, ["l_orderkey", "l_linenumber"], {"q": 4})
+
+
+@query("w10_fill_long", f"SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_quantity > 49 THEN l_extendedprice END IGNORE NULLS) OVER {LONG} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM lineitem")
+def w10_long(spark, d):
+    """The last price of a large item, carried on over ranges that have none."""
+    x = table(spark, d, "lineitem").select(F.lit("all").alias("series"), *PLACE, F.when(F.col("l_quantity") > 49, F.col("l_extendedprice")).alias("v"))
+    return chunks.carry_last(x, ["v"], ["series"], PLACE, SPAN).select("l_orderkey", "l_linenumber", "v")
+
+
+@query("w9_mean_long", "SELECT l_orderkey, l_linenumber, round(sum(l_extendedprice::DECIMAL(18,2)) OVER w::DOUBLE / count(*) OVER w, 4) AS mean_before FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def w9_long(spark, d):
+    x = table(spark, d, "lineitem").select("l_returnflag", *PLACE, F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
+    out = chunks.mean_before(x, "v", "mean_before", ["l_returnflag"], PLACE, SPAN)
+    return rounded(out, ["l_orderkey", "l_linenumber"], {"mean_before": 4})
+
+
+@query("j4_asof_long", """WITH rel AS (SELECT o_orderdate::DATE AS date, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, round(total, 2) AS total FROM lineitem ASOF LEFT JOIN rel ON l_shipdate::DATE >= rel.date""")
+def j4_long(spark, d):
+    """One key holds all line items."""
+    when = F.col("o_orderdate").cast("date")
+    rel = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(when.alias("date")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+    items = table(spark, d, "lineitem").select(F.lit("all").alias("key"), F.col("l_shipdate").cast("date").alias("date"), "l_orderkey", "l_linenumber")
+    out = chunks.align_asof_long(rel.withColumn("key", F.lit("all")), items, ["key"], "date", SPAN)
+    return rounded(out, ["l_orderkey", "l_linenumber"], {"total": 2})
+
+
+@query("a6_quantiles_large", """WITH x AS (SELECT l_linestatus AS k, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem)
+ SELECT k, round(quantile_cont(v, 0.05), 4) AS p10, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p90, round(quantile_cont(v, 0.8517), 4) AS p85 FROM x GROUP BY k""")
+def a6_large(spark, d):
+    """Groups that no task holds: at most 2,000 rows are sorted for a rank."""
+    x = table(spark, d, "lineitem")
+    groups = [(F.col("l_linestatus"), "l_extendedprice"), (F.lit("all"), "l_extendedprice"), (F.lit("quantity"), "l_quantity")]
+    x = x.select(F.explode(F.array(*[F.struct(k.alias("k"), F.col(v).alias("v")) for k, v in groups])).alias("x")).select("x.k", "x.v")
+    out = quantiles.exact_quantiles(x, "v", (0.05, 0.5, 0.95, 0.8517), ["k"], most=2000)
+    return out.select("k", *[r(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90", "p85"))])
 
 
 @query("w13_time_index", f"WITH {PX} SELECT series, date, (dense_rank() OVER (ORDER BY date) - 1)::INTEGER AS time_idx FROM px")
@@ -732,10 +796,17 @@ def r13(spark, d):
     return rounded(out, ["series"], {f"test_{k}": 3 for k in ("volatility", "move", "mean_error", "std_error", "q80")})
 
 
-@query("r1_quantile_forecast", f"""WITH {PX}, x AS (SELECT series, date, c, c / lag(c, 7) OVER {PART}) - 1 AS g FROM px), q AS (SELECT series, date, c, {', '.join(f'quantile_cont(g, {a}) OVER {frame(250)} AS q{i}' for i, a in enumerate(bands.LEVELS))} FROM x)
- SELECT series, date, 7 AS horizon, round(c * (1 + q0), 3) AS p10, round(c * (1 + q1), 3) AS p50, round(c * (1 + q2), 3) AS p90 FROM q WHERE q0 IS NOT NULL""")
+R1_SQL = " UNION ALL ".join(
+    f"""SELECT series, date, {h}::INTEGER AS horizon, round(c * (1 + q[1]), 3) AS p10, round(c * (1 + q[2]), 3) AS p50, round(c * (1 + q[3]), 3) AS p90
+ FROM (SELECT *, quantile_cont(g, {list(bands.LEVELS)}) OVER {frame(250)} AS q FROM (SELECT series, date, c, c / lag(c, {h}) OVER {PART}) - 1 AS g FROM px)) WHERE q[1] IS NOT NULL"""
+    for h in bands.HORIZONS
+)
+
+
+@query("r1_quantile_forecast", f"WITH {PX.replace(' AS (', ' AS MATERIALIZED (', 1)} {R1_SQL}")
 def r1(spark, d):
-    out = bands.quantile_forecast(price(spark, d), "price_close", range(7, 8))
+    """All 28 horizons."""
+    out = bands.quantile_forecast(price(spark, d), "price_close")
     return rounded(out, ["series", "date", "horizon"], {"p10": 3, "p50": 3, "p90": 3})
 
 

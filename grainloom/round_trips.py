@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import clean
 from .operators import align, profile
 from .plans import bands, decide, features, learn, news
-from .queries import B1_SQL, B17_SQL, FX, PX, exchange, monthly, per_series, price, query, r, requests, rounded, table
+from .queries import B1_SQL, B17_SQL, FX, PX, REQUESTS, exchange, monthly, per_series, price, query, r, requests, rounded, table
 from .sources import readers, writers
 from .streaming import landing
 
@@ -158,14 +158,6 @@ def k5(spark, d):
     return spark.read.schema("price_close double, date string, series string").parquet(path).select("series", "date", r("price_close", 4).alias("price_close"))
 
 
-@query("k6_log_decisions", "SELECT c_custkey, count(*) AS n, count(DISTINCT i) AS ids, 0::BIGINT AS actual FROM (SELECT c_custkey, unnest([1, 2]) AS i FROM customer) GROUP BY 1")
-def k6(spark, d):
-    path, c = folder(spark), table(spark, d, "customer").select("c_custkey")
-    for _ in range(2):
-        writers.log_decisions(c, path)
-    return spark.read.parquet(path).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.count("actual_action").alias("actual"))
-
-
 @query("k9_write_records", "SELECT n_nationkey::INTEGER AS n_nationkey, n_name, kind FROM nation, (VALUES ('csv'), ('json')) k(kind)")
 def k9(spark, d):
     out, n = None, table(spark, d, "nation").select("n_nationkey", "n_name")
@@ -272,18 +264,24 @@ def q2(spark, d):
     return good.select("l_partkey", F.lit(True).alias("good")).unionByName(bad.select("l_partkey", F.lit(False).alias("good")))
 
 
-@query("q4_rejects", """SELECT o_orderkey, list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'quantity' END, CASE WHEN o_orderkey % 5 = 0 THEN 'consumption' END, CASE WHEN o_orderkey % 7 = 0 THEN 'quantile order' END, CASE WHEN o_orderkey % 11 = 0 THEN 'unit' END], lambda x: x IS NOT NULL)::VARCHAR AS reasons
- FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""")
+@query("q4_rejects", """SELECT o_orderkey, list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'context' END, CASE WHEN o_orderkey % 17 = 0 THEN 'stock' END, CASE WHEN o_orderkey % 3 = 0 THEN 'quantity' END, CASE WHEN o_orderkey % 5 = 0 THEN 'consumption' END, CASE WHEN o_orderkey % 7 = 0 THEN 'quantile order' END, CASE WHEN o_orderkey % 11 = 0 THEN 'unit' END], lambda x: x IS NOT NULL)::VARCHAR AS reasons
+ FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0""")
 def q4(spark, d):
     k = F.col("o_orderkey")
-    x = table(spark, d, "orders").select("o_orderkey", F.when(k % 3 != 0, 5.0).otherwise(0.0).alias("quantity_ton"), F.when(k % 5 != 0, 1.0).alias("monthly_consumption_ton"), F.lit(1.0).alias("p10"), F.lit(2.0).alias("p50"), F.when(k % 7 != 0, 3.0).otherwise(1.5).alias("p90"), F.when(k % 11 != 0, "cbot").otherwise("bushel").alias("forecast_unit"))
+    x = table(spark, d, "orders").select(
+        "o_orderkey", F.when(k % 3 != 0, 5.0).otherwise(0.0).alias("quantity_ton"), F.when(k % 5 != 0, 1.0).alias("monthly_consumption_ton"), F.lit(1.0).alias("p10"), F.lit(2.0).alias("p50"), F.when(k % 7 != 0, 3.0).otherwise(1.5).alias("p90"), F.when(k % 11 != 0, "cbot").otherwise("eur").alias("forecast_unit"),
+        F.when(k % 13 != 0, 60.0).alias("current_price_cbot"), F.lit("2000-01-01").cast("date").alias("decision_date"), F.lit(1.0).alias("current_inventory_ton"), F.lit(0.0).alias("open_po_ton"), F.when(k % 17 != 0, 1.0).alias("safety_stock_ton"),
+    )
     return profile.split_requests(x)[1].select("o_orderkey", F.concat(F.lit("["), F.array_join("reasons", ", "), F.lit("]")).alias("reasons"))
 
 
-@query("a15_null_share", "SELECT o_orderstatus, avg((o_orderkey % 3 = 0)::INTEGER) AS share FROM orders GROUP BY 1")
+@query("a15_null_share", """WITH o AS (SELECT count(*)::DOUBLE AS n, count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS a, count(CASE WHEN o_orderkey % 5 = 0 THEN 1 END) AS b, count(CASE WHEN o_orderkey % 7 = 0 THEN 1 END) AS f, count(CASE WHEN o_orderkey % 11 = 0 THEN 1 END) AS x FROM orders)
+ SELECT 'price' AS grp, round((a / n + b / n) / 2, 9) AS null_share FROM o UNION ALL SELECT 'fx', round(f / n, 9) FROM o UNION ALL SELECT 'other', round(x / n / 2, 9) FROM o""")
 def a15(spark, d):
-    x = table(spark, d, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("v"))
-    return x.groupBy("o_orderstatus").agg(F.avg(F.col("v").isNull().cast("int")).alias("share"))
+    """Shares by prefixes of columns that have nulls."""
+    gaps = {"price_close": 3, "price_lag": 5, "usd_brl_close": 7, "month": 11}
+    x = table(spark, d, "orders").select("o_orderkey", *[F.when(F.col("o_orderkey") % n != 0, F.col("o_totalprice")).alias(c) for c, n in gaps.items()])
+    return profile.group_null_share(profile.null_rates(x, ["o_orderkey", *gaps]), {"price": ["price_"], "fx": ["usd_", "fx_"]}).select("grp", r("null_share", 9).alias("null_share"))
 
 
 # ---- plans
@@ -368,23 +366,56 @@ def d1(spark, d):
     return rounded(out, ["series", "as_of_date"], {"current_price_cbot": 4, "market_avg_cbot": 4, "current_price": 3, "market_avg_price": 3})
 
 
-@query("d9_scenarios", f"""WITH {CONTEXT}, q AS (SELECT c_custkey, x.*, (c_custkey % 7) * 1000.0::DOUBLE + (c_custkey % 3) * 1000.0::DOUBLE AS e, 1000.0::DOUBLE * (c_custkey % 6 + 1) AS qty, c * (0.9::DOUBLE + (c_custkey % 5) * 0.05::DOUBLE) * 22.0462 AS m, c * 22.0462 AS p FROM customer JOIN x ON x.series = 'Brand#' || (c_custkey % 25 + 1)),
- t AS (SELECT *, CASE WHEN e < 3500 OR m > p * 1.03 THEN 'Buy' WHEN m < p * 0.97 THEN 'Wait' ELSE 'Split' END AS act, qty >= 2000 AND e >= 3500 AND e - 2000 >= 3500 AS can_wait FROM q)
- SELECT c_custkey, CASE WHEN act = 'Wait' AND NOT can_wait THEN 'Split' ELSE act END AS recommendation, as_of_date::VARCHAR AS decision_date, round(p, 3) AS current_price, 1::BIGINT AS logged FROM t""")
+@query("d9_scenarios", f"""WITH {PX}, h AS (SELECT series, date, c FROM px),
+ a AS (SELECT c_custkey, 'Brand#' || (c_custkey % 27 + 1) AS series, DATE '1994-12-01' + (c_custkey * 37 % 2600)::INTEGER AS decision_date, (c_custkey % 7) * 1000.0::DOUBLE + (c_custkey % 3) * 1000.0::DOUBLE AS e, 1000.0::DOUBLE * (c_custkey % 6 + 1) AS qty FROM customer),
+ q AS (SELECT a.*, h.date AS as_of_date, c * 22.0462 AS p, (1000 + c_custkey % 5 * 700.0::DOUBLE) * 22.0462 AS m FROM a ASOF LEFT JOIN h ON a.series = h.series AND a.decision_date >= h.date),
+ t AS (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN e < 3500 OR m > p * 1.03 THEN 'Buy' WHEN m < p * 0.97 THEN 'Wait' ELSE 'Split' END AS act, qty >= 2000 AND e >= 3500 AND e - 2000 >= 3500 AS can_wait FROM q)
+ SELECT c_custkey, CASE WHEN act = 'Wait' AND NOT can_wait THEN 'Split' ELSE act END AS recommendation, decision_date, as_of_date, round(p, 3) AS current_price, CASE WHEN act IS NULL THEN 'context' END AS reasons FROM t""")
 def d9(spark, d):
-    """From the master's context to JSON documents and a log, read back from both."""
-    k, log = F.col("c_custkey"), folder(spark)
-    m = master(spark, d)
-    own = requests(spark, d).drop("decision_date", "current_price_cbot", "market_avg_cbot").withColumn("series", F.concat(F.lit("Brand#"), k % 25 + 1))
-    context = decide.load_context(m, F.lit("2000-06-30").cast("date")).select("series", F.col("current_price_cbot").alias("c"))
-    mid = F.col("c") * (F.lit(0.9) + (k % 5) * 0.05)
-    own = own.join(context, "series").withColumns({"p50": mid, "p10": mid - 2, "p90": mid + 2}).drop("c")
-    out, _ = decide.evaluate_scenarios(own, m, F.lit("2000-06-30").cast("date"), log)
-    read = F.from_json("document", "c_custkey bigint, recommendation string, decision_date string, current_price double")
-    docs = decide.result_json(out).select(read.alias("x")).select("x.*").withColumn("current_price", r("current_price", 3))
-    logged = spark.read.parquet(log)
-    share = logged.agg((F.count(F.lit(1)) / F.countDistinct("id")).cast("long").alias("logged"))  # every decision once
-    return docs.join(F.broadcast(share))
+    """Every request as of its own date; those before their series begins, or of none, are rejected. By way of JSON documents."""
+    k = F.col("c_custkey")
+    own = requests(spark, d).drop("current_price_cbot", "market_avg_cbot").withColumns({"series": F.concat(F.lit("Brand#"), k % 27 + 1), "decision_date": F.date_add(F.lit("1994-12-01").cast("date"), (k * 37 % 2600).cast("int"))})
+    mid = 1000 + (k % 5) * 700.0
+    good, bad = decide.evaluate_scenarios(own.withColumns({"p50": mid, "p10": mid - 2, "p90": mid + 2}), master(spark, d))
+    read = F.from_json("document", "c_custkey bigint, recommendation string, decision_date date, as_of_date date, current_price double")
+    docs = decide.result_json(good).select(read.alias("x")).select("x.*").withColumn("reasons", F.lit(None).cast("string"))
+    bad = bad.select("c_custkey", F.lit(None).cast("string").alias("recommendation"), "decision_date", "as_of_date", F.lit(None).cast("double").alias("current_price"), F.array_join("reasons", ",").alias("reasons"))
+    return docs.unionByName(bad).withColumn("current_price", r("current_price", 3))
+
+
+def mixed_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Forecasts of odd customers in USD a ton, market averages for every third."""
+    odd, k = F.col("c_custkey") % 2 == 1, F.col("c_custkey")
+    x = requests(spark, d).withColumn("market_avg_cbot", F.when(k % 3 == 0, F.col("current_price_cbot") * 0.98))
+    return x.withColumns({q: F.when(odd, F.col(q) * 22.0462).otherwise(F.col(q)) for q in ("p10", "p50", "p90")} | {"forecast_unit": F.when(odd, "usd_per_ton").otherwise("cbot")})
+
+
+@query("k6_log_decisions", f"""WITH {REQUESTS} SELECT DATE '2002-01-01' AS decision_date, round(p, 4) AS current_price, round(CASE WHEN c_custkey % 3 = 0 THEN price * 0.98::DOUBLE * 22.0462 END, 4) AS market_avg_price, round(lo, 4) AS p10, round(m, 4) AS p50, round(hi, 4) AS p90,
+ inv AS current_inventory_ton, safety AS safety_stock_ton, q AS quantity_requested_ton, rec AS recommended_action, NULL::VARCHAR AS actual_action, NULL::DOUBLE AS quantity_actual_ton, NULL::VARCHAR AS reason_override, 2::BIGINT * (SELECT count(*) FROM customer) AS ids FROM z, range(2)""")
+def k6(spark, d):
+    """Recommendations logged twice, with an id for each, and read back."""
+    path = folder(spark)
+    for _ in range(2):
+        decide.evaluate_scenarios(mixed_requests(spark, d), log=path)
+    log = spark.read.parquet(path)
+    ids = log.agg(F.countDistinct("id").alias("ids")).first()["ids"]
+    money = {c: 4 for c in ("current_price", "market_avg_price", "p10", "p50", "p90")}
+    return rounded(log.withColumn("ids", F.lit(ids).cast("long")), [c for c in log.columns if c not in (*money, "id", "created_at")] + ["ids"], money)
+
+
+@query("f19_texts", f"""WITH {REQUESTS}, u AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN price * 0.98::DOUBLE * 22.0462 END AS avg30, CASE WHEN e < safety THEN 1 WHEN m > p * 1.03 THEN 2 WHEN act = 'Wait' AND NOT can_wait THEN 4 WHEN m < p * 0.97 THEN 3 ELSE 5 END AS code FROM z)
+ SELECT c_custkey, 'futures ' || format('{{:,.0f}}', p) || ' USD/t (CBOT ' || format('{{:.2f}}', price) || ' x 22.05), 30-day average ' || coalesce(format('{{:,.0f}}', avg30) || ' USD/t', 'unknown') AS price_summary,
+ 'P10 ' || format('{{:,.0f}}', lo) || ' / P50 ' || format('{{:,.0f}}', m) || ' / P90 ' || format('{{:,.0f}}', hi) || ' USD/t' AS forecast_summary, 'in the low case (P10) the price may fall to ' || format('{{:,.0f}}', lo) || ' USD/t' AS risk_note,
+ CASE WHEN c_custkey % 2 = 1 THEN 'forecast given in USD/t' ELSE 'CBOT quotes times 22.0462 are USD/t' END AS unit_note, 'futures ' || format('{{:,.0f}}', p) || ' USD/t, expected after 50 days (P50) ' || format('{{:,.0f}}', m) || ' USD/t' AS summary,
+ CASE code WHEN 1 THEN 'Buy: inventory ' || format('{{:.0f}}', e) || ' t is below safety stock 3500 t' WHEN 2 THEN 'Buy: expected price ' || format('{{:,.0f}}', m) || ' USD/t is ' || format('{{:.2f}}', (m - p) / p * 100) || ' % above ' || format('{{:,.0f}}', p)
+  WHEN 3 THEN 'Wait: expected price ' || format('{{:,.0f}}', m) || ' USD/t is ' || format('{{:.2f}}', abs((m - p) / p * 100)) || ' % below ' || format('{{:,.0f}}', p) WHEN 4 THEN 'Split: the price says wait, but stock would fall below safety stock' ELSE 'Split: expected price is within 3 % of the current price' END AS reason,
+ 'stock ' || format('{{:.0f}}', inv) || ' + open orders ' || format('{{:.0f}}', po) || ' = ' || format('{{:.0f}}', e) || ' t; when due ' || format('{{:.0f}}', due) || ' t; safety 3500 t' AS inventory_status,
+ 'today ' || format('{{:.0f}}', q / 2) || ' t and after 7 days ' || format('{{:.0f}}', q / 2) || ' t, both due 2002-02-20' AS split_plan, CASE WHEN e + q > 4800 THEN 'stock after delivery ' || format('{{:.0f}}', e + q) || ' t is above warehouse cap 4800 t' ELSE '' END AS warnings FROM u""")
+def f19(spark, d):
+    """The readable part of each nested result."""
+    docs = decide.result_document(decide.evaluate_scenarios(mixed_requests(spark, d))[0], ["c_custkey"])
+    names = {"current_price_summary": "price_summary", "forecast_summary": "forecast_summary", "risk_note": "risk_note", "forecast_unit": "unit_note", "summary": "summary", "reason": "reason", "inventory_status": "inventory_status", "split_plan": "split_plan"}
+    return docs.select("c_custkey", *[F.col(f"human_readable.{k}").alias(n) for k, n in names.items()], F.array_join("human_readable.constraint_warnings", "; ").alias("warnings"))
 
 
 @query("t2_news_stream", "SELECT 'u' || o_custkey AS url, min(CASE WHEN o_custkey % 2 = 0 THEN 'policy' ELSE 'weather' END) AS category, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")

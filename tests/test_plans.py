@@ -46,6 +46,27 @@ def test_rejected(spark):
     assert {r["id"]: r["reasons"] for r in rejected.collect()} == {0: ["quantity"], 1: ["quantile order"], 2: ["unit"]}
 
 
+def test_requests_without_a_context_are_rejected_and_others_take_their_own_date(spark):
+    days = [(s, dt.date(2025, 1, n), c, 60.0 if n > 2 else None) for s, n, c in (("a", 2, 60.0), ("a", 5, 70.0), ("a", 9, None), ("b", 5, 67.0))]
+    master = spark.createDataFrame(days, "series string, date date, price_close double, market_avg_price_30d double")
+    asked = [("a", dt.date(2025, 1, 1)), ("a", dt.date(2025, 1, 4)), ("a", dt.date(2025, 1, 5)), ("a", dt.date(2025, 1, 9)), ("gone", dt.date(2025, 1, 9)), ("b", None), (None, dt.date(2025, 1, 9))]
+    df = requests(spark, [CASES[0][0]] * len(asked)).drop("current_price_cbot", "market_avg_cbot", "decision_date")
+    df = df.join(spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "id int, series string, decision_date date"), "id")
+    good, bad = decide.evaluate_scenarios(df, master)
+    assert {r["id"]: (r["current_price_cbot"], r["market_avg_cbot"], r["as_of_date"].day, r["decision_date"].day) for r in good.collect()} == {1: (60.0, None, 2, 4), 2: (70.0, 60.0, 5, 5), 5: (67.0, 60.0, 5, 5)}
+    assert {r["id"]: r["reasons"] for r in bad.collect()} == {0: ["context"], 3: ["context"], 4: ["context"], 6: ["context"]}
+    unknown = decide.evaluate(requests(spark, [CASES[0][0]]).withColumn("current_price_cbot", F.lit(None).cast("double"))).first()
+    assert unknown["recommendation"] is None and unknown["reason_code"] is None
+
+
+def test_result_documents(spark):
+    got = decide.evaluate_scenarios(requests(spark, [c for c, _ in CASES]))[0]
+    doc = decide.result_document(got, ["id"]).where("id = 4").first()
+    assert set(doc["human_readable"].asDict()) >= {"current_price_summary", "forecast_summary", "forecast_unit", "price_direction", "recommendation", "reason", "risk_note", "inventory_status", "constraint_warnings"}
+    assert doc["options"]["Wait"]["reward_usd"] == -doc["options"]["Buy"]["reward_usd"] and doc["system_defaults"]["warehouse_cap_ton"] == 4800
+    assert doc["forecast_unit_desc"] == "forecast given in USD/t" and doc["forecast"]["p50"] == doc["forecast_as_given"]["p50"]
+
+
 def test_news(spark):
     df = spark.createDataFrame(
         [("Drought in Brazil", "Reuters"), ("Export ban hits USDA report", "blog"), ("Record harvest, weak demand", "FT.com"), ("Banking", "wsj"), (None, None)], "title string, source string"
