@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.align import value_ahead
 from ..operators.rolling import diff_n, lag_n, ordered
 from ..operators.sliding import horizon_quantiles, rolling_quantiles
 
@@ -25,9 +26,10 @@ def quantile_forecast(df: DataFrame, value: str, horizons: range = HORIZONS, win
     return out.select(series, date, value, "horizon", *[(F.col(value) * (1 + F.col("q")[i])).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
-def return_to_price(df: DataFrame, level: str = "level") -> DataFrame:
-    """Quantiles of returns as prices."""
-    return df.withColumns({q: F.col(level) * (1 + F.col(q)) for q in ("p10", "p50", "p90")})
+def return_to_price(df: DataFrame, level: str = "level", series: str = "series", index: str | None = None, ahead: int = 7) -> DataFrame:
+    """Quantiles of returns as prices. With an index also `actual`: the level `ahead` index steps on, null if that row is missing."""
+    out = df.withColumns({q: F.col(level) * (1 + F.col(q)) for q in ("p10", "p50", "p90")})
+    return value_ahead(out, level, [series], index, ahead, "actual") if index else out
 
 
 def horizon_mean(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,15 +72,16 @@ def scaled_half_width(df: DataFrame, calibration: Column, test: Column, keys: li
 
 
 def least_alpha(df: DataFrame, calibration: Column, test: Column, keys: list[str], target: float = TARGET) -> DataFrame:
-    """(keys, need, alpha): the half-width that covers the target share of test rows, and the smallest quantile level of
-    calibration residuals that reaches it: the inverse of the interpolated quantile; null if none does."""
-    r = F.abs(F.col("actual") - F.col("p50"))
-    rows = df.select(*keys, r.alias("_r"), calibration.alias("_c"), test.alias("_t")).where("_r IS NOT NULL AND (_c OR _t)")
+    """(keys, need, alpha): the half-width that covers the target share of test rows, whose medians are moved by the calibration
+    rows' bias, and the smallest quantile level of calibration residuals that reaches it: the inverse of the interpolated
+    quantile; null if none does."""
+    moved = correct(df.withColumns({"_c": calibration, "_t": test, "_r": F.abs(F.col("actual") - F.col("p50"))}), bias(df, calibration, keys), keys)
+    rows = moved.select(*keys, F.col("_r").alias("_cal"), F.abs(F.col("actual") - F.col("p50")).alias("_r"), "_c", "_t").where("_r IS NOT NULL AND (_c OR _t)")
     ranked = rows.where("_t").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")))
     sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("_t"), 1)) * target / 100)).cast("int").alias("_n"))
     need = sizes.join(ranked, [*keys, "_n"], "left").select(*keys, F.col("_r").alias("need"))
-    lower = F.col("_r") < F.col("need")
-    sums = [F.count(F.lit(1)).alias("n"), F.count(F.when(lower, 1)).alias("below"), F.max(F.when(lower, F.col("_r"))).alias("a"), F.min(F.when(~lower, F.col("_r"))).alias("b")]
+    lower = F.col("_cal") < F.col("need")
+    sums = [F.count(F.lit(1)).alias("n"), F.count(F.when(lower, 1)).alias("below"), F.max(F.when(lower, F.col("_cal"))).alias("a"), F.min(F.when(~lower, F.col("_cal"))).alias("b")]
     got = need.join(rows.where("_c").join(need, keys).groupBy(*keys).agg(*sums), keys, "left").na.fill(0, ["n", "below"])
     n, below = F.col("n"), F.col("below")
     alpha = F.when((below >= n) | F.col("need").isNull(), None).when(below == 0, 0.0).otherwise((below - 1 + F.try_divide(F.col("need") - F.col("a"), F.col("b") - F.col("a"))) / (n - 1))
@@ -106,6 +109,20 @@ def evaluate_bands(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), coverage(F.col("lo"), F.col("hi"), F.col("actual")).alias("coverage"), F.avg((F.col("hi") - F.col("lo")) / 2).alias("half_width"))
 
 
+def compare_bands(df: DataFrame, calibration: Column, test: Column, keys: list[str], alpha: float = ALPHA, window: int = WINDOW, order: str = "time_idx") -> DataFrame:
+    """(keys, band, n, mae, rmse, coverage, half_width) of the test rows for each band: raw (between the outer quantiles, median
+    as forecast), and around the median moved by the calibration rows' bias fixed (the calibration residuals' quantile), scaled
+    (that times the ratio of deviations) and rolling (the last `window` residuals of the moved median; null at the start)."""
+    q = half_width(df, calibration, keys, alpha).withColumnRenamed("q", "_fixed").join(scaled_half_width(df, calibration, test, keys, alpha).withColumnRenamed("q", "_scaled"), keys)
+    moved = correct(df.withColumns({"_t": test, "_p50": F.col("p50"), "_p10": F.col("p10"), "_p90": F.col("p90")}), bias(df, calibration, keys), keys)
+    moved = moved.withColumn("_r", F.abs(F.col("actual") - F.col("p50")))
+    rows = rolling_quantiles(moved, "_r", alpha, window, keys, order, "_rolling").where("_t").join(q, keys)
+    around = lambda name: F.struct(F.lit(name).alias("band"), F.col("p50"), (F.col("p50") - F.col(f"_{name}")).alias("lo"), (F.col("p50") + F.col(f"_{name}")).alias("hi"))
+    raw = F.struct(F.lit("raw").alias("band"), F.col("_p50").alias("p50"), F.least("_p10", "_p90").alias("lo"), F.greatest("_p10", "_p90").alias("hi"))
+    each = rows.select(*keys, "actual", F.explode(F.array(raw, *map(around, ("fixed", "scaled", "rolling")))).alias("x")).select(*keys, "actual", "x.*")
+    return evaluate_bands(each, [*keys, "band"])
+
+
 def alpha_grid(df: DataFrame, grid: tuple[float, ...] = GRID, window: int = WINDOW, series: str = "series", order: str = "time_idx") -> DataFrame:
     """(series, alpha, coverage, half_width) of rolling bands; all levels from one pass over the frames."""
     r = df.withColumn("_r", F.abs(F.col("actual") - F.col("p50")))
@@ -141,6 +158,13 @@ def diagnostics(df: DataFrame, ranges: dict[str, Column], series: str = "series"
     return rows.groupBy(series).agg(*aggs)
 
 
+def half_width_rank(df: DataFrame, calibration: Column, test: Column, keys: list[str], alpha: float = ALPHA) -> DataFrame:
+    """(keys, q, rank_pct): a half-width from calibration residuals, and the percentage of test residuals that it reaches."""
+    r = F.abs(F.col("actual") - F.col("p50"))
+    rows = df.select(*keys, F.when(test, r).alias("_r")).join(half_width(df, calibration, keys, alpha), keys)
+    return rows.groupBy(*keys).agg(F.first("q").alias("q"), (100 * F.avg((F.col("_r") <= F.col("q")).cast("double"))).alias("rank_pct"))
+
+
 def naive_baseline(df: DataFrame, inside: Column, series: str = "series", order: str = "time_idx") -> DataFrame:
     """(series, mae) of the previous actual as forecast."""
     rows = df.withColumn("_e", F.abs(F.col("actual") - lag_n(F.col("actual"), 1, ordered(series, order)))).where(inside)

@@ -756,14 +756,54 @@ def r5(spark, d):
     return a.join(bands.scaled_half_width(p, cal_rows(), test_rows(), ["series"]).select("series", r("q", 3).alias("scaled")), "series")
 
 
-@query("r7_least_alpha", f"""WITH {PRED}, g AS (SELECT series, list(abs(actual - p50) ORDER BY abs(actual - p50)) FILTER (time_idx BETWEEN 200 AND 599) AS c, list(abs(actual - p50) ORDER BY abs(actual - p50)) FILTER (time_idx >= 600) AS t FROM pred GROUP BY 1),
+#: Forecasts that are too low by 0.3 % of the price, so that recentring matters.
+LOW = "biased AS (SELECT series, time_idx, p50 * 0.997::DOUBLE AS p50, p10 * 0.99::DOUBLE AS p10, p90 * 1.01::DOUBLE AS p90, actual FROM pred)"
+
+
+def biased(spark: SparkSession, d: str) -> DataFrame:
+    return predictions(spark, d).withColumns({"p50": F.col("p50") * 0.997, "p10": F.col("p10") * 0.99, "p90": F.col("p90") * 1.01})
+
+
+@query("r7_least_alpha", f"""WITH {PRED}, {LOW}, m AS (SELECT series, avg(actual - p50) FILTER (time_idx BETWEEN 200 AND 599) AS bias FROM biased GROUP BY 1), e AS (SELECT series, time_idx, abs(actual - p50) AS e, abs(actual - (p50 + bias)) AS f FROM biased JOIN m USING (series)),
+ g AS (SELECT series, list(e ORDER BY e) FILTER (time_idx BETWEEN 200 AND 599) AS c, list(f ORDER BY f) FILTER (time_idx >= 600) AS t FROM e GROUP BY 1),
  n AS (SELECT series, c, t[ceil(len(t) * 0.8)::BIGINT] AS need FROM g), k AS (SELECT *, len(list_filter(c, lambda x: x < need)) AS k FROM n)
  SELECT series, round(need, 4) AS need, CASE WHEN k >= len(c) THEN NULL WHEN k = 0 THEN 0.0::DOUBLE ELSE round((k - 1 + (need - c[k]) / (c[k + 1] - c[k])) / (len(c) - 1), 5) END AS alpha FROM k""")
 def r7(spark, d):
-    out = bands.least_alpha(predictions(spark, d), cal_rows(), test_rows(), ["series"])
+    """Test medians are moved by the calibration rows' bias."""
+    out = bands.least_alpha(biased(spark, d), cal_rows(), test_rows(), ["series"])
     return out.select("series", r("need", 4).alias("need"), r("alpha", 5).alias("alpha"))
 
 
+BANDS = f"""{PRED}, {LOW}, m AS (SELECT series, avg(actual - p50) FILTER (time_idx BETWEEN 200 AND 599) AS bias, quantile_cont(abs(actual - p50), 0.85) FILTER (time_idx BETWEEN 200 AND 599) AS fixed,
+  stddev_samp(actual) FILTER (time_idx >= 600) / stddev_samp(actual) FILTER (time_idx BETWEEN 200 AND 599) AS ratio FROM biased GROUP BY 1),
+ e AS (SELECT *, p50 + bias AS mid, fixed * ratio AS scaled, abs(actual - (p50 + bias)) AS e FROM biased JOIN m USING (series)),
+ o AS (SELECT *, CASE WHEN count(e) OVER f = 60 THEN quantile_cont(e, 0.85) OVER f END AS rolling FROM e WINDOW f AS (PARTITION BY series ORDER BY time_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+ b AS (SELECT series, actual, 'raw' AS band, p50, least(p10, p90) AS lo, greatest(p10, p90) AS hi FROM o WHERE time_idx >= 600 {' '.join(f"UNION ALL SELECT series, actual, '{x}', mid, mid - {x}, mid + {x} FROM o WHERE time_idx >= 600" for x in ('fixed', 'scaled', 'rolling'))})"""
+MEASURES = "count(*) AS n, round(avg(abs(actual - p50)), 3) AS mae, round(sqrt(avg((actual - p50) ** 2)), 3) AS rmse, round(avg((actual > lo AND actual < hi)::INTEGER) * 100, 4) AS coverage, round(avg((hi - lo) / 2), 3) AS half_width"
+
+
+@query("r10_all_bands", f"WITH {BANDS} SELECT series, band, {MEASURES} FROM b GROUP BY 1, 2")
+def r10_all(spark, d):
+    """Raw, fixed, scaled and rolling bands of biased forecasts, recentred."""
+    out = bands.compare_bands(biased(spark, d), cal_rows(), test_rows(), ["series"])
+    return rounded(out, ["series", "band", "n"], {"mae": 3, "rmse": 3, "coverage": 4, "half_width": 3})
+
+
+@query("r6_fixed_coverage", f"WITH {BANDS} SELECT band, {MEASURES} FROM b WHERE band = 'fixed' GROUP BY 1")
+def r6(spark, d):
+    """The recentred fixed band, its half-width from each series, over all series together."""
+    x = biased(spark, d)
+    q = bands.half_width(x, cal_rows(), ["series"])
+    moved = bands.correct(x, bands.bias(x, cal_rows(), ["series"]), ["series"]).where(test_rows()).join(q, "series")
+    out = bands.evaluate_bands(moved.withColumns({"band": F.lit("fixed"), "lo": F.col("p50") - F.col("q"), "hi": F.col("p50") + F.col("q")}), ["band"])
+    return rounded(out, ["band", "n"], {"mae": 3, "rmse": 3, "coverage": 4, "half_width": 3})
+
+
+@query("r13_rank_of_q", f"WITH {PRED}, q AS (SELECT series, quantile_cont(abs(actual - p50), 0.85) AS q FROM pred WHERE time_idx BETWEEN 200 AND 599 GROUP BY 1) SELECT series, round(any_value(q), 4) AS q, round(100 * avg((abs(actual - p50) <= q)::INTEGER), 4) AS rank_pct FROM pred JOIN q USING (series) WHERE time_idx >= 600 GROUP BY 1")
+def r13_rank(spark, d):
+    return rounded(bands.half_width_rank(predictions(spark, d), cal_rows(), test_rows(), ["series"]), ["series"], {"q": 4, "rank_pct": 4})
+
+
 ROLL = f"{PRED}, e AS (SELECT *, abs(actual - p50) AS e FROM pred), roll AS (SELECT *, CASE WHEN count(e) OVER f = 60 THEN quantile_cont(e, 0.85) OVER f END AS q FROM e WINDOW f AS (PARTITION BY series ORDER BY time_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))"
 
 
@@ -790,10 +830,15 @@ def r14(spark, d):
     return bands.naive_baseline(predictions(spark, d), test_rows()).select("series", r("mae", 3).alias("mae"))
 
 
-@query("r13_diagnostics", f"WITH {PRED}, l AS (SELECT *, abs(actual - lag(actual) OVER (PARTITION BY series ORDER BY time_idx)) AS m FROM pred) SELECT series, round(stddev_samp(actual), 3) AS test_volatility, round(avg(m), 3) AS test_move, round(avg(actual - p50), 3) AS test_mean_error, round(stddev_samp(actual - p50), 3) AS test_std_error, round(quantile_cont(abs(actual - p50), 0.8), 3) AS test_q80 FROM l WHERE time_idx >= 600 GROUP BY 1")
+def _diagnosed(name: str, rows: str) -> str:
+    values = {"volatility": "stddev_samp(actual)", "move": "avg(m)", "mean_error": "avg(actual - p50)", "std_error": "stddev_samp(actual - p50)", "q80": "quantile_cont(abs(actual - p50), 0.8)"}
+    return ", ".join(f"round({v} FILTER ({rows}), 3) AS {name}_{k}" for k, v in values.items())
+
+
+@query("r13_diagnostics", f"WITH {PRED}, l AS (SELECT *, abs(actual - lag(actual) OVER (PARTITION BY series ORDER BY time_idx)) AS m FROM pred) SELECT series, {_diagnosed('calibration', 'time_idx BETWEEN 200 AND 599')}, {_diagnosed('test', 'time_idx >= 600')} FROM l GROUP BY 1")
 def r13(spark, d):
-    out = bands.diagnostics(predictions(spark, d), {"test": test_rows()})
-    return rounded(out, ["series"], {f"test_{k}": 3 for k in ("volatility", "move", "mean_error", "std_error", "q80")})
+    out = bands.diagnostics(predictions(spark, d), {"calibration": cal_rows(), "test": test_rows()})
+    return rounded(out, ["series"], {c: 3 for c in out.columns if c != "series"})
 
 
 R1_SQL = " UNION ALL ".join(
@@ -897,10 +942,15 @@ def a5(spark, d):
     return rounded(bands.horizon_mean(predictions(spark, d), ["date"]), ["date"], {c: 3 for c in ("p50", "p10", "p90", "actual")})
 
 
-@query("r2_return_to_price", f"WITH {PX} SELECT series, date, round(c * (1 - 0.05::DOUBLE), 4) AS p10, round(c * (1 + 0.01::DOUBLE), 4) AS p50, round(c * (1 + 0.07::DOUBLE), 4) AS p90 FROM px")
+@query("r2_return_to_price", f"""WITH {PX}, i AS (SELECT series, date, c, row_number() OVER (PARTITION BY series ORDER BY date) AS k FROM px), x AS (SELECT *, (k % 9 - 4) / 100.0::DOUBLE AS g FROM i WHERE k % 11 <> 3)
+ SELECT x.series, x.date, round(x.c * (1 + (x.g - 0.05::DOUBLE)), 4) AS p10, round(x.c * (1 + x.g), 4) AS p50, round(x.c * (1 + (x.g + 0.07::DOUBLE)), 4) AS p90, round(y.c, 4) AS actual FROM x LEFT JOIN x y ON x.series = y.series AND y.k = x.k + 7""")
 def r2(spark, d):
-    x = price(spark, d).select("series", "date", F.col("price_close").alias("level"), F.lit(-0.05).alias("p10"), F.lit(0.01).alias("p50"), F.lit(0.07).alias("p90"))
-    return rounded(bands.return_to_price(x), ["series", "date"], {"p10": 4, "p50": 4, "p90": 4})
+    """Returns that vary from row to row, and the price seven index steps on, where that row is there."""
+    k = F.row_number().over(rolling.ordered("series")).cast("long")
+    g = (F.col("k") % 9 - 4) / 100.0
+    x = price(spark, d).select("series", "date", F.col("price_close").alias("level"), k.alias("k")).where("k % 11 <> 3")
+    x = x.withColumns({"p10": g - 0.05, "p50": g, "p90": g + 0.07})
+    return rounded(bands.return_to_price(x, index="k"), ["series", "date"], {"p10": 4, "p50": 4, "p90": 4, "actual": 4})
 
 
 @query("r12_better_version", f"WITH {PRED}, b AS (SELECT series, avg(actual - p50) AS a, avg(actual - p10) AS b FROM pred GROUP BY 1) SELECT series, CASE WHEN abs(a) <= abs(b) THEN 'v3' ELSE 'v4' END AS version FROM b")

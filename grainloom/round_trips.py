@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import clean
 from .operators import align, profile
-from .plans import bands, decide, features, learn, news
-from .queries import B1_SQL, B17_SQL, FX, PX, REQUESTS, exchange, monthly, per_series, price, query, r, requests, rounded, table
+from .plans import bands, decide, features, folds, learn, news
+from .queries import B1_SQL, B17_SQL, FX, MODEL, PX, REQUESTS, exchange, monthly, per_series, price, query, r, requests, rounded, table, training
 from .sources import readers, writers
 from .streaming import landing
 
@@ -435,6 +435,44 @@ def t3(spark, d):
     return out.withColumn("total", r("total", 4))
 
 
+#: Events come in three batches by time; every seventh comes a batch late, every eleventh two.
+LATE = """b AS (SELECT event_id, event_type, value, ts, least(3, ntile(3) OVER (ORDER BY ts, event_id) + CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS batch FROM events),
+ m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM b GROUP BY batch)"""
+
+
+@query("t4_late_rows", f"""WITH {LATE} SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM b JOIN m USING (batch)
+ WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+def t4(spark, d):
+    """A stream of three batches with late rows: those behind the watermark are dropped, the others counted; state outlives the runs."""
+    x = table(spark, d, "events").select("event_id", "event_type", "value", "ts")
+    # thirds by time; only ids and times are numbered in one task here, to make the input
+    third = x.select("event_id", F.ntile(3).over(Window.orderBy("ts", "event_id")).alias("third"))
+    late = F.when(F.col("event_id") % 11 == 0, 2).when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    x = x.join(third, "event_id").withColumn("batch", F.least(F.lit(3), F.col("third") + late)).drop("third")
+    src, out = folder(spark), folder(spark)
+    for i in (1, 2, 3):
+        x.where(F.col("batch") == i).drop("batch").write.mode("append").parquet(src)
+        stream = landing.file_stream(spark, src, "event_id bigint, event_type string, value double, ts timestamp", files=1_000_000)
+        landing.windowed_counts_stream(stream, out, f"{out}-checkpoint", "ts", "event_type", "value", delay="2 days").awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(out).withColumn("total", r("total", 4))
+
+
+@query("m12_folds", f"""WITH {PX}, w AS (SELECT series, date, c, {', '.join(f'lag(c, {n}) OVER w AS l{n}' for n in (1, 14))}, lead(c, 7) OVER w AS f, stddev_samp(g) OVER (PARTITION BY series ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM (SELECT *, c / lag(c) OVER (PARTITION BY series ORDER BY date) - 1 AS g FROM px) WINDOW w AS (PARTITION BY series ORDER BY date)),
+ n AS (SELECT count(*) AS n FROM w WHERE l14 IS NOT NULL AND f IS NOT NULL AND v IS NOT NULL) SELECT i::INTEGER AS fold, 6000::BIGINT + 2000 * i AS n_train, 2000::BIGINT AS n_test FROM n, range(0, 100000) x(i) WHERE i < (n - 6000) // 2000""")
+def m12(spark, d):
+    """Sizes of the expanding folds of the pooled training table, from the scored rows."""
+    scored = folds.walk_forward_logistic(training(spark, d), MODEL, "target_updown_t7", 6000, 2000)
+    each = scored.where("probability_up > 0 AND probability_up < 1").groupBy("fold").agg(F.min("row_no").alias("n_train"), F.count(F.lit(1)).alias("n_test"))
+    return each.select("fold", "n_train", "n_test")
+
+
+@query("m12_walk_forward")
+def m12_auc(spark, d):
+    """AUC and accuracy of each fold; all folds are fitted together. The tests hold it against a fit a fold."""
+    scored = folds.walk_forward_logistic(training(spark, d), MODEL, "target_updown_t7", 6000, 2000)
+    return learn.fold_summary(scored.select("fold", "probability_up", "target_updown_t7"), "target_updown_t7")
+
+
 @query("m8_auc_whole", "WITH r AS (SELECT (l_discount > 0.05)::INTEGER AS y, row_number() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS o, rank() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER (PARTITION BY l_extendedprice) AS t FROM lineitem) SELECT round((sum((k + (t - 1) / 2.0) * y) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 8) AS auc FROM r")
 def m8(spark, d):
     """Ranks over many distinct scores, cut in ranges."""

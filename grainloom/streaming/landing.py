@@ -37,5 +37,15 @@ def windowed_counts(events: DataFrame, time: str, key: str, value: str, width: s
     return events.withWatermark(time, delay).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
+def windowed_counts_stream(events: DataFrame, path: str, checkpoint: str, time: str, key: str, value: str, width: str = "1 hour", delay: str = "2 hours") -> StreamingQuery:
+    """Appends the counts of each window to a table once the watermark has passed its end, and never again.
+
+    A run takes all files that are new since the last; sums of open windows and the watermark, the latest time of earlier
+    batches less the delay, are kept by the state store between runs. A row whose window has ended by then is dropped.
+    """
+    counts = windowed_counts(events, time, key, value, width, delay)
+    return counts.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int = 100) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files).load(path)
