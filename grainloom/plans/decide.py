@@ -74,7 +74,7 @@ def evaluate(requests: DataFrame) -> DataFrame:
         _option("Wait", p50 * q, -gain, can_wait, F.when(F.size(reasons) == 0, "possible").otherwise(F.array_join(reasons, "; "))),
     )
     df = df.withColumn("options", options)
-    chosen = F.filter("options", lambda o: o["action"] == F.col("recommendation"))[0]
+    chosen = F.get(F.filter("options", lambda o: o["action"] == F.col("recommendation")), 0)
     pct = (p50 - price) / price * 100
     up, down = p50 > price * (1 + BAND), p50 < price * (1 - BAND)
     reason = (
