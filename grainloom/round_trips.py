@@ -9,7 +9,7 @@ from .functions import clean
 from .operators import align, profile
 from .plans import bands, decide, features, folds, learn, news
 from .queries import B1_SQL, B17_SQL, FX, MODEL, PX, REQUESTS, exchange, monthly, per_series, price, query, r, requests, rounded, table, training
-from .sources import readers, writers
+from .sources import readers, tables, writers
 from .streaming import landing
 
 
@@ -51,7 +51,7 @@ def s4(spark, d):
 def s5(spark, d):
     x = table(spark, d, "part")
     raw = x.select(F.col("p_type").alias("Commodity_Description"), F.lit("Brazil").alias("COUNTRY_NAME"), F.lit("2020").alias("Market_Year"), F.col("p_size").alias("Calendar_Year"), (F.col("p_partkey") % 12 + 1).alias("Month"), F.lit("Production").alias("Attribute_Description"), F.format_number("p_retailprice", 2).alias("Value"))
-    kinds = [k["p_type"] for k in x.where("p_type <> 'ECONOMY'").select("p_type").distinct().limit(1000).collect()]  # names of commodities are few
+    kinds = [k["p_type"] for k in x.where("p_type <> 'ECONOMY'").select("p_type").distinct().collect()]  # as the user names them; commodities are few
     return readers.read_supply_bulk(spark, csv(raw), kinds, first_year=10).select("commodity_description", "calendar_year", F.col("month").cast("long").alias("month"), "value")
 
 
@@ -151,6 +151,29 @@ def k4(spark, d):
     return spark.read.parquet(path)
 
 
+@query("k2_append_buckets", """WITH n AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority <> '1-URGENT', o_orderkey) AS k FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM n WHERE k = 1""")
+def k2_buckets(spark, d):
+    """Urgent orders land first, then all others, then everything again; each customer's first row stays."""
+    path, o = folder(spark), table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority", F.col("o_orderkey").alias("seq"))
+    for rows in (o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderpriority <> '1-URGENT'"), o):
+        tables.append_bucketed(rows.drop("o_orderpriority"), path, ["o_custkey"], "seq", buckets=16)
+    return spark.read.parquet(path).drop(tables.BUCKET)
+
+
+@query("k4_reload_versions", "SELECT c_custkey, c_acctbal, 2::BIGINT AS versions FROM customer WHERE c_custkey % 2 = 0")
+def k4_versions(spark, d):
+    """The second version replaces the first; a third that fails half-way changes nothing."""
+    path, c = folder(spark), table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    tables.reload_version(c, path)
+    tables.reload_version(c.where("c_custkey % 2 = 0"), path)
+    try:
+        tables.reload_version(c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 9 == 0, F.raise_error(F.lit("broken row"))).otherwise(F.col("c_acctbal"))), path)
+    except Exception as e:
+        if "broken row" not in str(e):
+            raise
+    return tables.current(spark, path).withColumn("versions", F.lit(len(tables.versions(spark, path))).cast("long"))
+
+
 @query("k5_write_master", f"WITH {PX} SELECT series, strftime(date, '%Y-%m-%d') AS date, round(c, 4) AS price_close FROM px")
 def k5(spark, d):
     path = folder(spark)
@@ -253,6 +276,16 @@ def ohlc(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumns({"date": F.when(k % 10 != 0, F.col("date")), "low": F.col("low") + F.when(k % 7 == 0, 200000).otherwise(0)})
 
 
+@query("q1_counts_of_a_write", f"""WITH {OHLC}, m AS (SELECT *, high < low AS a, least(open, high, low, close) <= 0 AS b FROM o)
+ SELECT (NOT a AND NOT b) AS good, count(*) AS n, (SELECT count(*) FROM m WHERE a) AS high_below_low, (SELECT count(*) FROM m WHERE b) AS not_positive FROM m GROUP BY 1""")
+def q1_write(spark, d):
+    """Rows written by whether they break a rule; the rules are counted in the same scan."""
+    path, rules = folder(spark), profile.ohlcv_rules()
+    found = tables.write_checked(ohlc(spark, d), path, {n: rules[n] for n in ("high_below_low", "not_positive")})
+    out = tables.checked_rows(spark, path).groupBy("good").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumns({n: F.lit(found[n]).cast("long") for n in ("high_below_low", "not_positive")})
+
+
 @query("q1_ohlcv_counts", f"WITH {OHLC} SELECT count(*) FILTER (date IS NULL) AS no_date, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (least(open, high, low, close) <= 0) AS not_positive FROM o")
 def q1(spark, d):
     return profile.ohlcv_counts(ohlc(spark, d))
