@@ -185,7 +185,7 @@ ratio AS (SELECT gram, floor((ln(pa) - ln(pr)) * 1000000 + 0.5)::BIGINT AS ratio
 score AS (SELECT key, sum(ratio)::DOUBLE / (count(*) * 1000000) AS score FROM g JOIN ratio USING (gram) WHERE held OR side IS NULL GROUP BY key),
 bins AS (SELECT *, greatest(-1000, least(1000, floor(score * 100)))::INTEGER AS bin FROM score),
 h AS (SELECT bin, sum(CASE WHEN side = 'allow' THEN n ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN side = 'block' THEN n ELSE 0 END)::DOUBLE AS r FROM u JOIN bins USING (key) WHERE held AND side IS NOT NULL GROUP BY bin),
-s AS (SELECT bin, coalesce(sum(a) OVER w, 0) AS ua, coalesce(sum(r) OVER w, 0) AS ur, sum(a) OVER () AS aa, sum(r) OVER () AS ar FROM h WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT greatest(coalesce(lag(bin) OVER (ORDER BY bin) + 1, -1000), least(bin, 0)) AS bin, coalesce(sum(a) OVER w, 0) AS ua, coalesce(sum(r) OVER w, 0) AS ur, sum(a) OVER () AS aa, sum(r) OVER () AS ar FROM h WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT coalesce((SELECT bin FROM s WHERE aa > 0 AND ar > 0 ORDER BY (aa - ua) * ar + ur * aa DESC, abs(bin), bin LIMIT 1), 0) AS least_bin)
 SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], CASE WHEN bin >= least_bin THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN best IS NULL THEN score END AS url_score
 FROM d LEFT JOIN bins USING (key), t

@@ -83,14 +83,18 @@ def ratios(grams: DataFrame, order: int, scratch: Scratch) -> DataFrame:
 
 
 def best_threshold(scored: DataFrame) -> int:
-    """Of (bin int, a long, r long), held-out URLs by score, the least bin to accept: that with the best mean of the shares of
-    accepted URLs at or above it and of rejected ones below; ties go to the bin nearest 0, then to the lower. 0 if one side is empty."""
+    """Of (bin int, a long, r long), held-out URLs by score, the least bin to accept: of all whole numbers one with the best mean
+    of the shares of accepted URLs at or above it and of rejected ones below; of equally good ones that nearest 0, then the lower.
+    0 if one side is empty."""
     bins = scored.groupBy("bin").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))  # 2 * THRESHOLDS + 1 rows at most
-    everything, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("bin", *[F.coalesce(F.sum(x).over(upto), F.lit(0)).cast("double").alias(f"under_{x}") for x in "ar"], *[F.sum(x).over(everything).cast("double").alias(f"all_{x}") for x in "ar"])
+    everything, by_bin = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bin")
+    upto = by_bin.rowsBetween(Window.unboundedPreceding, -1)
+    # every number above the bin before and up to a bin accepts the same URLs
+    least = F.greatest(F.coalesce(F.lag("bin").over(by_bin) + 1, F.lit(-THRESHOLDS)), F.least("bin", F.lit(0))).alias("least")
+    bins = bins.select(least, *[F.coalesce(F.sum(x).over(upto), F.lit(0)).cast("double").alias(f"under_{x}") for x in "ar"], *[F.sum(x).over(everything).cast("double").alias(f"all_{x}") for x in "ar"])
     good = (F.col("all_a") - F.col("under_a")) * F.col("all_r") + F.col("under_r") * F.col("all_a")
-    best = bins.where("all_a > 0 AND all_r > 0").orderBy(good.desc(), F.abs("bin"), "bin").first()
-    return best["bin"] if best else 0
+    best = bins.where("all_a > 0 AND all_r > 0").orderBy(good.desc(), F.abs("least"), "least").first()
+    return best["least"] if best else 0
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", order: int = ORDER) -> DataFrame:

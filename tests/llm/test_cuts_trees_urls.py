@@ -203,7 +203,7 @@ def plain_filter(urls, order=url_filter.ORDER):
     bins = lambda u: max(-1000, min(1000, math.floor(score(u) * 100)))
     sides = [(bins(u), plain_rule(u)[1]) for u in (u or "" for u in urls) if plain_rule(u)[1] and held(u)]
     a, r = ([b for b, s in sides if s == x] for x in ("allow", "block"))
-    least = min({b for b, _ in sides}, key=lambda t: (-(sum(b >= t for b in a) * len(r) + sum(b < t for b in r) * len(a)), abs(t), t)) if a and r else 0
+    least = min(range(-1000, max((b for b, _ in sides), default=0) + 1), key=lambda t: (-(sum(b >= t for b in a) * len(r) + sum(b < t for b in r) * len(a)), abs(t), t)) if a and r else 0
     out = []
     for u in urls:
         rule, side = plain_rule(u)
@@ -257,5 +257,7 @@ def test_rules(spark):
 
 def test_threshold(spark):
     bins = spark.createDataFrame([(-5, 0, 9), (1, 1, 0), (3, 8, 1), (7, 9, 0)], "bin int, a long, r long")
-    assert best_threshold(bins) == 1
+    assert best_threshold(bins) == 0  # as good as 1
     assert best_threshold(bins.where("r = 0")) == 0
+    assert best_threshold(bins.withColumn("bin", F.col("bin") + 50)) == 46
+    assert best_threshold(bins.withColumn("bin", F.col("bin") - 50)) == -49
