@@ -93,6 +93,19 @@ def load_ensemble(spark, path: str, features: list[str] | None = None) -> tuple[
     return [PipelineModel.load(f"{path}/model-{i}") for i in range(row["models"])], row["features"]
 
 
+def exported_logistic(model: PipelineModel, features: list[str]) -> dict[str, float]:
+    """Weights of the ensemble's logistic regression on unscaled features, the intercept under "": they score in any SQL."""
+    scaler, fitted = model.stages[-2], model.stages[-1]
+    share = [c / s if s else 0.0 for c, s in zip(fitted.coefficients, scaler.std)]
+    return {"": float(fitted.intercept - sum(w * m for w, m in zip(share, scaler.mean)))} | {f: float(w) for f, w in zip(features, share)}
+
+
+def weighted_probability(df: DataFrame, weights: dict[str, float], name: str = "probability_up") -> DataFrame:
+    """df with the probability of exported weights; null where a feature is."""
+    margin = sum((F.col(f) * F.lit(w) for f, w in weights.items() if f), F.lit(weights.get("", 0.0)))
+    return df.withColumn(name, 1 / (1 + F.exp(-margin)))
+
+
 def _ranked(by: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Mean rank r of each score, from n rows of each. Scores are cut in ranges, which are ranked apart and then moved up by
     the rows of the lower ranges of their key; so no task sees all scores."""
@@ -234,6 +247,29 @@ def compare_rankings(rankings: dict[str, DataFrame], names: list[str], top: int
     return out.withColumn("in_all", ok)
 
 
+def version_verdicts(rankings: dict[str, DataFrame], stronger: tuple[tuple[str, str], tuple[str, str]], new: tuple[str, list[str]], horizons: tuple[str, str], keep: int = 10, top: int = 5) -> DataFrame:
+    """(question, subject, verdict) from rankings (feature, importance, rank) by model.
+
+    stronger: (model, feature) before and after; confirmed if both are ranked and the later importance is higher. new: a
+    model and its new features: keep up to rank `keep`, else review. horizons: two models: differ unless the first `top`
+    features are the same in the same order; subject is how many they share. A ranking has at most some tens of rows.
+    """
+    spark = next(iter(rankings.values())).sparkSession
+
+    def of(model: str, feature: str, name: str) -> DataFrame:
+        return rankings[model].where(F.col("feature") == feature).agg(F.max("importance").alias(name))
+
+    (m0, f0), (m1, f1) = stronger
+    first = of(m0, f0, "a").join(of(m1, f1, "b")).select(F.lit("stronger").alias("question"), F.lit(f1).alias("subject"), F.when(F.col("b") > F.col("a"), "confirmed").otherwise("not confirmed").alias("verdict"))
+    names = spark.createDataFrame([(f,) for f in new[1]], "subject string")
+    ranked = names.join(rankings[new[0]].select(F.col("feature").alias("subject"), "rank"), "subject", "left")
+    second = ranked.groupBy("subject").agg(F.min("rank").alias("rank")).select(F.lit("new").alias("question"), "subject", F.when(F.col("rank") <= keep, "keep").otherwise("review").alias("verdict"))
+    a, b = (rankings[m].where(F.col("rank") <= top).select("feature", F.col("rank").alias(n)) for m, n in zip(horizons, ("ra", "rb")))
+    both = a.join(b, "feature", "full").agg(F.count(F.col("ra") + F.col("rb")).alias("shared"), F.count(F.when(F.col("ra") == F.col("rb"), 1)).alias("alike"), F.count(F.lit(1)).alias("n"))
+    third = both.select(F.lit("horizons").alias("question"), F.col("shared").cast("string").alias("subject"), F.when(F.col("alike") == F.col("n"), "equal").otherwise("differ").alias("verdict"))
+    return first.unionByName(second).unionByName(third)
+
+
 def experiments(df: DataFrame, features: list[str], label: str, cut: Date = SPLIT_DATE, first: int = FIRST, step: int = STEP, **params) -> list[dict]:
     """One row per experiment: single split and walk-forward, of boosted trees and of the ensemble."""
     train, test = time_split(df, cut)

@@ -996,12 +996,12 @@ def t1(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import round_trips  # noqa: F401  registers its queries here
+    from . import round_trips, whole_plans  # noqa: F401  register their queries here
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import round_trips  # noqa: F401
+    from . import round_trips, whole_plans  # noqa: F401
 
     return dict(ORACLES)

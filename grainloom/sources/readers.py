@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import warnings
+from collections.abc import Callable, Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ def _named(df: DataFrame, aliases: Mapping[str, tuple[str, ...]]) -> dict[str, s
     return {name: low[a] for name, names in aliases.items() for a in [next((n for n in names if n in low), None)] if a}
 
 
-def read_vendor_ohlcv(spark: SparkSession, path: str, commodity: str) -> DataFrame:
+def read_vendor_ohlcv(spark: SparkSession, path: str, commodity: str, multi_line: bool = False) -> DataFrame:
     """Daily prices from a delimited export, headers by alias. The date column has such a name, else holds `date` or ends in `time`,
-    else is the first. A missing price column is an error; a missing volume is null."""
-    raw = spark.read.csv(path, header=True, multiLine=True)
+    else is the first. A missing price column is an error; a missing volume is null. multi_line: for line breaks inside quotes; a file is one task then."""
+    raw = spark.read.csv(path, header=True, multiLine=multi_line)
     found = _named(raw, OHLCV_NAMES)
     require = [n for n in ("open", "high", "low", "close") if n not in found]
     if require:
@@ -129,17 +131,47 @@ def read_articles_json(spark: SparkSession, path: str, language: str = "English"
     return rows.select(parse_date(F.substring("seendate", 1, 8), "yyyyMMdd").alias("date"), F.trim("title").alias("title"), F.trim("url").alias("url"), source.alias("source"))
 
 
-def read_supply_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records that stand bare in a list or under data, records or results, in any case."""
-    item = f"array<struct<{schema}>>"
-    text = spark.read.text(path, wholetext=True).select("value")
-    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", item))
-    fields = F.map_entries(F.from_json("value", "map<string,string>"))
+def read_records(spark: SparkSession, path: str, under: Iterable[str] = ("data", "records", "results")) -> DataFrame:
+    """(record variant) of JSON files of any shape: records stand bare in a list or under one of the names, in any case.
+
+    A file is parsed once; records of one file may differ in fields and nesting. Files that are no JSON, or that have no such
+    list, give no record.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    fields = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+
+    def list_under(name: str) -> Column:
+        return F.try_variant_get(F.get(F.filter(fields, lambda x: F.lower(x["key"]) == name), 0)["value"], "$", "array<variant>")
+
+    return text.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *map(list_under, under))).alias("record"))
+
 
-    def under(name: str) -> Column:
-        return F.from_json(F.get(F.filter(fields, lambda x: F.lower(x["key"]) == name), 0)["value"], item)
+def record_fields(records: DataFrame, fields: Mapping[str, tuple[str, ...]], record: str = "record") -> DataFrame:
+    """Columns out of a variant: name -> (type, path, further paths). The first path that has a value of the type counts;
+    what is absent or does not convert is null."""
+    return records.select(*[F.coalesce(*[F.try_variant_get(record, p, kind) for p in paths]).alias(name) for name, (kind, *paths) in fields.items()])
 
-    return text.select(F.explode(F.coalesce(bare, *map(under, ("data", "records", "results")))).alias("r")).select("r.*")
+
+def record_schema(records: DataFrame, record: str = "record") -> str:
+    """The one type that holds all records, as text; counted over all of them with partial aggregates."""
+    return records.agg(F.schema_of_variant_agg(record)).first()[0]
+
+
+def read_supply_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records that stand bare in a list or under data, records or results, in any case, by the fields of a schema."""
+    wanted = spark.createDataFrame([], schema).schema
+    return record_fields(read_records(spark, path), {f.name: (f.dataType.simpleString(), f"$['{f.name}']") for f in wanted})
+
+
+def read_or_empty(read: Callable[[str], DataFrame], path: str, schema: str, spark: SparkSession) -> DataFrame:
+    """What read(path) gives, or no rows and a warning if there is no such file."""
+    try:
+        return read(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no file {path}", stacklevel=2)
+        return spark.createDataFrame([], schema)
 
 
 def read_internal_export(spark: SparkSession, path: str, columns: Mapping[str, Iterable[str]], required: Iterable[str]) -> DataFrame:
