@@ -46,7 +46,12 @@ def market_block(df: DataFrame, value: str, name: str, lag: bool = True, ret: in
 
 def crush_block(oil: DataFrame, meal: DataFrame, beans: DataFrame) -> DataFrame:
     """Crush spread per ton on the dates that all three have, its 7-row average and lag. Inputs: series, date, zl/zm/zs_close."""
-    legs = inner_join([oil, meal, beans], KEYS)
+    return crush_of_legs(inner_join([oil, meal, beans], KEYS))
+
+
+def crush_of_legs(legs: DataFrame) -> DataFrame:
+    """crush_block of one table with zl_close, zm_close and zs_close; rows without all three go."""
+    legs = legs.dropna(subset=["zl_close", "zm_close", "zs_close"])
     spread = crush_spread(to_usd_per_ton(F.col("zl_close"), "soyoil"), to_usd_per_ton(F.col("zm_close"), "soymeal"), to_usd_per_ton(F.col("zs_close"), "soybean"))
     w = ordered("series")
     return legs.withColumn("crush_spread", spread).withColumns({"crush_spread_ma7": moving_avg(F.col("crush_spread"), 7, w), "crush_spread_lag_1": lag_n(F.col("crush_spread"), 1, w)})

@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.chunks import kept
+
 # Fold sizes, pass line, parameters of the boosted trees.
 FIRST, STEP, PASS_AUC = 500, 60, 0.52
 TREES = {"maxDepth": 4, "stepSize": 0.05, "maxIter": 300, "subsamplingRate": 0.8, "seed": 42}
@@ -147,7 +149,7 @@ def metrics(df: DataFrame, predicted: str, label: str, keys: list[str]) -> DataF
 
 def walk_forward(df: DataFrame, features: list[str], label: str, make=boosted_trees, first: int = FIRST, step: int = STEP, parallel: int = 4, **params) -> DataFrame:
     """Predictions of every fold by a model of all earlier rows. df: with row_no. Folds are fitted from a thread pool."""
-    data = expanding_folds(df, first, step)
+    data = kept(expanding_folds(df, first, step))  # the folds read it, not the windows behind it
     folds = [r[0] for r in data.select("fold").where("fold IS NOT NULL").distinct().orderBy("fold").collect()]
 
     def one(k: int) -> DataFrame:
@@ -174,7 +176,7 @@ def fold_summary(predictions: DataFrame, label: str) -> DataFrame:
 def search_parameters(df: DataFrame, features: list[str], label: str, grid: dict[str, list], draws: int = 10, folds: int = 5, seed: int = 42) -> list[tuple[dict, float]]:
     """Seeded random draws from a grid by mean AUC over time-ordered folds, best first; folds of one class are skipped."""
     rng = Random(seed)
-    data = time_cv(df, folds)
+    data = kept(time_cv(df, folds))
     tried: list[tuple[dict, float]] = []
     for _ in range(draws):
         params = {k: rng.choice(v) for k, v in grid.items()}

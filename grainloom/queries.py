@@ -557,9 +557,11 @@ def b2(spark, d):
 @query("b4_crush", f"""WITH {PX}, s AS (SELECT a.date, a.c * 22.0462 * 0.179 + b.c * 1.10231 * 0.765 - x.c * (36.744 / 100.0) AS v FROM px a JOIN px b ON a.date = b.date AND b.series = 'Brand#2' JOIN px x ON a.date = x.date AND x.series = 'Brand#3' WHERE a.series = 'Brand#1')
  SELECT date, round(v, 3) AS crush_spread, round(avg(v) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 3) AS crush_spread_ma7, round(lag(v) OVER (ORDER BY date), 3) AS crush_spread_lag_1 FROM s""")
 def b4(spark, d):
-    px = price(spark, d)
-    legs = [px.where(F.col("series") == b).select(F.lit("crush").alias("series"), "date", F.col("price_close").alias(n)) for b, n in (("Brand#1", "zl_close"), ("Brand#2", "zm_close"), ("Brand#3", "zs_close"))]
-    return rounded(features.crush_block(*legs), ["date"], {"crush_spread": 3, "crush_spread_ma7": 3, "crush_spread_lag_1": 3})
+    """The three legs come out of one pass over the prices."""
+    brands = {"Brand#1": "zl_close", "Brand#2": "zm_close", "Brand#3": "zs_close"}
+    px = price(spark, d).where(F.col("series").isin(*brands))
+    legs = px.groupBy(F.lit("crush").alias("series"), "date").agg(*[F.max(F.when(F.col("series") == b, F.col("price_close"))).alias(n) for b, n in brands.items()])
+    return rounded(features.crush_of_legs(legs), ["date"], {"crush_spread": 3, "crush_spread_ma7": 3, "crush_spread_lag_1": 3})
 
 
 @query("b6_positioning", f"WITH {MONTHLY} SELECT date, round(total, 2) AS net, round(total - lag(total) OVER (ORDER BY date), 2) AS chg, total / nullif(orders, 0) AS ratio FROM rel")
@@ -709,9 +711,16 @@ def m4(spark, d):
     return learn.probability(models, test, MODEL).select("series", "date", r("probability_up", 4).alias("probability_up"))
 
 
+def files_state(spark: SparkSession, d: str) -> str:
+    """Names, sizes and times of the files that the prices come from."""
+    parts = [table(spark, d, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time") for t in ("lineitem", "part")]
+    return str(parts[0].union(parts[1]).distinct().agg(F.bit_xor(F.xxhash64('file_path', 'file_size', 'file_modification_time')), F.count(F.lit(1))).first())
+
+
 @lru_cache(maxsize=4)
-def fitted(application: str, d: str) -> list:
-    """The ensemble of all training rows, fitted once a session: what-if tables and contributions explain the same models."""
+def fitted(application: str, d: str, state: str) -> list:
+    """The ensemble of all training rows, fitted once a session and state of the files: what-if tables and contributions
+    explain the same models."""
     x = training(SparkSession.active(), d).persist()
     try:
         return learn.fit_all(learn.ensemble(MODEL, "target_updown_t7"), x)
@@ -721,14 +730,14 @@ def fitted(application: str, d: str) -> list:
 
 @query("m9_what_if")
 def m9(spark, d):
-    models = fitted(spark.sparkContext.applicationId, d)
+    models = fitted(spark.sparkContext.applicationId, d, files_state(spark, d))
     late = align.latest_asof(training(spark, d), "series")
     return learn.what_if(late, MODEL, lambda v: learn.probability(models, v, MODEL), ["series"])
 
 
 @query("m10_contributions")
 def m10(spark, d):
-    models = fitted(spark.sparkContext.applicationId, d)
+    models = fitted(spark.sparkContext.applicationId, d, files_state(spark, d))
     return learn.importance(learn.contributions(training(spark, d), MODEL, lambda v: learn.probability(models, v, MODEL), ["series", "date"]))
 
 

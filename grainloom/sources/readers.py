@@ -22,6 +22,11 @@ def _q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _line_order() -> Column:
+    """Where a line stands: by file name, part of the file, and place in the part."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+
+
 def read_series(df: DataFrame, value: str, series: str | None = None, by: str = "commodity", date: str = "date", fallback: bool = False) -> DataFrame:
     """(date, value) of one series; with fallback, of all rows if none has that name, which a scan of the names finds first."""
     if series is None:
@@ -89,7 +94,7 @@ def read_supply_flat(spark: SparkSession, path: str, aliases: Mapping[str, tuple
 
 def read_two_column_csv(spark: SparkSession, path: str, name: str, start: str = "1900-01-01") -> DataFrame:
     """(date, value) by position; bad rows go; of equal dates the last line stays."""
-    raw = spark.read.csv(path, schema="d string, v string").withColumn("_seq", F.monotonically_increasing_id())
+    raw = spark.read.csv(path, schema="d string, v string").withColumn("_seq", _line_order())
     rows = raw.select(parse_date(F.col("d"), "yyyy-MM-dd", "M/d/yyyy").alias("date"), parse_cot_number(F.col("v")).alias(name), "_seq").dropna().where(F.col("date") >= F.lit(start).cast("date"))
     last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("_seq")))).where("_n = 1")
     return last.select("date", name)
@@ -106,7 +111,7 @@ def read_month_sheet(spark: SparkSession, path: str, column: str, name: str, sta
     value = next((c for c in cols if c.strip().lower() == low), None) or next((c for c in cols if low in c.lower()), None)
     if dated is None or value is None:
         raise ValueError(f"no date column or no column {column!r}")
-    out = raw.select(parse_month_code(_q(dated)).alias("date"), parse_price(_q(value)).alias(name), F.monotonically_increasing_id().alias("seq")).dropna()
+    out = raw.select(parse_month_code(_q(dated)).alias("date"), parse_price(_q(value)).alias(name), _line_order().alias("seq")).dropna(subset=["date", name])
     return out.where(F.col("date") >= F.lit(start).cast("date")).groupBy("date").agg(F.max_by(name, "seq").alias(name))  # of equal dates the last line
 
 

@@ -85,3 +85,14 @@ def test_sets_have_their_columns_in_order():
     for v, names in versions.VERSIONS.items():
         assert len(set(names)) == len(names), v
     assert versions.columns("v1")[0] == "price_close" and versions.columns()[25:27] == ["month", "week_of_year"] and versions.columns()[-2] == "target_thresh_t28"
+
+
+def test_of_equal_dates_the_last_line_of_the_last_file_counts(spark, tmp_path, rows):
+    for name, v in (("b.csv", 3), ("a.csv", 1)):
+        (tmp_path / name).write_text("".join(f"2001-01-0{i % 3 + 1},{v}{i}\n" for i in range(9)))
+    got = rows(readers.read_two_column_csv(spark, str(tmp_path), "x"))
+    assert [(str(d), x) for d, x in got] == [("2001-01-01", 36.0), ("2001-01-02", 37.0), ("2001-01-03", 38.0)]
+    for name, v in (("b.csv", 3), ("a.csv", 1)):
+        (tmp_path / name).write_text("day,Price\n" + "".join(f"2001M0{i % 3 + 1},{v}{i}\n" for i in range(9)))
+    got = rows(readers.read_month_sheet(spark, str(tmp_path), "price", "x"))
+    assert [(str(d), x) for d, x in got] == [("2001-01-01", 36.0), ("2001-02-01", 37.0), ("2001-03-01", 38.0)]
