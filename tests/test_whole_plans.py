@@ -96,3 +96,12 @@ def test_of_equal_dates_the_last_line_of_the_last_file_counts(spark, tmp_path, r
         (tmp_path / name).write_text("day,Price\n" + "".join(f"2001M0{i % 3 + 1},{v}{i}\n" for i in range(9)))
     got = rows(readers.read_month_sheet(spark, str(tmp_path), "price", "x"))
     assert [(str(d), x) for d, x in got] == [("2001-01-01", 36.0), ("2001-02-01", 37.0), ("2001-03-01", 38.0)]
+
+
+def test_search_ranks_seeded_draws(spark):
+    df = spark.range(90).select(F.col("id").alias("row_no"), (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 5 > 2).cast("int").alias("y"))
+    grid = {"maxDepth": [1, 2], "maxIter": [1]}
+    found = learn.search_parameters(df, ["a"], "y", grid, draws=3, folds=2)
+    assert found == learn.search_parameters(df, ["a"], "y", grid, draws=3, folds=2)
+    assert [s for _, s in found] == sorted((s for _, s in found), reverse=True) and 1 <= len(found) <= 2
+    assert all(p["maxDepth"] in (1, 2) and s == pytest.approx(1.0) for p, s in found)
