@@ -65,8 +65,23 @@ def ensemble(features: list[str], label: str, trees: dict | None = None) -> list
     ]
 
 
+def fit_table(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df to fit on: a table written once, dealt by its keys and sorted. Each round of boosting has a few short jobs, whose time is
+    that of planning and sending tasks: so they get few parts, and nothing behind the shuffle is sent with them. Parts and order
+    depend on the rows alone, so models with seeds do not change with the machine."""
+    rows = kept(df)
+    parts = min(FIT_PARTS, rows.count() // FIT_ROWS + 1)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
+#: Rows of a part of a table to fit on, and most parts.
+FIT_ROWS, FIT_PARTS = 16_384, 256
+
+
 def fit_all(pipelines: list[Pipeline], train: DataFrame) -> list[PipelineModel]:
-    return [p.fit(train) for p in pipelines]
+    """Models in the order of their pipelines, fitted at the same time."""
+    with ThreadPoolExecutor(max(1, len(pipelines))) as pool:
+        return list(pool.map(lambda p: p.fit(train), pipelines))
 
 
 def probability(models: list[PipelineModel], df: DataFrame, features: list[str], name: str = "probability_up") -> DataFrame:

@@ -706,8 +706,8 @@ def training(spark: SparkSession, d: str) -> DataFrame:
 def m4(spark, d):
     import datetime
 
-    train, test = learn.time_split(training(spark, d), datetime.date(2000, 1, 1))
-    models = learn.fit_all([learn.boosted_trees(MODEL, "target_updown_t7")], train)
+    train, test = learn.time_split(chunks.kept(training(spark, d)), datetime.date(2000, 1, 1))
+    models = learn.fit_all([learn.boosted_trees(MODEL, "target_updown_t7")], learn.fit_table(train, features.KEYS))
     return learn.probability(models, test, MODEL).select("series", "date", r("probability_up", 4).alias("probability_up"))
 
 
@@ -718,27 +718,24 @@ def files_state(spark: SparkSession, d: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def fitted(application: str, d: str, state: str) -> list:
-    """The ensemble of all training rows, fitted once a session and state of the files: what-if tables and contributions
-    explain the same models."""
-    x = training(SparkSession.active(), d).persist()
-    try:
-        return learn.fit_all(learn.ensemble(MODEL, "target_updown_t7"), x)
-    finally:
-        x.unpersist()
+def fitted(application: str, d: str, state: str) -> tuple[list, DataFrame]:
+    """The ensemble of all training rows and the table of them, made once a session and state of the files: what-if tables and
+    contributions explain the same models."""
+    x = learn.fit_table(training(SparkSession.active(), d), features.KEYS)
+    return learn.fit_all(learn.ensemble(MODEL, "target_updown_t7"), x), x
 
 
 @query("m9_what_if")
 def m9(spark, d):
-    models = fitted(spark.sparkContext.applicationId, d, files_state(spark, d))
-    late = align.latest_asof(training(spark, d), "series")
+    models, rows = fitted(spark.sparkContext.applicationId, d, files_state(spark, d))
+    late = align.latest_asof(rows, "series")
     return learn.what_if(late, MODEL, lambda v: learn.probability(models, v, MODEL), ["series"])
 
 
 @query("m10_contributions")
 def m10(spark, d):
-    models = fitted(spark.sparkContext.applicationId, d, files_state(spark, d))
-    return learn.importance(learn.contributions(training(spark, d), MODEL, lambda v: learn.probability(models, v, MODEL), ["series", "date"]))
+    models, rows = fitted(spark.sparkContext.applicationId, d, files_state(spark, d))
+    return learn.importance(learn.contributions(rows, MODEL, lambda v: learn.probability(models, v, MODEL), ["series", "date"]))
 
 
 # ---- bands

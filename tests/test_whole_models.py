@@ -1,4 +1,7 @@
+from threading import Barrier
+
 import pytest
+from pyspark.sql import functions as F
 
 from grainloom import queries as library
 from grainloom.plans import learn
@@ -17,3 +20,24 @@ def test_models_of_the_query(spark, monkeypatch, name, models):
         library.queries()[name](spark, "/root/testdata/sf0.001")
     made = seen.value.args[0]
     assert len(made) == models and made[0].getStages()[-1].getMaxIter() == learn.TREES["maxIter"]
+
+
+def test_models_are_fitted_at_the_same_time():
+    together = Barrier(3, timeout=10)
+
+    class Slow:
+        def __init__(self, n):
+            self.n = n
+
+        def fit(self, train):
+            together.wait()
+            return train, self.n
+
+    assert learn.fit_all([Slow(n) for n in range(3)], "rows") == [("rows", n) for n in range(3)]
+
+
+def test_parts_to_fit_on_depend_on_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(learn, "FIT_ROWS", 100)
+    df = spark.range(350).select((F.col("id") % 5).alias("series"), (F.col("id") * 9 % 350).alias("date"), (F.col("id") * 0.5).alias("x"))
+    parts = [learn.fit_table(df.repartition(n), ["series", "date"]).rdd.glom().collect() for n in (1, 3, 9)]
+    assert parts[0] == parts[1] == parts[2] and len(parts[0]) == 4 and sum(map(len, parts[0])) == 350
