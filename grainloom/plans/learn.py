@@ -237,10 +237,13 @@ def what_if_pairs(df: DataFrame, features: list[str], score, keys: list[str], fa
 
 
 def contributions(df: DataFrame, features: list[str], score, keys: list[str], means: dict[str, float] | None = None) -> DataFrame:
-    """(keys, feature, contribution): change of probability when a feature takes its mean instead."""
+    """(keys, feature, contribution): change of probability when a feature takes its mean instead. Rows are dealt by their keys
+    before they are multiplied and scored, so all cores score and no variant is sent."""
     means = means or df.agg(*[F.avg(f).alias(f) for f in features]).first().asDict()
     tags = F.explode(F.array(*map(F.lit, ["", *features])))
-    rows = df.select(*keys, *features, tags.alias("feature"))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.select(*keys, *features).repartition(parts, *keys).select(*keys, *features, tags.alias("feature"))
     changed = rows.withColumns({f: F.when(F.col("feature") == f, F.lit(means[f])).otherwise(F.col(f)) for f in features})
     base = F.max(F.when(F.col("feature") == "", F.col("probability_up"))).over(Window.partitionBy(*keys))
     return score(changed).select(*keys, "feature", (base - F.col("probability_up")).alias("contribution")).where("feature <> ''")
