@@ -95,7 +95,8 @@ def market(px: DataFrame, name: str) -> DataFrame:
 
 
 def full_master(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
-    px = price(spark, d)
+    """The prices are written once: some fifteen blocks read them, not the line items."""
+    px = chunks.kept(price(spark, d))
     exchange = features.market_block(cal.calendar_expand(market(px, "usd_brl"), ["series"], "date", ["usd_brl_close"]), "usd_brl_close", "usd_brl")
     palm = features.market_block(market(px, "palm"), "palm_close", "palm", vol=None)
     crush = features.crush_block(*(market(px, n) for n in ("zl", "zm", "zs"))).drop("zl_close")

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from grainloom import whole_plans
 from grainloom.operators import rolling, sequences
 from grainloom.plans import learn, versions
 from grainloom.sources import readers
@@ -105,3 +106,9 @@ def test_search_ranks_seeded_draws(spark):
     assert found == learn.search_parameters(df, ["a"], "y", grid, draws=3, folds=2)
     assert [s for _, s in found] == sorted((s for _, s in found), reverse=True) and 1 <= len(found) <= 2
     assert all(p["maxDepth"] in (1, 2) and s == pytest.approx(1.0) for p, s in found)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_blocks_of_the_master_read_prices_that_are_written_once(spark, exact):
+    files = whole_plans.full_master(spark, "/root/testdata/sf0.001", exact).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
