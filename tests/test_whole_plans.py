@@ -112,3 +112,20 @@ def test_search_ranks_seeded_draws(spark):
 def test_blocks_of_the_master_read_prices_that_are_written_once(spark, exact):
     files = whole_plans.full_master(spark, "/root/testdata/sf0.001", exact).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+def test_the_master_of_all_sets_reads_prices_that_are_written_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    kept = whole_plans.chunks.kept
+
+    def seen(df):
+        if "target_updown_t28" in df.columns:
+            raise Seen(df.inputFiles())
+        return kept(df)
+
+    monkeypatch.setattr(whole_plans.chunks, "kept", seen)
+    with pytest.raises(Seen) as at:
+        whole_plans.p3_sets(spark, "/root/testdata/sf0.001")
+    assert at.value.args[0] and not any("lineitem" in f for f in at.value.args[0])
