@@ -17,22 +17,25 @@ FORWARD_NAMES = ("forward", "fwd", "futures", "선물")
 
 
 def _bare(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c.cast("string")), "[\"' ,\\s]", "")
+    return F.translate(c.cast("string"), "\"'\u00a0, \t\n\x0b\f\r", "")
 
 
 def parse_price(c: Column) -> Column:
     """Double from text with quotes, thousands separators or blanks; dashes and empty text are null."""
-    bare = _bare(c)
-    number = F.when(F.lower(bare).isin("", "nan", "-", "—", "–"), None).otherwise(bare).try_cast("double")
-    return F.when(F.isnan(number), None).otherwise(number)
+    return _number(_bare(c))
+
+
+def _number(bare: Column) -> Column:
+    """Dashes and empty text are no numbers, NaN is replaced; the text is looked at once."""
+    return F.nanvl(bare.try_cast("double"), F.lit(None).cast("double"))
 
 
 def parse_volume(c: Column) -> Column:
     """As parse_price, with K, M and B for thousands, millions and thousand millions."""
     bare = F.upper(_bare(c))
-    unit = F.regexp_extract(bare, "([KMB])$", 1)
+    unit = F.right(bare, F.lit(1))
     factor = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
-    return parse_price(F.regexp_replace(bare, "[KMB]$", "")) * factor
+    return _number(F.when(unit.isin("K", "M", "B"), F.left(bare, F.length(bare) - 1)).otherwise(bare)) * factor
 
 
 def parse_date(c: Column, *formats: str) -> Column:

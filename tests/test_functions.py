@@ -20,6 +20,14 @@ def test_volumes(spark):
         assert one(spark, text, clean.parse_volume) == want, text
 
 
+def test_numbers_of_odd_form_without_patterns(spark):
+    """A pattern a value took most of the time of long exports."""
+    for text, price, volume in [("1\t2\x0b3\r\n", 123.0, 123.0), ("'5' k\"", None, 5000.0), ("5KK", None, None), ("K", None, None), ("NaN", None, None), ("–", None, None), ("1e3M", None, 1e9), (",", None, None)]:
+        assert (one(spark, text, clean.parse_price), one(spark, text, clean.parse_volume)) == (price, volume), text
+    plan = spark.createDataFrame([("1",)], "x string").select(clean.parse_price(F.col("x")), clean.parse_volume(F.col("x")))
+    assert "regexp" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_dates(spark):
     for text, want in [("03/04/2020", dt.date(2020, 3, 4)), ("25/12/2020", dt.date(2020, 12, 25)), ("2020-01-05", dt.date(2020, 1, 5)), ("x", None)]:
         assert one(spark, text, clean.parse_date_two_pass) == want, text
