@@ -31,7 +31,20 @@ def align_asof(release: DataFrame, backbone: DataFrame, keys: list[str], date: s
 
     Both sides meet in one shuffle by key and one sort; there is no inequality join.
     """
-    events, cols = asof_events(release, backbone, keys, date)
+    return align_asof_all([release], backbone, keys, date)
+
+
+def align_asof_all(releases: list[DataFrame], backbone: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """align_asof of several releases, whose columns differ: all of them meet the backbone in one shuffle and one sort."""
+    if not releases:
+        return backbone
+    fields = {f.name: f.dataType for df in (backbone, *releases) for f in df.schema if f.name not in (*keys, date)}
+    cols = [c for df in releases for c in df.columns if c not in (*keys, date)]
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        return df.select(*keys, date, *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in fields.items()], F.lit(n).alias("_side"))
+
+    events = reduce(DataFrame.unionByName, [*[side(r, 0) for r in releases], side(backbone, 1)])
     w = Window.partitionBy(*keys).orderBy(date, "_side")
     return events.withColumns({c: forward_fill(F.col(c), w) for c in cols}).where("_side = 1").select(*backbone.columns, *cols)
 

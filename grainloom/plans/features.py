@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import warnings
 from datetime import date as Date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import event_features, season_features
 from ..functions.clean import USD_PER_TON, clean_inf, crush_spread, ratio, to_usd_per_ton
-from ..operators.align import align_asof, align_exact_ffill, inner_join, join_backbone
+from ..operators.align import align_asof_all, align_exact_ffill, inner_join, join_backbone
 from ..operators.profile import arg_max
 from ..operators.rolling import above_long_average, diff_n, lag_n, lead_n, moving_avg, moving_std, ordered, pct_change, percentile_rank, seasonal_mean, time_index, trailing_avg
 
@@ -137,9 +138,13 @@ def build_master(
         price = price.where(F.col("date") <= F.lit(as_of))
     base = price_block(price)
     base = join_backbone(base, list(same_day), KEYS)
-    align = {"asof": align_asof, "exact": align_exact_ffill}[mode]
-    for r in releases:
-        base = align(r, base, ["series"])
+    if mode not in ("asof", "exact"):
+        raise KeyError(mode)
+    if mode == "asof":
+        base = align_asof_all(list(releases), base, ["series"])
+    else:
+        for r in releases:
+            base = align_exact_ffill(r, base, ["series"])
     for value in after:
         base = return_after(base, value)
     out = label_block(derived_block(calendar_block(base))).withColumn("feature_version", F.lit(version))
@@ -157,6 +162,30 @@ def select_features(df: DataFrame, columns: list[str], label: str, keep: tuple[s
     return df.select(*keep, *[c for c in wanted if c in df.columns and c not in keep], label)
 
 
+def complete_sets(df: DataFrame, sets: dict[str, list[str]], label: str) -> DataFrame:
+    """(series, date, label, complete): bit i is 1 if the row has the label and all columns of the i-th set (at most 31),
+    NaN counting as null. Each column is looked at once, in however many sets it is."""
+    together: dict[int, list[str]] = {}
+    for c in dict.fromkeys(c for names in sets.values() for c in names):
+        together.setdefault(sum(1 << i for i, names in enumerate(sets.values()) if c in names), []).append(c)
+    kinds, every = dict(df.dtypes), (1 << len(sets)) - 1
+
+    def lacks(c: str) -> Column:
+        return F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull()
+
+    complete = F.when(lacks(label), 0).otherwise(every)
+    for bits, names in together.items():
+        complete = complete.bitwiseAND(F.when(reduce(Column.__or__, map(lacks, names)), every & ~bits).otherwise(every))
+    return df.select(*KEYS, label, complete.alias("complete"))
+
+
+def count_sets(complete: DataFrame, sets: dict[str, list[str]], label: str) -> DataFrame:
+    """(version, n_features, complete, up): complete rows of each set and the sum of their labels, from complete_sets in one pass."""
+    has = {v: F.col("complete").bitwiseAND(F.lit(1 << i)) != 0 for i, v in enumerate(sets)}
+    one = complete.agg(*[F.struct(F.lit(v).alias("version"), F.lit(len(names)).alias("n_features"), F.count(F.when(has[v], 1)).alias("complete"), F.sum(F.when(has[v], F.col(label))).alias("up")).alias(f"_{i}") for i, (v, names) in enumerate(sets.items())])
+    return one.select(F.inline(F.array(*one.columns)))
+
+
 def complete_cases(df: DataFrame, label: str) -> DataFrame:
     """Rows without nulls; labels other than 0 and 1 are an error."""
     out = df.dropna()

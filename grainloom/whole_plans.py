@@ -135,14 +135,10 @@ SETS = {v: [c for c in versions.VERSIONS[v] if not c.startswith("target_")] for
 
 @query("p3_all_sets", f"{master_sql(False)}, x AS (" + " UNION ALL ".join(f"SELECT '{v}' AS version, {len(c)}::INTEGER AS n_features, count(*) AS complete, sum(target_updown_t28)::BIGINT AS up FROM m WHERE target_updown_t28 IS NOT NULL AND " + " AND ".join(f"{x} IS NOT NULL" for x in c) for v, c in SETS.items()) + ") SELECT * FROM x")
 def p3_sets(spark, d):
-    """Complete training rows of every named set. The master is written once."""
-    master, out = chunks.kept(full_master(spark, d)), None
-    for v in SETS:
-        chosen = features.select_features(master, versions.columns(v), "target_updown_t28")
-        n = len(chosen.columns) - 3
-        one = chosen.dropna().agg(F.count(F.lit(1)).alias("complete"), F.sum("target_updown_t28").alias("up")).select(F.lit(v).alias("version"), F.lit(n).alias("n_features"), "complete", "up")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Complete training rows of every named set. Which sets a row of the master is complete in is written once, all are counted in one pass."""
+    master, label = full_master(spark, d), "target_updown_t28"
+    sets = {v: [c for c in features.select_features(master, versions.columns(v), label).columns if c not in (*features.KEYS, label)] for v in SETS}
+    return features.count_sets(chunks.kept(features.complete_sets(master, sets, label)), sets, label)
 
 
 # ---- sequences, profiles, parsing
