@@ -88,9 +88,12 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    out = h >> np.uint64(33)
+    out ^= h
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out *= np.uint64(factor)
+        out ^= out >> np.uint64(33)
+    return out
 
 
 def binary(values: list) -> pa.Array:

@@ -16,7 +16,7 @@ from .common import Scratch, binary, components, filter_array, maybe_in, mix, pa
 SHINGLE, BANDS, ROWS = 6, 14, 5
 CHUNK = 1 << 17
 #: Shingles that are hashed side by side, small enough for a processor's cache.
-CELL = 1 << 17
+CELL = 1 << 16
 _random = np.random.default_rng(20)
 MULTIPLY = _random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SCRAMBLE = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -36,9 +36,10 @@ def line_key(text: str) -> int:
 
 def rolled(code: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of SHINGLE code points."""
-    h = np.zeros(len(code) - SHINGLE + 1, np.uint64)
-    for j in range(SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + len(h)]
+    h = code[: len(code) - SHINGLE + 1].copy()
+    for j in range(1, SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += code[j : j + len(h)]
     return mix(h)
 
 
@@ -215,9 +216,12 @@ def shared_bands(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
 
     sent = docs.select(F.col(text_col).cast("string")).mapInArrow(send, "shard int, keys binary, lines binary, hot binary, known binary")
     found = scratch.keep(sent.repartitionById(n, "shard").mapInArrow(meet, "key long, n long, a long, x long, lines array<long>, hot boolean"))
-    usual = found.where("NOT hot").dropDuplicates(["n", "a", "x"]).select("key", "n", "a", F.explode("lines").alias("line"))
+    # most bands have two lines; these need no lists, so that equal ones meet in a hash table instead of a sort
+    two = found.where("NOT hot AND n = 2").groupBy("n", "a", F.col("lines")[1].alias("z")).agg(F.min("key").alias("key"))
+    two = two.select("key", "n", "a", F.explode(F.array("a", "z")).alias("line"))
+    usual = found.where("NOT hot AND n > 2").dropDuplicates(["n", "a", "x"]).select("key", "n", "a", F.explode("lines").alias("line"))
     hot = one_of_each(found.where("hot").select("key", F.explode("lines").alias("line")).distinct())
-    return usual.unionByName(hot)
+    return two.unionByName(usual).unionByName(hot)
 
 
 def one_of_each(members: DataFrame) -> DataFrame:
@@ -421,7 +425,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     cut = removals(docs, threshold, id_col, text_col, scratch)
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     maybe, others = maybe_in(rows, F.col(f"c{key}"), cut, "id", scratch)
-    joined = maybe.join(cut, F.col(f"c{key}") == F.col("id"), "left").drop("id").unionByName(others.withColumn("gone", F.lit(None).cast("array<int>")))
+    joined = maybe.join(cut, F.col(f"c{key}") == F.col("id"), "left").drop("id")
     text, gone = F.col(f"c{body}"), F.array_sort(F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split(text, "\n", -1)
     # a flag for each line, from the gaps between the numbers that go; array_join skips nulls
@@ -430,4 +434,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     short = F.when(F.size(gone) == 0, text).otherwise(F.array_join(kept, "\n"))
     count = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     out = joined.select(*[short.alias(f"c{i}") if i == body else F.col(f"c{i}") for i in range(len(names))], count.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+    # a text that keeps all its lines is not split, its line feeds are counted
+    size = F.octet_length(text.cast("string"))
+    whole = F.when(text.isNull(), F.lit(0)).otherwise(size - F.octet_length(F.replace(text.cast("string"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    out = out.unionByName(others.select(*rows.columns, whole.alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
     return out.toDF(*names, "n_lines", "n_removed")
